@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, toxicity
+from . import packing, quality, token_files, toxicity
+from .storage import new_folder
+from .word_ids import WordEncoder
+
+END_ID = 2
+
+
+def word_encoder(end_id: int | None = END_ID) -> WordEncoder:
+    import public_tokenizers
+
+    return WordEncoder(public_tokenizers.path("word_bpe_49k.json"), end_id)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +32,17 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.fit(docs, labels.where(F.coalesce(~held_out(), F.lit(False))))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_encoder().encode)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = word_encoder()
+    path = new_folder(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents"), encoder, path, vocabulary=encoder.vocabulary)
+    return token_files.read(spark, path)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.score(docs).select("doc_id", *(f"quality.{c}" for c in (*quality.BASE_COLUMNS, "base_failed", "kept", "char_distance", "word_distance")))
@@ -35,6 +56,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op2_token_files": op2_token_files,
         "op4_quality_rules": op4_quality_rules,
         "op8_toxicity": op8_toxicity,
     }
