@@ -38,7 +38,7 @@ LEXICON = (
     "patético inútil payaso perdedor"
 ).split()
 
-MAX_TRAINING_ROWS = 12_000
+MAX_TRAINING_ROWS = 8_000
 MAX_STEMS = 400
 MIN_TOXIC_ROWS = 6  # training rows of label 1 that have a mined stem
 MIN_RATIO = 3.0  # times as frequent in them, two standard errors below the estimate
