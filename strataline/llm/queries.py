@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, token_files, toxicity
-from .storage import new_folder
+from . import packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter
+from .storage import new_folder, staged
 from .word_ids import WordEncoder
 
 END_ID = 2
@@ -43,23 +43,76 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+# The rules of the URL filter query.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.score(docs).select("doc_id", *(f"quality.{c}" for c in (*quality.BASE_COLUMNS, "base_failed", "kept", "char_distance", "word_distance")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(simhash.edited(table(spark, sf_dir, "documents")), "simhash")
+    copies = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    asked = rows.where("doc_id % 100 = 0").select("fp")
+    near = simhash.within_radius(copies, asked).join(copies, "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_near"))
+    return rows.join(near, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.hex_digits(F.col("fp")).alias("fingerprint"),
+        simhash.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        # other documents within the radius, for the query rows
+        F.when(F.col("doc_id") % 100 == 0, F.col("n_near")).alias("near_documents"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; the later ones of equal texts are deleted; the counts
+    of the rest are revised by their end id. Then the first two batches are sent again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = staged(token_rollup.count_tokens(docs, word_encoder(None)), "token_counts").withColumn("tokenizer", F.lit("word_bpe_49k"))
+    keys, none = token_rollup.KEYS, F.lit(None).cast("long")
+    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    later = counted.join(first, "text_key").withColumn("later", F.col("doc_id") > F.col("first_id"))
+    inserts = counted.select(F.lit("insert").alias("op"), *keys, "n_tokens", none.alias("old_tokens"))
+    deletes = later.where("later").select(F.lit("delete").alias("op"), *keys, "n_tokens", none.alias("old_tokens"))
+    revised = later.where("not coalesce(later, false)").select(F.lit("revise").alias("op"), *keys, (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))
+    rollup = token_rollup.Rollup(spark, new_folder(spark, "rollup"))
+    for batch_id, events in (("inserts", inserts), ("deletes", deletes), ("revisions", revised), ("inserts", inserts), ("deletes", deletes)):
+        rollup.commit(batch_id, events)
+    return rollup.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_files": op2_token_files,
+        "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
+        "op6_simhash": op6_simhash,
         "op8_toxicity": op8_toxicity,
+        "op9_pieces": op9_pieces,
+        "op10_token_rollup": op10_token_rollup,
     }
 
 
