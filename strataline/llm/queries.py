@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter
+from . import packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter, warc
 from .storage import new_folder, staged
 from .word_ids import WordEncoder
 
@@ -74,6 +74,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = new_folder(spark, "warc")
+    warc.page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").load(path)
+    page = lambda c: F.expr(f"try_cast(substr({c}, 10) as bigint)")  # noqa: E731  after urn:page:
+    return read.select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
@@ -110,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op6_simhash": op6_simhash,
+        "op7_warc": op7_warc,
         "op8_toxicity": op8_toxicity,
         "op9_pieces": op9_pieces,
         "op10_token_rollup": op10_token_rollup,
