@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter, warc
+from . import near_dup, packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter, warc
 from .storage import new_folder, staged
 from .word_ids import WordEncoder
 
@@ -56,6 +56,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs).select("doc_id", *(f"quality.{c}" for c in (*quality.BASE_COLUMNS, "base_failed", "kept", "char_distance", "word_distance")))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(simhash.edited(table(spark, sf_dir, "documents")), "simhash")
     copies = rows.groupBy("fp").agg(F.count("*").alias("n"))
@@ -124,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
+        "op5_near_dup": op5_near_dup,
         "op6_simhash": op6_simhash,
         "op7_warc": op7_warc,
         "op8_toxicity": op8_toxicity,
