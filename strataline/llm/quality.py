@@ -10,7 +10,8 @@ shrinks with the square root of the number of words.
 
 Defined results: a null text counts as empty (no words, base_failed, not kept);
 a null language is the language ``und``; repeated rows are judged alike, each
-by itself; an empty table gives an empty result; other columns pass through.
+by itself; an empty table gives an empty result; other columns pass through, but
+for one that has the name of the new column, which is replaced.
 """
 
 from __future__ import annotations
@@ -178,13 +179,15 @@ def score(
     max_repeat_percent: float = MAX_REPEAT_PERCENT,
     char_limit: tuple[float, float] = CHAR_LIMIT,
     word_limit: tuple[float, float] = WORD_LIMIT,
+    into: str = "quality",
 ) -> DataFrame:
-    """``docs`` with the struct column ``quality``: the base counts, base_failed,
+    """``docs`` with the struct column ``into``: the base counts, base_failed,
     char_distance, word_distance (null below ``min_words`` or without a
     reference) and kept. Rows stay where they are: nothing is shuffled."""
     references = fit_references(docs, text_col=text_col, lang_col=lang_col, min_words=min_words) if references is None else references
+    docs = docs.drop(into)
     fields = [(c, pa.int64()) for c in BASE_COLUMNS] + [("base_failed", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())]
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality", T.StructType([T.StructField(c, {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}.get(t, T.DoubleType())) for c, t in fields]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType([T.StructField(c, {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType()}.get(t, T.DoubleType())) for c, t in fields]))])
     names = list(references)
     row_of = {x: i for i, x in enumerate(names)}
     chars = np.array([references[x][0] for x in names]).reshape(-1, _CLASSES)
@@ -207,6 +210,6 @@ def score(
                 kept &= far[name] <= floor + slack / root
             out = {**{c: m[c] for c in BASE_COLUMNS}, "base_failed": failed, **far, "kept": kept}
             arrays = [pa.array(out[c], t, mask=~known if c in far else None) for c, t in fields]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(arrays, [c for c, _ in fields])], [*batch.schema.names, "quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(arrays, [c for c, _ in fields])], [*batch.schema.names, into])
 
     return docs.mapInArrow(judge, schema)

@@ -16,7 +16,8 @@ rows (the ones whose hashed doc_id is smallest). Every row is scored.
 Defined results: a null or empty text has no votes and gets the score of a text
 without evidence; repeated rows get equal scores; a null doc_id is scored and
 never trained on; without training rows of both labels the lexicon alone votes;
-an empty table gives an empty result; other columns pass through.
+an empty table gives an empty result; other columns pass through, but for those that
+have the names of the new columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -279,13 +280,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return fit_rows(table.column("_text").combine_chunks(), table.column("_label").to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``toxicity`` (double, 0 to 1) and ``is_toxic`` (toxicity >= threshold). Nothing is shuffled."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("is_toxic", T.BooleanType())])
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD, into: str = "toxicity", flag: str = "is_toxic") -> DataFrame:
+    """``docs`` with ``into`` (double, 0 to 1) and ``flag`` (score >= threshold). Nothing is shuffled."""
+    docs = docs.drop(into, flag)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType()), T.StructField(flag, T.BooleanType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in H.slices(b, text_col)):
             p = model.score(batch.column(text_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= threshold)], [*batch.schema.names, "toxicity", "is_toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= threshold)], [*batch.schema.names, into, flag])
 
     return docs.mapInArrow(judge, schema)
