@@ -36,7 +36,8 @@ def rules_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFr
     for r, v in rows:
         if r.find("/") < 1 or not r.endswith("/") or v not in ("allow", "block"):
             raise ValueError(f"not a rule: {r!r} {v!r}")
-    return spark.createDataFrame(rows, "rule string, verdict string")
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in rows])
+    return spark.range(1).select(F.inline(pairs.cast("array<struct<rule:string,verdict:string>>")))
 
 
 def _tail(labels: Column, n: Column) -> Column:
