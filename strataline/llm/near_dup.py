@@ -15,10 +15,12 @@ the connected components, and a class is named by its smallest doc_id.
    total weight (no other text can have them, so neither the similarity nor the
    sampling law changes), and ``bands * rows`` consistent weighted samples are drawn.
 3. Texts that agree on a band meet in a bucket. Links are tried against leaders:
-   the smallest text of each bucket first, then 4, 16, ... of those left, only
-   between texts whose components differ, until every pair of a bucket was either
-   compared or lies in one component. So a large group of copies costs a star,
-   not its pairs, and no link between texts of a bucket is missed.
+   the text of each bucket that meets the most others in all its buckets (the
+   original of a group of copies, as they differ less from it than from each
+   other), then 4, 16, ... of those left, only between texts whose components
+   differ, until every pair of a bucket was either compared or lies in one component.
+   So a large group of copies costs about a star, not its pairs, and no link
+   between texts of a bucket is missed.
 4. Every link is verified by the exact weighted Jaccard similarity.
 
 Classes, links and samples stay in tables; the driver sees counts only.
@@ -43,7 +45,7 @@ from .storage import staged
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-FLUSH_SHINGLES = 3_000_000
+FLUSH_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000  # at 8 bytes an id, the most that is ever broadcast
 
 _SENT = "bucket int, flush long, grams binary, texts binary, sizes binary, copies binary, tf_at binary, tf binary, ids binary, keys binary, mass binary, blanks binary"
@@ -287,7 +289,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in H.slices(b, "ga")):
             keep = []
             columns = [batch.column(c).to_pylist() for c in ("ga", "wa", "ta", "gb", "wb", "tb")]
             for k, (ga, wa, ta, gb, wb, tb) in enumerate(zip(*columns)):
@@ -337,14 +339,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = staged(found.where("bands is not null").join(chosen.select("row"), "row", "left_semi"), "near_dup_distinct")
 
     spread = texts.select("node", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
-    left = staged(spread.join(crowded, "bucket", "left_semi").withColumn("component", F.col("node")), "near_dup_buckets")
+    crowded = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
+    met = spread.join(crowded, "bucket")
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    left = staged(met.join(company, "node").select("bucket", "node", "company", F.col("node").alias("component")), "near_dup_buckets")
     tried = links = labels = None
     leaders = 1
     while not left.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        leading = left.withColumn("k", rank).where(F.col("k") <= leaders).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-        pairs = left.join(leading, "bucket").where("a < node and component != ca").select("a", F.col("node").alias("b")).distinct()
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
+        leading = left.withColumn("k", rank).where(F.col("k") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("company").alias("most"), F.col("component").alias("its"))
+        pairs = left.join(leading, "bucket").where("(company < most or company = most and leader < node) and component != its")
+        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         checked = staged(_verify(pairs, texts, threshold), "near_dup_pairs")
@@ -354,9 +359,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             links = new if links is None else links.unionByName(new)
             labels = components(links)
         # the leaders were compared with all; buckets of one component are done
-        rest = left.select("bucket", "node").join(leading.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        rest = left.drop("component").join(leading.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+            rest = rest.join(labels, "node", "left").select("bucket", "node", "company", F.coalesce("component", "node").alias("component"))
         else:
             rest = rest.withColumn("component", F.col("node"))
         mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
