@@ -40,7 +40,8 @@ LEXICON = (
 ).split()
 
 MAX_TRAINING_ROWS = 8_000
-MAX_STEMS = 400
+FIT_SLICE = 1 << 19  # bytes of text at a time while fitting on the driver
+MAX_STEMS = 300
 MIN_TOXIC_ROWS = 6  # training rows of label 1 that have a mined stem
 MIN_RATIO = 3.0  # times as frequent in them, two standard errors below the estimate
 STEM_BYTES = (4, 5, 6, 7, 8)
@@ -154,18 +155,17 @@ def fit_label_model(votes: np.ndarray, prior: float, start: np.ndarray | None =
     of the voters within the classes: a voter weighs 1 / (1 + the sum of its
     squared correlations with the others)."""
     n, m = votes.shape
-    hot = np.stack([votes == v for v in (-1, 0, 1)]).astype(np.float64)
-    base = hot.mean(axis=1).T + 1e-3
+    base = np.stack([(votes == v).mean(axis=0) for v in (-1, 0, 1)], axis=1) + 1e-3
     tables = np.stack([base * [1.5, 1, 0.5], base * [0.5, 1, 3]])
     model = LabelModel(0.0, tables / tables.sum(axis=2, keepdims=True), np.full(m, 0.5))
     model.hold_share(votes, prior)
     for k in range(rounds):
         p = start if k == 0 and start is not None else model.posterior(votes)
         classes = np.stack([1 - p, p])
-        counts = np.einsum("cn,vnm->cmv", classes, hot) + base[None] * 2
+        counts = np.stack([classes @ (votes == v) for v in (-1, 0, 1)], axis=2) + base[None] * 2
         model.tables = counts / counts.sum(axis=2, keepdims=True)
         means = classes @ votes / np.maximum(classes.sum(axis=1, keepdims=True), 1e-9)
-        left = votes - classes.T @ means
+        left = (votes - classes.T @ means).astype(np.float32)
         scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
         together = left.T @ left / np.outer(scale, scale)
         np.fill_diagonal(together, 0)
@@ -176,14 +176,18 @@ def fit_label_model(votes: np.ndarray, prior: float, start: np.ndarray | None =
 
 def _fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
     """Newton's method; the last weight is the constant."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     penalty = np.full(x.shape[1], ridge * len(x))
     penalty[-1] = 1e-9
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * w)
+        gram = np.diag(penalty)
+        for a in range(0, len(x), 1024):  # in blocks, in double precision
+            block = x[a : a + 1024].astype(np.float64)
+            gram += (block * s[a : a + 1024, None]).T @ block
+        step = np.linalg.solve(gram, x.T @ (target - p) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -226,7 +230,7 @@ def _features(texts: H.Texts, lexicon: np.ndarray, stems: np.ndarray) -> tuple[n
 def _votes(counts: np.ndarray, n_terms: int) -> np.ndarray:
     """Term voters: +1 where present. Pattern voters: many terms, a high share of
     terms, no term at all (-1), one weak term only (-1), shouting, symbols."""
-    terms = (counts[:, :n_terms] > 0).astype(np.float64)
+    terms = (counts[:, :n_terms] > 0).astype(np.int8)
     lex, stem, lex_share, stem_share, caps, marks, symbols = counts[:, n_terms:].T
     extra = [
         np.where(lex >= 2, 1, np.where(lex == 0, -1, 0)),
@@ -239,13 +243,13 @@ def _votes(counts: np.ndarray, n_terms: int) -> np.ndarray:
         np.where(marks > 0.05, 1, 0),
         np.where(symbols > 0.05, 1, 0),
     ]
-    return np.concatenate([terms, np.stack(extra, axis=1)], axis=1)
+    return np.concatenate([terms, np.stack(extra, axis=1).astype(np.int8)], axis=1)
 
 
 def fit_rows(texts: pa.Array, labels: np.ndarray, max_stems: int = MAX_STEMS) -> Model:
     """Fit on the driver; ``labels`` are 0 or 1."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string()), pa.array(labels)], ["text", "label"])
-    parts = [(H.texts_of(s.column(0)), s.column(1).to_numpy() == 1) for s in H.slices(batch, "text")]
+    parts = [(H.texts_of(s.column(0)), s.column(1).to_numpy() == 1) for s in H.slices(batch, "text", FIT_SLICE)]
     toxic = labels == 1
     lexicon = np.unique(H.hash_strings(LEXICON))
     stems = np.zeros(0, np.uint64)
@@ -258,14 +262,20 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, max_stems: int = MAX_STEMS) ->
         weights[n_terms] = 3.0  # of the total of the lexicon
         weights[-1] = -3.0
         return Model(lexicon, stems, np.zeros(width), np.ones(width), weights)
-    made = [_features(t, lexicon, stems) for t, _ in parts]
-    x, votes = np.concatenate([a for a, _ in made]), _votes(np.concatenate([b for _, b in made]), n_terms)
+    made = []
+    for t, _ in parts:
+        features, counts = _features(t, lexicon, stems)
+        made.append((features.astype(np.float32), _votes(counts, n_terms)))
+    x, votes = np.concatenate([a for a, _ in made]), np.concatenate([b for _, b in made])
+    del made
     prior = float(np.clip(toxic.mean(), 0.01, 0.5)) if toxic.any() else 0.05
     start = np.where(toxic, START[1], START[0]) if toxic.any() and not toxic.all() else None
     posterior = fit_label_model(votes, prior, start).posterior(votes)
     center, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-9] = 1.0
-    return Model(lexicon, stems, center, spread, _fit_logistic((x - center) / spread, posterior))
+    x -= center
+    x /= spread
+    return Model(lexicon, stems, center.astype(np.float64), spread.astype(np.float64), _fit_logistic(x, posterior))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
