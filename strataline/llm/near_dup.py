@@ -20,7 +20,8 @@ the connected components, and a class is named by its smallest doc_id.
    other), then 4, 16, ... of those left, only between texts whose components
    differ, until every pair of a bucket was either compared or lies in one component.
    So a large group of copies costs about a star, not its pairs, and no link
-   between texts of a bucket is missed.
+   between texts of a bucket is missed. Texts that share a long passage and little
+   else fall out by their private weights, which bound the similarity from above.
 4. Every link is verified by the exact weighted Jaccard similarity.
 
 Classes, links and samples stay in tables; the driver sees counts only.
@@ -50,7 +51,7 @@ BROADCAST_ROWS = 1_000_000  # at 8 bytes an id, the most that is ever broadcast
 
 _SENT = "bucket int, flush long, grams binary, texts binary, sizes binary, copies binary, tf_at binary, tf binary, ids binary, keys binary, mass binary, blanks binary"
 _BACK = "flush long, grams binary, texts binary, sizes binary, df binary, tf binary, copies binary, ids binary, keys binary, mass binary, blanks binary"
-_TEXT = "row long, node binary, doc_ids array<long>, total double, grams binary, weights binary, bands array<long>"
+_TEXT = "row long, node binary, doc_ids array<long>, total double, shared double, grams binary, weights binary, bands array<long>"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -265,7 +266,7 @@ def _weigh(n_docs: int, threshold: float, bands: int, rows: int):
                     banded = H.mix(banded * np.uint64(0x9E3779B97F4A7C15) + drawn[:, :, k])
             ends, doc_ends = np.cumsum(sizes), np.cumsum(copies)
             for i in keep.tolist():
-                row = {"row": (info["flush"] << 24) + i, "node": keys[i].tobytes(), "doc_ids": ids[doc_ends[i] - copies[i] : doc_ends[i]].tolist(), "total": float(total[i])}
+                row = {"row": (info["flush"] << 24) + i, "node": keys[i].tobytes(), "doc_ids": ids[doc_ends[i] - copies[i] : doc_ends[i]].tolist(), "total": float(total[i]), "shared": float(shared[i])}
                 if stays[i]:
                     k = rank[i]
                     s = slice(ends[k] - sizes[k], ends[k])
@@ -332,24 +333,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
+    """Members of buckets with more than one component that can have a partner there: what a text
+    shares is at least ``threshold`` of its own total and the least private weight in the bucket together."""
+    private = F.col("total") - F.col("shared")
+    stats = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(private).alias("least")).where("low != high").select("bucket", "least")
+    return members.join(stats, "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """(doc_id, class_id) of the documents whose class can have more than one; all others are alone."""
     found = candidates(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
     chosen = found.groupBy("node").agg(F.min("row").alias("row"))
     texts = staged(found.where("bands is not null").join(chosen.select("row"), "row", "left_semi"), "near_dup_distinct")
 
-    spread = texts.select("node", F.explode("bands").alias("bucket"))
+    spread = texts.select("node", "total", "shared", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
     met = spread.join(crowded, "bucket")
     company = met.groupBy("node").agg(F.sum("n").alias("company"))
-    left = staged(met.join(company, "node").select("bucket", "node", "company", F.col("node").alias("component")), "near_dup_buckets")
+    left = met.drop("n").join(company, "node").withColumn("component", F.col("node"))
+    left = staged(_hopeful(_hopeful(left, threshold), threshold), "near_dup_buckets")
     tried = links = labels = None
     leaders = 1
     while not left.isEmpty():
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
-        leading = left.withColumn("k", rank).where(F.col("k") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("company").alias("most"), F.col("component").alias("its"))
-        pairs = left.join(leading, "bucket").where("(company < most or company = most and leader < node) and component != its")
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        leading = left.withColumn("k", rank).where(F.col("k") <= leaders)
+        leading = leading.select("bucket", *[F.col(c).alias(f"its_{c}") for c in ("node", "company", "component", "total", "shared")])
+        most = F.least("shared", "its_shared")  # nothing above this can be common to both
+        can = most >= (F.col("total") + F.col("its_total") - most) * threshold - 1e-6
+        pairs = left.join(leading, "bucket").where("(company < its_company or company = its_company and its_node < node) and component != its_component").where(can)
+        pairs = pairs.select(F.least("its_node", "node").alias("a"), F.greatest("its_node", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         checked = staged(_verify(pairs, texts, threshold), "near_dup_pairs")
@@ -359,13 +372,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             links = new if links is None else links.unionByName(new)
             labels = components(links)
         # the leaders were compared with all; buckets of one component are done
-        rest = left.drop("component").join(leading.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        rest = left.drop("component").join(leading.select("bucket", F.col("its_node").alias("node")), ["bucket", "node"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels, "node", "left").select("bucket", "node", "company", F.coalesce("component", "node").alias("component"))
+            rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             rest = rest.withColumn("component", F.col("node"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        left = staged(rest.join(mixed, "bucket", "left_semi"), "near_dup_buckets")
+        left = staged(_hopeful(_hopeful(rest, threshold), threshold), "near_dup_buckets")
         leaders *= 4
 
     members = found.select("node", F.explode("doc_ids").alias("doc_id"))
