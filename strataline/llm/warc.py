@@ -263,6 +263,8 @@ class WarcWriter(DataSourceArrowWriter):
         files, root = _file_system(self.path)
         if files.get_file_info(f"{root}/_temporary/{self.run}").type == fs.FileType.Directory:
             files.delete_dir(f"{root}/_temporary/{self.run}")
+        if not files.get_file_info(fs.FileSelector(f"{root}/_temporary", allow_not_found=True)) and files.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
+            files.delete_dir(f"{root}/_temporary")
 
 
 class WarcDataSource(DataSource):
