@@ -337,4 +337,4 @@ def polygon_gravity(stations: np.ndarray, vertices: np.ndarray, density: float)
         r1, r2 = np.maximum((p**2).sum(axis=1), 1e-300), np.maximum((q**2).sum(axis=1), 1e-300)
         turn = np.arctan2(cross, (p * q).sum(axis=1))
         out[i] = np.sum(cross / np.maximum(length2, 1e-300) * (d[:, 1] * 0.5 * np.log(r2 / r1) - d[:, 0] * turn) * (length2 > 0))
-    return -2 * 6.67430e-11 * density * 1e5 * out
+    return 2 * 6.67430e-11 * density * 1e5 * out

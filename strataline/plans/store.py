@@ -49,8 +49,8 @@ class SurveyStore:
             return self.spark.createDataFrame([], _TABLES[name])
         return self.spark.read.schema(_TABLES[name]).parquet(folder)
 
-    def _append(self, name: str, **row) -> None:
-        self.spark.createDataFrame([tuple(row[f.split()[0]] for f in _TABLES[name].split(", "))], _TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog/{name}")
+    def _append(self, table: str, /, **row) -> None:
+        self.spark.createDataFrame([tuple(row[f.split()[0]] for f in _TABLES[table].split(", "))], _TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog/{table}")
 
     def _log(self, database_id: str, action: str, **details) -> None:
         self._append("events", id=uuid.uuid4().hex, database_id=database_id, action=action, details=json.dumps(details, allow_nan=False, sort_keys=True), created=_now())

@@ -67,6 +67,12 @@ def _encoding(raw: bytes) -> str:
         return "UTF-8" if e.start > len(raw) - 4 else "windows-1252"
 
 
+def _western() -> tuple[str, str]:
+    """The characters that windows-1252 has where ISO-8859-1 has controls, from and to."""
+    pairs = [(chr(b), t) for b in range(0x80, 0xA0) if (t := bytes([b]).decode("cp1252", "ignore"))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def _is_number(text: str, comma: bool) -> bool:
     t = text.strip().replace(",", ".") if comma else text.strip()
     return bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t))
@@ -109,7 +115,10 @@ def read(spark: SparkSession, path: str, layout: Layout, nulls: tuple[str, ...]
     """The table with the layout's types. ``strict``: a cell that isn't a number of its column's type fails the
     query; else it is null. Lines before the data are told apart by their text, so a large file stays splittable."""
     schema = ", ".join(f"`c{k}` string" for k in range(len(layout.columns)))
-    raw = spark.read.csv(path, schema=schema, sep=layout.separator, encoding=layout.encoding, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    western = layout.encoding == "windows-1252"  # which Spark doesn't read: read as ISO-8859-1, then mapped
+    raw = spark.read.csv(path, schema=schema, sep=layout.separator, encoding="ISO-8859-1" if western else layout.encoding, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    if western:
+        raw = raw.select([F.translate(c, *_western()).alias(c) for c in raw.columns])
     head = _head(spark, path).decode(layout.encoding, "replace").lstrip("﻿").splitlines()[: layout.data_line - 1]
     skip = [ln.split(layout.separator)[0].strip().strip('"') for ln in head if ln.strip()]
     if skip:
