@@ -1,10 +1,13 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are windows of five words, lower-cased (a shorter text is one shingle). A shingle
-weighs (1 + ln tf) * (1 + ln((N + 1) / df) / ln(N + 1)): tf in the document, df the
-documents that have it, N all documents. Documents are near duplicates if the
-weighted Jaccard similarity of their shingles is at least ``threshold``; classes are
-the connected components, and a class is named by its smallest doc_id.
+weighs (1 + ln tf) * idf with idf = 1 + s * ln((N + 1) / df) / ln(N + 1): tf in the document,
+df the documents that have it, N all documents, s the spread. Documents are near
+duplicates if the weighted Jaccard similarity of their shingles is at least ``threshold``;
+classes are the connected components, and a class is named by its smallest doc_id.
+The spread is small on purpose: the shingles of a text with thousands of near copies
+are frequent, those that a copy changed are unique, and a wide idf would push copies
+that share over 0.8 of their shingles below the threshold because they are many.
 
 1. Tasks hash the shingles of their texts, collapse equal texts, and send the
    hashes as packed arrays to buckets of the hash space. A bucket counts df
@@ -14,14 +17,16 @@ the connected components, and a class is named by its smallest doc_id.
    share. For the others, shingles of df 1 stand as one private element with their
    total weight (no other text can have them, so neither the similarity nor the
    sampling law changes), and ``bands * rows`` consistent weighted samples are drawn.
+   Of equal texts one goes on, and the shares are taken again among those left.
 3. Texts that agree on a band meet in a bucket. Links are tried against leaders:
    the text of each bucket that meets the most others in all its buckets (the
    original of a group of copies, as they differ less from it than from each
-   other), then 4, 16, ... of those left, only between texts whose components
-   differ, until every pair of a bucket was either compared or lies in one component.
-   So a large group of copies costs about a star, not its pairs, and no link
-   between texts of a bucket is missed. Texts that share a long passage and little
-   else fall out by their private weights, which bound the similarity from above.
+   other), then 4 and 16 of those left, only between texts whose components differ.
+   So a large group of copies costs about a star, not its pairs. In buckets that
+   still have several components after that, blocks of 512 texts are compared with
+   each other, a pair in its first common bucket only: no link between texts of a
+   bucket is missed. Texts that share a long passage and little else fall out by
+   their private weights, which bound the similarity from above.
 4. Every link is verified by the exact weighted Jaccard similarity.
 
 Classes, links and samples stay in tables; the driver sees counts only.
@@ -45,7 +50,10 @@ from .storage import staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
+IDF_SPREAD = 0.1
 BANDS, ROWS = 16, 4
+LEADERS = (1, 4, 16)  # of a bucket, round by round
+BLOCK = 512  # texts of a bucket that meet at once in the last round
 FLUSH_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000  # at 8 bytes an id, the most that is ever broadcast
 
@@ -223,7 +231,7 @@ def samples(grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray, n: int, s
 
 
 def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
-    return 1 + np.log((n_docs + 1) / df) / np.log(n_docs + 1)
+    return 1 + IDF_SPREAD * np.log((n_docs + 1) / df) / np.log(n_docs + 1)
 
 
 def _weigh(n_docs: int, threshold: float, bands: int, rows: int):
@@ -333,6 +341,50 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+_PART = "bucket int, grams binary, weights binary, rows binary, sizes binary"
+
+
+def _scatter(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in H.slices(b, "grams")):
+            parts = [np.frombuffer(g, "<u8") for g in batch.column("grams").to_pylist()]
+            grams = np.concatenate(parts)
+            weights = np.frombuffer(b"".join(batch.column("weights").to_pylist()), "<f4")
+            rows = np.repeat(batch.column("row").to_numpy(), [len(x) for x in parts])
+            bucket = ((grams >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            out = []
+            for b in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[b] : cuts[b + 1]]
+                starts = np.flatnonzero(np.diff(rows[at], prepend=-1))
+                out.append({"bucket": int(b), "grams": grams[at].tobytes(), "weights": weights[at].tobytes(), "rows": rows[at][starts].tobytes(), "sizes": np.diff(np.append(starts, len(at))).astype("<u4").tobytes()})
+            yield _batch(_PART, out)
+
+    return run
+
+
+def _alive(table: pa.Table) -> pa.Table:
+    """One bucket: the weight of each text's shingles that another text has too."""
+    parts = table.to_pylist()
+    grams = np.concatenate([np.frombuffer(r["grams"], "<u8") for r in parts])
+    weights = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in parts]).astype(np.float64)
+    rows = np.concatenate([np.repeat(np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["sizes"], "<u4")) for r in parts])
+    _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
+    both = n[which] > 1
+    distinct, owner = np.unique(rows[both], return_inverse=True)
+    return pa.table({"row": distinct, "alive": np.bincount(owner, weights=weights[both], minlength=len(distinct))})
+
+
+def _only_with_partners(texts: DataFrame, threshold: float) -> DataFrame:
+    """``texts``, all different, with ``shared`` as the weight of the shingles that another of them has, and
+    only those for which that is at least ``threshold`` of the total."""
+    n_buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = texts.select("row", "grams", "weights").mapInArrow(_scatter(n_buckets), _PART).groupBy("bucket").applyInArrow(_alive, "row long, alive double")
+    alive = sums.groupBy("row").agg(F.sum("alive").alias("alive"))
+    return texts.drop("shared").join(alive, "row").where(F.col("alive") >= F.col("total") * threshold - 1e-6).withColumnRenamed("alive", "shared")
+
+
 def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
     """Members of buckets with more than one component that can have a partner there: what a text
     shares is at least ``threshold`` of its own total and the least private weight in the bucket together."""
@@ -341,11 +393,53 @@ def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
     return members.join(stats, "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least")
 
 
+def _compare(threshold: float):
+    """Two blocks (or one) of a bucket: the links that join components, by exact similarity. A pair is
+    looked at in the bucket of its first common band only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bucket, low, high = rows[0]["bucket"], rows[0]["i"], rows[0]["j"]
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        total, shared = (np.array([r[c] for r in rows]) for c in ("total", "shared"))
+        names: dict[bytes, int] = {}
+        label = np.array([names.setdefault(r["component"], len(names)) for r in rows])
+        block = np.array([r["block"] for r in rows])
+        grams, weights = [np.frombuffer(r["grams"], "<u8") for r in rows], [np.frombuffer(r["weights"], "<f4") for r in rows]
+        links: list[tuple[bytes, bytes]] = []
+        for a in np.flatnonzero(block == low):
+            others = np.arange(a + 1, len(rows)) if low == high else np.flatnonzero(block == high)
+            most = np.minimum(shared[a], shared[others])
+            others = others[(label[others] != label[a]) & (most >= (total[a] + total[others] - most) * threshold - 1e-6)]
+            same = bands[others] == bands[a]
+            others = others[bands[a][same.argmax(axis=1)] == bucket] if len(others) else others
+            for b in others:
+                if label[a] != label[b] and weighted_jaccard(grams[a], weights[a], total[a], grams[b], weights[b], total[b]) >= threshold - 1e-6:
+                    links.append((rows[a]["node"], rows[b]["node"]))
+                    label[label == label[b]] = label[a]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+    return run
+
+
+def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that join components of the buckets ``left``. A bucket is cut into blocks of ``BLOCK`` texts and each two
+    blocks are one group, so a group has a bounded number of texts however large its bucket is."""
+    place = ((F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1) / BLOCK).cast("int")
+    placed = left.select("bucket", "node", "component").withColumn("block", place)
+    n = placed.groupBy("bucket").agg(F.max("block").alias("last"))
+    spread = placed.join(n, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    full = spread.join(texts.select("node", "total", "shared", "grams", "weights", "bands"), "node")
+    return full.groupBy("bucket", "i", "j").applyInArrow(_compare(threshold), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """(doc_id, class_id) of the documents whose class can have more than one; all others are alone."""
     found = candidates(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
     chosen = found.groupBy("node").agg(F.min("row").alias("row"))
     texts = staged(found.where("bands is not null").join(chosen.select("row"), "row", "left_semi"), "near_dup_distinct")
+    texts = staged(_only_with_partners(texts, threshold), "near_dup_distinct")
 
     spread = texts.select("node", "total", "shared", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
@@ -354,8 +448,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = met.drop("n").join(company, "node").withColumn("component", F.col("node"))
     left = staged(_hopeful(_hopeful(left, threshold), threshold), "near_dup_buckets")
     tried = links = labels = None
-    leaders = 1
-    while not left.isEmpty():
+    for leaders in LEADERS:
+        if left.isEmpty():
+            break
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
         leading = left.withColumn("k", rank).where(F.col("k") <= leaders)
         leading = leading.select("bucket", *[F.col(c).alias(f"its_{c}") for c in ("node", "company", "component", "total", "shared")])
@@ -378,7 +473,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         else:
             rest = rest.withColumn("component", F.col("node"))
         left = staged(_hopeful(_hopeful(rest, threshold), threshold), "near_dup_buckets")
-        leaders *= 4
+    if not left.isEmpty():
+        new = staged(_links_in_blocks(left, texts, threshold), "near_dup_pairs")
+        if not new.isEmpty():
+            labels = components(new if links is None else links.unionByName(new))
 
     members = found.select("node", F.explode("doc_ids").alias("doc_id"))
     if labels is not None:

@@ -15,7 +15,7 @@ def brute(rows, threshold=0.8, size=5):
         w = "".join(c.lower() if c.isascii() or 0xC0 <= ord(c) <= 0xFF else c for c in (r["text"] or "")).encode().split()
         tfs.append(Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else Counter([tuple(w)]) if w else Counter())
     df = Counter(g for t in tfs for g in t)
-    weight = [{g: (1 + math.log(c)) * (1 + math.log((n + 1) / df[g]) / math.log(n + 1)) for g, c in t.items()} for t in tfs]
+    weight = [{g: (1 + math.log(c)) * (1 + near_dup.IDF_SPREAD * math.log((n + 1) / df[g]) / math.log(n + 1)) for g, c in t.items()} for t in tfs]
     parent = list(range(n))
 
     def find(i):
