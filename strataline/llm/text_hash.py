@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
