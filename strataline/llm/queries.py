@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dup, packing, pieces, quality, simhash, token_files, token_rollup, toxicity, url_filter, warc
+from . import near_dup, packing, pieces, quality, simhash, sql, token_files, token_rollup, toxicity, url_filter, warc
 from .storage import new_folder, staged
 from .word_ids import WordEncoder
 
@@ -53,7 +53,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.score(docs).select("doc_id", *(f"quality.{c}" for c in (*quality.BASE_COLUMNS, "base_failed", "kept", "char_distance", "word_distance")))
+    return quality.score(docs).select("doc_id", *(f"quality.{c}" for c in (*quality.BASE_COLUMNS, "base_failed", "kept")), *(F.round(f"quality.{c}", 6).alias(c) for c in ("char_distance", "word_distance")))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
