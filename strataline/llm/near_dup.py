@@ -364,8 +364,11 @@ def _scatter(n_buckets: int):
     return run
 
 
+_SHARE = "flush long, rows binary, alive binary"
+
+
 def _alive(table: pa.Table) -> pa.Table:
-    """One bucket: the weight of each text's shingles that another text has too."""
+    """One bucket: the weight of each text's shingles that another text has too, packed by flush."""
     parts = table.to_pylist()
     grams = np.concatenate([np.frombuffer(r["grams"], "<u8") for r in parts])
     weights = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in parts]).astype(np.float64)
@@ -373,15 +376,25 @@ def _alive(table: pa.Table) -> pa.Table:
     _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
     both = n[which] > 1
     distinct, owner = np.unique(rows[both], return_inverse=True)
-    return pa.table({"row": distinct, "alive": np.bincount(owner, weights=weights[both], minlength=len(distinct))})
+    alive = np.bincount(owner, weights=weights[both], minlength=len(distinct))
+    flush = distinct >> 24
+    cuts = [0, *(np.flatnonzero(np.diff(flush)) + 1), len(distinct)]
+    out = [{"flush": int(flush[a]), "rows": distinct[a:b].tobytes(), "alive": alive[a:b].tobytes()} for a, b in zip(cuts, cuts[1:]) if b > a]
+    return pa.Table.from_batches([_batch(_SHARE, out)])
+
+
+def _sum_alive(table: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), "<i8")
+    distinct, owner = np.unique(rows, return_inverse=True)
+    return pa.table({"row": distinct, "alive": np.bincount(owner, weights=np.frombuffer(b"".join(table.column("alive").to_pylist())), minlength=len(distinct))})
 
 
 def _only_with_partners(texts: DataFrame, threshold: float) -> DataFrame:
     """``texts``, all different, with ``shared`` as the weight of the shingles that another of them has, and
     only those for which that is at least ``threshold`` of the total."""
     n_buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sums = texts.select("row", "grams", "weights").mapInArrow(_scatter(n_buckets), _PART).groupBy("bucket").applyInArrow(_alive, "row long, alive double")
-    alive = sums.groupBy("row").agg(F.sum("alive").alias("alive"))
+    shares = texts.select("row", "grams", "weights").mapInArrow(_scatter(n_buckets), _PART).groupBy("bucket").applyInArrow(_alive, _SHARE)
+    alive = shares.groupBy("flush").applyInArrow(_sum_alive, "row long, alive double")
     return texts.drop("shared").join(alive, "row").where(F.col("alive") >= F.col("total") * threshold - 1e-6).withColumnRenamed("alive", "shared")
 
 
