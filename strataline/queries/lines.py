@@ -56,10 +56,11 @@ def _(spark, sf):
     return L.hampel(view(spark, sf, "survey"), "v", ["line", "sensor"], 2, 3.0, complete=True).select("row_id", "filtered", "replaced")
 
 
-@query("detrend_segment", f"WITH {_SEG} SELECT row_id, round(v - (regr_intercept(v, t - 1704067200) OVER g + regr_slope(v, t - 1704067200) OVER g * (t - 1704067200)), 5) AS detrended FROM segs WHERE segment IS NOT NULL WINDOW g AS (PARTITION BY line, sensor, segment)", digits=5)
+@query("detrend_segment", f"WITH {_SEG}, z AS (SELECT *, t - min(t) OVER (PARTITION BY line, sensor, segment) AS axis FROM segs WHERE segment IS NOT NULL) SELECT row_id, round(v - (regr_intercept(v, axis) OVER g + regr_slope(v, axis) OVER g * axis), 5) AS detrended FROM z WINDOW g AS (PARTITION BY line, sensor, segment)", digits=5)
 def _(spark, sf):
-    s = _segments(spark, sf).where("segment is not null").withColumn("axis", F.col("t") - 1704067200)
-    return s.select("row_id", L.detrend("v", "axis", ["line", "sensor", "segment"]).alias("detrended"))
+    run = ["line", "sensor", "segment"]
+    s = _segments(spark, sf).where("segment is not null").withColumn("axis", F.col("t") - F.min("t").over(Window.partitionBy(*run)))
+    return s.select("row_id", L.detrend("v", "axis", run).alias("detrended"))
 
 
 _FM = """m AS (SELECT *, t - lag(t) OVER w AS interval, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS spacing,
