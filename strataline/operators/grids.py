@@ -48,9 +48,10 @@ def box_sums(cells: DataFrame, half: int, value: str, keys: Sequence[str] = ())
 def automatic_gain(cells: DataFrame, window: int, keys: Sequence[str] = (), floor_fraction: float = 0.05, max_gain: float = 10.0) -> DataFrame:
     """Scales each value by global RMS / local RMS, at most ``max_gain``."""
     out = box_sums(cells.withColumn("__e", F.col("z") * F.col("z")), window // 2, "__e", keys)
-    root = F.sqrt(F.avg("__e").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))))
+    root = cells.groupBy(*keys).agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("__g"))
+    out = out.join(root, list(keys)) if keys else out.crossJoin(F.broadcast(root))  # without keys: one row
     local = F.sqrt(F.try_divide("total", "n"))
-    return out.withColumn("__g", root).withColumn("gained", F.col("z") * F.least(F.try_divide("__g", F.greatest(local, F.col("__g") * floor_fraction)), F.lit(max_gain))).drop("__e", "__g", "total", "n")
+    return out.withColumn("gained", F.col("z") * F.least(F.try_divide("__g", F.greatest(local, F.col("__g") * floor_fraction)), F.lit(max_gain))).drop("__e", "__g", "total", "n")
 
 
 def gradients(cells: DataFrame, dx: float, dy: float, keys: Sequence[str] = ()) -> DataFrame:

@@ -14,9 +14,15 @@ def interpolate(left: DataFrame, right: DataFrame, time: str, base_time: str, ba
     left rows meet the intervals of their bucket only."""
     keys = list(keys)
     base = right.where(F.col(base_time).isNotNull() & F.col(base_value).isNotNull()).groupBy(*keys, F.col(base_time).alias("t0")).agg(F.avg(base_value).alias("v0"))
-    # the next base sample: by key, or for one base by its time ranges through a keyed window
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t0")
-    base = base.withColumn("t1", F.lead("t0").over(w)).withColumn("v1", F.lead("v0").over(w))
+    # The next base sample comes from the same span of 256 buckets, or else from the first
+    # sample of the next span: only spans (few) are ever ordered as a whole.
+    base = base.withColumn("span", F.floor(F.col("t0") / (256 * bucket)))
+    w = Window.partitionBy(*keys, "span").orderBy("t0")
+    heads = base.groupBy(*keys, "span").agg(F.min(F.struct("t0", "v0")).alias("head"))
+    heads = heads.withColumn("next", F.lead("head").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("span"))).drop("head")
+    base = base.withColumn("inner", F.lead(F.struct("t0", "v0")).over(w)).join(heads.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("span").alias("__span"), "next"), [F.col("span") == F.col("__span"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)])
+    after = F.coalesce("inner", "next")
+    base = base.select(*keys, "t0", "v0", after["t0"].alias("t1"), after["v0"].alias("v1"))
     pieces = base.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t0") / bucket), F.floor(F.coalesce("t1", "t0") / bucket))))
     inside = (F.col(time) >= F.col("t0")) & (F.col(time) < F.col("t1")) | (F.col(time) == F.col("t0")) & F.col("t1").isNull()
     seen = left.withColumn("bucket", F.floor(F.col(time) / bucket))
