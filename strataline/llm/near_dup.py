@@ -38,7 +38,8 @@ is never compared; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ BANDS, ROWS = 16, 4
 LEADERS = (1, 4, 16)  # of a bucket, round by round
 BLOCK = 512  # texts of a bucket that meet at once in the last round
 FLUSH_SHINGLES = 1_000_000
+BUCKETS_PER_PARTITION = 2  # of the hash space, so that a bucket of shingles is a few MB
 BROADCAST_ROWS = 1_000_000  # at 8 bytes an id, the most that is ever broadcast
 
 _SENT = "bucket int, flush long, grams binary, texts binary, sizes binary, copies binary, tf_at binary, tf binary, ids binary, keys binary, mass binary, blanks binary"
@@ -62,6 +64,21 @@ _BACK = "flush long, grams binary, texts binary, sizes binary, df binary, tf bin
 _TEXT = "row long, node binary, doc_ids array<long>, total double, shared double, grams binary, weights binary, bands array<long>"
 
 
+def _returning_memory(kernel: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The kernel, after which the worker gives its free memory back: workers live on between stages, and
+    what they hold of an earlier one counts against their executor."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = kernel(table)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+        return out
+
+    return run
+
+
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[t]) for n, t in (f.split() for f in ddl.split(", "))])
@@ -290,10 +307,10 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     n_docs = max(source.count(), 1)
-    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = BUCKETS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = source.mapInArrow(_send(n_buckets, shingle_words, flush_shingles), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_count, _BACK)
-    return staged(back.groupBy("flush").applyInArrow(_weigh(n_docs, threshold, bands, rows), _TEXT), "near_dup_texts")
+    back = sent.groupBy("bucket").applyInArrow(_returning_memory(_count), _BACK)
+    return staged(back.groupBy("flush").applyInArrow(_returning_memory(_weigh(n_docs, threshold, bands, rows)), _TEXT), "near_dup_texts")
 
 
 def _similar(threshold: float):
@@ -444,7 +461,7 @@ def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> Dat
     spread = placed.join(n, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
     full = spread.join(texts.select("node", "total", "shared", "grams", "weights", "bands"), "node")
-    return full.groupBy("bucket", "i", "j").applyInArrow(_compare(threshold), "a binary, b binary")
+    return full.groupBy("bucket", "i", "j").applyInArrow(_returning_memory(_compare(threshold)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
