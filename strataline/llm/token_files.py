@@ -35,7 +35,7 @@ from .word_ids import WordEncoder
 
 MAX_BITS = 20
 RUN = 256  # ids between checkpoints
-BLOCK_BOUNDS = 1000  # most blocks that doc_ids are dealt into
+BLOCK_BOUNDS = 100_000  # most blocks that doc_ids are dealt into
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -191,20 +191,22 @@ def write(docs: DataFrame, encoder: WordEncoder, path: str, *, vocabulary: int,
     lengths = code_lengths(counts, max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
+    rows = plain.where("ids is not null").select("doc_id", "n_tokens", "ids")
+    n_blocks = max(1, min(BLOCK_BOUNDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = [k / n_blocks for k in range(1, n_blocks)] or [0.5]
+    bounds = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * n_blocks))).first()[0] or [], np.int64))
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(lengths)
         for batch in (s for b in batches for s in H.slices(b, "ids")):
             sizes = batch.column(1).to_numpy()
             ids = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind)
             coded = codec.encode(ids, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in coded], pa.binary()), pa.array([x for _, x in coded], pa.binary())], ["doc_id", "n_tokens", "payload", "checkpoints"])
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            block = np.where(known, np.searchsorted(bounds, batch.column(0).fill_null(0).to_numpy()), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in coded], pa.binary()), pa.array([x for _, x in coded], pa.binary()), pa.array(block, pa.int32())], ["doc_id", "n_tokens", "payload", "checkpoints", "block"])
 
-    rows = plain.where("ids is not null").select("doc_id", "n_tokens", "ids")
-    n_blocks = min(BLOCK_BOUNDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [k / n_blocks for k in range(1, n_blocks)] or [0.5]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", cuts, 10_000)).first()[0] or []))
-    block = F.expr(f"coalesce(size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < doc_id)), 0)") if bounds else F.lit(0)
-    coded = rows.mapInArrow(code, "doc_id long, n_tokens long, payload binary, checkpoints binary").withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(block))
+    coded = rows.mapInArrow(code, "doc_id long, n_tokens long, payload binary, checkpoints binary, block int")
     # the same key for the window and the sort: one shuffle of coded documents
     w = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "payload").rowsBetween(Window.unboundedPreceding, -1)
     placed = coded.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
