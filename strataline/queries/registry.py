@@ -55,7 +55,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """Puts the views that a SQL text names in front of it."""
-    sql = re.sub(r", (\d)\) AS\b", r", \1) + 0e0 AS", sql)  # a rounded -0.0 is 0.0, as in Spark
+    sql = re.sub(r", (\d)\) AS (?!BIGINT|INT\b|DOUBLE)", r", \1) + 0e0 AS ", sql)  # a rounded -0.0 is 0.0, as in Spark
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     ctes = [f"{n} AS ({VIEWS[n].replace('$t', _DUCK_T)})" for n in names]
     if not ctes:
