@@ -25,6 +25,17 @@ def _names(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return found
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric system; the shortest one where it is singular (separate networks)."""
+    try:
+        x = np.linalg.solve(a, b)
+        if np.allclose(a @ x, b, rtol=1e-9, atol=1e-9 * max(1.0, np.abs(b).max())) and np.abs(x).max() < 1e9 * max(1.0, np.abs(b).max()):
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
 def line_corrections(crossings: DataFrame, traverse: str, tie: str, residual: str, sigmas: float = 4.5) -> DataFrame:
     """(line, correction): constants that take the accepted residuals down in the least squares, with mean 0
     over all lines. Sums by pair of lines come to the driver, not crossings."""
@@ -43,7 +54,7 @@ def line_corrections(crossings: DataFrame, traverse: str, tie: str, residual: st
         b[i] -= r["s"]
         b[j] += r["s"]
     a += 1.0  # mean of all corrections 0
-    x = np.linalg.lstsq(a, b, rcond=None)[0] if names else b
+    x = _solved(a, b) if names else b
     return spark.createDataFrame(list(zip(names, x.tolist())), "line string, correction double")
 
 

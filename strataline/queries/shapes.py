@@ -218,17 +218,30 @@ def _(spark, sf):
 
 
 # gridding
+def _by_place(asked, kernel, names):
+    """The kernel for each id's neighbours (px, py, v, qx, qy); 256 ids share a group, as a group costs more than a kernel."""
+
+    def run(p):
+        p = p.sort_values("id")
+        values, ids = p[["px", "py", "v", "qx", "qy"]].to_numpy(), p["id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+        rows = [(int(ids[a]), *kernel(values[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=["id", *names])
+
+    grouped = asked.withColumn("part", F.floor(F.col("id") / 256)).groupBy("part")
+    return grouped.applyInPandas(run, "id long, " + ", ".join(f"{n} double" for n in names))
+
+
 @query("ordinary_kriging")
 def _(spark, sf):
     p = view(spark, sf, "points")
     near = J.neighbours(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumnRenamed("id", "other").withColumn("px", F.col("x")).withColumn("py", F.col("y")), "x", "y", "other", 60.0, 8, left_id="id", carry=["v", "px", "py"])
     asked = near.join(p.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id")
 
-    def run(q):
-        e, var = K.ordinary_kriging(q[["px", "py"]].to_numpy(), q["v"].to_numpy(), q[["qx", "qy"]].to_numpy()[0], 3000.0, 80.0)
-        return pd.DataFrame({"id": [q["id"].iloc[0]], "estimate": [e], "variance": [var]})
+    def one(q):
+        return K.ordinary_kriging(q[:, :2], q[:, 2], q[0, 3:], 3000.0, 80.0)
 
-    return asked.groupBy("id").applyInPandas(run, "id long, estimate double, variance double")
+    return _by_place(asked, one, ("estimate", "variance"))
 
 
 @query("local_thin_plate")
@@ -237,11 +250,10 @@ def _(spark, sf):
     near = J.neighbours(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumnRenamed("id", "other").withColumn("px", F.col("x")).withColumn("py", F.col("y")), "x", "y", "other", 60.0, 12, left_id="id", carry=["v", "px", "py"])
     asked = near.join(p.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id")
 
-    def run(q):
-        e = K.thin_plate(q[["px", "py"]].to_numpy(), q["v"].to_numpy(), q[["qx", "qy"]].to_numpy()[:1])[0] if len(q) >= 3 else math.nan
-        return pd.DataFrame({"id": [q["id"].iloc[0]], "estimate": [e]})
+    def one(q):
+        return (K.thin_plate(q[:, :2], q[:, 2], q[:1, 3:])[0] if len(q) >= 3 else math.nan,)
 
-    return asked.groupBy("id").applyInPandas(run, "id long, estimate double")
+    return _by_place(asked, one, ("estimate",))
 
 
 @query("minimum_curvature_grid")
