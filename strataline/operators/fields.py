@@ -172,12 +172,76 @@ def hvsr(east: np.ndarray, north: np.ndarray, up: np.ndarray, step: float) -> tu
     return np.fft.rfftfreq(len(up), step)[1:], np.sqrt((a[0] ** 2 + a[1] ** 2) / 2)[1:] / np.maximum(a[2][1:], 1e-12)
 
 
-def equivalent_sources(xy: np.ndarray, value: np.ndarray, at: np.ndarray, depth: float, height: float, damping: float = 1e-3) -> np.ndarray:
-    """Values at other places and ``height`` above from point sources under the data."""
-    def kernel(a: np.ndarray, up: float) -> np.ndarray:
-        return 1 / np.sqrt(((a[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2) + (depth + up) ** 2)
-
-    k = kernel(xy, 0.0)
-    mean = value.mean()
-    w = np.linalg.solve(k.T @ k + damping * np.trace(k.T @ k) / len(xy) * np.eye(len(xy)), k.T @ (value - mean))
-    return kernel(at, height) @ w + mean
+def _inverse_distance(a: np.ndarray, b: np.ndarray, depth: float) -> np.ndarray:
+    out = np.subtract.outer(a[:, 0], b[:, 0])
+    out *= out
+    dy = np.subtract.outer(a[:, 1], b[:, 1])
+    dy *= dy
+    out += dy
+    out += depth * depth
+    np.sqrt(out, out=out)
+    return np.divide(1, out, out=out)
+
+
+def equivalent_sources(xy: np.ndarray, value: np.ndarray, at: np.ndarray, depth: float, height: float, damping: float = 1e-3, *, times: np.ndarray | None = None, mean: float | None = None, ridge: float | None = None) -> np.ndarray:
+    """Values at other places and ``height`` above from point sources under the data. A place measured ``times`` times
+    (with ``value`` the mean there) counts as so many points. ``mean`` and ``ridge`` (the damping as it is added to the
+    normal equations) are those of the data unless given."""
+    times = np.ones(len(xy)) if times is None else times.astype(float)
+    root = np.sqrt(times)
+    k = _inverse_distance(xy, xy, depth)
+    k *= root[:, None]
+    k *= root
+    if mean is None:
+        mean = np.average(value, weights=times)
+    right = k @ (root * (value - mean))
+    k = k.T @ k
+    k[np.diag_indices(len(k))] += damping * np.trace(k) / times.sum() if ridge is None else ridge
+    return _inverse_distance(at, xy, depth + height) @ (root * np.linalg.solve(k, right)) + mean
+
+
+def equivalent_source_tiles(points: DataFrame, key: str, x: str, y: str, value: str, depth: float, height: float, *, tile: int, halo: int, cell: int, reach: int, damping: float = 1e-3, into: str = "continued") -> DataFrame:
+    """:func:`equivalent_sources` of any number of points: a solve per square tile, for the places of the tile alone. It has
+    the places of the tile and ``halo`` around it singly, those beyond, as far as ``reach``, as means of their cells, which
+    tile and halo are multiples of. Mean and damping are those of all points, the latter from pairs of at most 64 x 64
+    cells. Points at one place share a source, which is the same fit. Every key is returned; null where a coordinate is null
+    or no value within reach."""
+    if tile % cell or halo % cell or reach % cell or not 0 <= halo <= reach:
+        raise ValueError("tile, halo and reach are multiples of the cell, the halo within reach")
+    n = points.select(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("v"))
+    places = n.where("x is not null and y is not null").groupBy("x", "y").agg(F.avg("v").alias("v"), F.count("v").alias("n"))
+    full = places.where("n > 0")
+    e = full.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum(F.col("v") * F.col("n")) / F.sum("n")).first()
+    if e[0] is None:
+        return n.select(key, F.lit(None).cast("double").alias(into))
+    side = max(e[1] - e[0], e[3] - e[2]) / 64 or 1.0
+    coarse = [F.least(F.floor((F.col(p) - least) / side), F.lit(63)).alias("c" + p) for p, least in (("x", e[0]), ("y", e[2]))]
+    mean_at = [F.sum(F.col(p) * F.col("n")) / F.sum("n") for p in ("x", "y")]
+    cells = np.array(full.groupBy(*coarse).agg(*mean_at, F.sum("n")).drop("cx", "cy").collect(), float)
+    ridge = damping * float(cells[:, 2] @ (_inverse_distance(cells[:, :2], cells[:, :2], depth) ** 2 @ cells[:, 2]) / cells[:, 2].sum())
+    mean = float(e[4])
+
+    def run(q):
+        core, has = q["core"].to_numpy(), q["n"].to_numpy() > 0
+        xy = q[["x", "y"]].to_numpy()
+        out = np.full(int(core.sum()), np.nan)
+        if len(out) and has.any():
+            out = equivalent_sources(xy[has], q["v"].to_numpy()[has], xy[core], depth, height, times=q["n"].to_numpy()[has], mean=mean, ridge=ridge)
+        return q.loc[core, ["x", "y"]].assign(**{into: out})
+
+    def dealt(df, around):
+        """To the tiles that have the cell within ``around``."""
+        for p in ("x", "y"):
+            low = F.col("c" + p) * cell
+            df = df.withColumn("t" + p, F.explode(F.sequence(F.floor((low - around) / tile), F.floor((low + around) / tile))))
+        return df
+
+    in_cell = [F.floor(F.col(p) / cell).alias("c" + p) for p in ("x", "y")]
+    near = dealt(places.select("x", "y", "v", "n", *in_cell), halo)
+    near = near.withColumn("core", (F.floor(F.col("cx") * cell / tile) == F.col("tx")) & (F.floor(F.col("cy") * cell / tile) == F.col("ty")))
+    far = full.groupBy(*in_cell).agg(*[m.alias(p) for m, p in zip(mean_at, ("x", "y"))], (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+    inside = [(F.col("c" + p) * cell >= F.col("t" + p) * tile - halo) & (F.col("c" + p) * cell < (F.col("t" + p) + 1) * tile + halo) for p in ("x", "y")]
+    far = dealt(far, reach).where(~(inside[0] & inside[1])).withColumn("core", F.lit(False))
+    near = near.unionByName(far)
+    got = near.groupBy("tx", "ty").applyInPandas(run, f"x double, y double, {into} double")
+    return n.select(key, "x", "y").join(got, ["x", "y"], "left").select(key, F.when(~F.isnan(into), F.col(into)).alias(into))

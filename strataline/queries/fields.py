@@ -150,13 +150,7 @@ def _(spark, sf):
 
 @query("equivalent_source_continuation")
 def _(spark, sf):
-    p = view(spark, sf, "points").where("id < 300").withColumn("part", F.lit(0))
-
-    def run(q):
-        xy = q[["x", "y"]].to_numpy()
-        return pd.DataFrame({"id": q["id"], "continued": P.equivalent_sources(xy, q["v"].to_numpy(), xy, 40.0, 25.0)})
-
-    return p.groupBy("part").applyInPandas(run, "id long, continued double")
+    return P.equivalent_source_tiles(view(spark, sf, "points"), "id", "x", "y", "v", 40.0, 25.0, tile=80, halo=60, cell=20, reach=400)
 
 
 # waveforms: ten traces a gather
