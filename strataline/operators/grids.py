@@ -119,6 +119,33 @@ def tiles(cells: DataFrame, size: int, halo: int) -> DataFrame:
     return out.withColumn("core", core).where("tile_r >= 0 and tile_c >= 0")
 
 
+def euler_solutions(cells: DataFrame, dx: float, dy: float, index: float, *, window: int = 9, stride: int = 1, tile: int = 32, grid: str = "grid") -> DataFrame:
+    """Euler solutions (r and c of the window's middle, samples, x, y, depth, condition) of a window about every ``stride``-th cell
+    of level grids with z and gx, gy, gz. Windows over missing cells or an edge have the cells that are there, five at least."""
+    from .kernels import euler_windows
+
+    if window < 3 or window % 2 == 0 or stride < 1:
+        raise ValueError("an odd window of 3 cells at least, a stride of 1 at least")
+    half = window // 2
+    kind = cells.schema[grid].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["tile_r"].iloc[0]) * tile, int(pdf["tile_c"].iloc[0]) * tile
+        at = pdf["r"].to_numpy() - r0 + half, pdf["c"].to_numpy() - c0 + half
+        fields = np.full((4, tile + 2 * half, tile + 2 * half), np.nan)
+        fields[(slice(None), *at)] = pdf[["z", "gx", "gy", "gz"]].to_numpy(float).T
+        there = np.zeros((tile + 2 * half, tile + 2 * half), bool)
+        there[at] = True
+        r, c, n, x, y, depth, condition = euler_windows(*fields, dx, dy, index, window)
+        found = pd.DataFrame({grid: pdf[grid].iloc[0], "r": r + r0, "c": c + c0, "samples": n, "x": x + (c0 - half) * dx, "y": y + (r0 - half) * dy, "depth": depth, "condition": condition})
+        return found[there[r + half, c + half] & (found["r"] % stride == 0) & (found["c"] % stride == 0)]
+
+    near = cells.select(grid, "r", "c", "z", "gx", "gy", "gz")
+    for p in ("r", "c"):
+        near = near.withColumn(f"tile_{p}", F.explode(F.sequence(F.floor((F.col(p) - half) / tile), F.floor((F.col(p) + half) / tile))))
+    return near.groupBy(grid, "tile_r", "tile_c").applyInPandas(run, f"{grid} {kind}, r int, c int, samples int, x double, y double, depth double, condition double")
+
+
 # whole-grid Fourier filters
 
 

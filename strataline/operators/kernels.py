@@ -273,6 +273,37 @@ def euler_window(x: np.ndarray, y: np.ndarray, z: np.ndarray, field: np.ndarray,
     return cx + p[0], cy + p[1], cz + p[2], float(s[0] / s[-1])
 
 
+def euler_windows(z: np.ndarray, gx: np.ndarray, gy: np.ndarray, gz: np.ndarray, dx: float, dy: float, index: float, window: int = 9, max_condition: float = 1e6) -> tuple[np.ndarray, ...]:
+    """:func:`euler_window` at every position of a window in a level grid with NaN for missing cells, all at once:
+    (row and column of the window's first cell, cells it has, x, y, depth, condition) of the solutions, from the grid's corner.
+    A window needs five cells."""
+    cut = lambda a: np.lib.stride_tricks.sliding_window_view(a, (window, window)).reshape(-1, window * window)
+    values = [cut(a) for a in (z, gx, gy, gz)]
+    rows, cols = np.mgrid[0 : z.shape[0] - window + 1, 0 : z.shape[1] - window + 1]
+    valid = np.isfinite(values).all(axis=0)
+    keep = np.flatnonzero(valid.sum(axis=1) >= 5)
+    valid, n, at = valid[keep], valid[keep].sum(axis=1), (rows.ravel()[keep], cols.ravel()[keep])
+    f, a, b, d = (np.where(valid, v[keep], 0.0) for v in values)
+    r, c = np.divmod(np.arange(window * window), window)
+    x, y = (at[1][:, None] + c) * dx, (at[0][:, None] + r) * dy
+    centre = lambda v: (v * valid).sum(axis=1) / n
+    cx, cy, cf = centre(x), centre(y), centre(f)
+    design = np.stack([a, b, d, valid * (index if index else 1.0)], axis=2)
+    right = ((x - cx[:, None]) * a + (y - cy[:, None]) * b + index * (f - cf[:, None])) * valid
+    scale = np.linalg.norm(design, axis=1)
+    full = np.flatnonzero((scale > 0).all(axis=1))
+    u, s, v = np.linalg.svd(design[full] / scale[full][:, None, :], full_matrices=False)
+    good = s[:, -1] * max_condition >= s[:, 0]
+    u, s, v, full = u[good], s[good], v[good], full[good]
+    p = np.einsum("nkj,nk->nj", v, np.einsum("nik,ni->nk", u, right[full]) / s) / scale[full]
+    return at[0][full], at[1][full], n[full], cx[full] + p[:, 0], cy[full] + p[:, 1], p[:, 2], s[:, 0] / s[:, -1]
+
+
+def werner_profile(x: np.ndarray, f: np.ndarray, window: int = 7, stride: int = 1) -> list[tuple[float, float]]:
+    """:func:`werner_window` at each ``stride``-th position of the window along a profile."""
+    return [w for i in range(0, len(f) - window + 1, stride) if (w := werner_window(x[i : i + window], f[i : i + window]))]
+
+
 def werner_window(x: np.ndarray, f: np.ndarray) -> tuple[float, float] | None:
     """(position, depth) of a thin sheet under a profile window, or None."""
     centre, half, sd = x.mean(), max(np.ptp(x) / 2, 1e-12), f.std()

@@ -199,7 +199,7 @@ def _(spark, sf):
     def run(p):
         f = p["v"].to_numpy()
         s = np.arange(len(f)) * 10.0
-        found = [(p["line"].iloc[0], *w) for i in range(0, len(f) - 6, 3) if (w := K.werner_window(s[i : i + 7], f[i : i + 7]))]
+        found = [(p["line"].iloc[0], *w) for w in K.werner_profile(s, f)]
         return pd.DataFrame(found, columns=["line", "position", "depth"])
 
     return K.by_group(_flights(spark, sf), ["line"], run, "line long, position double, depth double")
@@ -207,14 +207,8 @@ def _(spark, sf):
 
 @query("euler_grid")
 def _(spark, sf):
-    p = G.products(_grid(spark, sf), 25.0, 25.0).where("z is not null")
-    w = G.tiles(p, 8, 1).where("gx is not null and gy is not null")
-
-    def run(pdf):
-        got = K.euler_window(pdf["c"].to_numpy() * 25.0, pdf["r"].to_numpy() * 25.0, np.zeros(len(pdf)), pdf["z"].to_numpy(), pdf["gx"].to_numpy(), pdf["gy"].to_numpy(), -pdf["gz"].to_numpy(), 1.0) if len(pdf) >= 5 else None
-        return pd.DataFrame([(pdf["tile_r"].iloc[0], pdf["tile_c"].iloc[0], *got)] if got else [], columns=["tile_r", "tile_c", "x", "y", "depth", "condition"])
-
-    return w.groupBy("tile_r", "tile_c").applyInPandas(run, "tile_r long, tile_c long, x double, y double, depth double, condition double")
+    p = G.products(_grid(spark, sf), 25.0, 25.0).withColumn("gz", -F.col("gz"))
+    return G.euler_solutions(p, 25.0, 25.0, 1.0).drop("grid")
 
 
 # gridding

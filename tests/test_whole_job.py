@@ -4,9 +4,8 @@ import os
 
 import numpy as np
 import pandas as pd
-import pytest
 
-from strataline.operators import fields as P
+from strataline.operators import fields as P, grids as G, kernels as K
 from strataline.queries import QUERIES
 
 
@@ -36,3 +35,29 @@ def test_tiles_follow_the_solve_of_all_points(spark):
     assert len(far) == len(near) == 850
     assert np.sqrt(np.mean((far - whole) ** 2)) < 0.02 * whole.std()
     assert np.sqrt(np.mean((near - whole) ** 2)) < 0.15 * whole.std()
+
+
+def test_euler_has_a_window_about_every_cell(spark):
+    r, c = (a.ravel() for a in np.mgrid[0:13, 0:40])
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame({"grid": 0, "r": r.astype("int32"), "c": c.astype("int32"), **{n: rng.normal(size=len(r)) for n in ("z", "gx", "gy", "gz")}})
+    cells.loc[cells.index % 17 == 5, "z"] = np.nan
+    got = G.euler_solutions(spark.createDataFrame(cells), 25.0, 20.0, 1.0).toPandas()
+    want = {}
+    for i, j in zip(r, c):
+        w = cells[(abs(cells["r"] - i) <= 4) & (abs(cells["c"] - j) <= 4)].dropna()
+        if s := K.euler_window(w["c"].to_numpy() * 25.0, w["r"].to_numpy() * 20.0, np.zeros(len(w)), *(w[n].to_numpy() for n in ("z", "gx", "gy", "gz")), 1.0):
+            want[i, j] = (len(w), *s)
+    assert len(got) == len(want) == 13 * 40
+    for row in got.itertuples():
+        assert np.allclose((row.samples, row.x, row.y, row.depth, row.condition), want[row.r, row.c], rtol=1e-6, atol=1e-6)
+    assert len(G.euler_solutions(spark.createDataFrame(cells), 25.0, 20.0, 1.0, stride=4).toPandas()) == 4 * 10
+
+
+def test_werner_tries_every_window(spark, tmp_path):
+    x, f = np.arange(200) * 10.0, np.random.default_rng(3).normal(size=200)
+    want = [w for i in range(194) if (w := K.werner_window(x[i : i + 7], f[i : i + 7]))]
+    pd.DataFrame({"event_id": np.arange(200), "user_id": 1, "ts": (pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(200), "s")).astype("datetime64[us]"), "event_type": "view", "value": f}).to_parquet(tmp_path / "events.parquet")
+    got = QUERIES["werner_profile"](spark, str(tmp_path)).toPandas()
+    assert len(got) == len(want) > len(K.werner_profile(x, f, stride=3))
+    assert np.allclose(sorted(got["position"]), sorted(p for p, _ in want), atol=1e-5)
