@@ -350,20 +350,26 @@ def _(spark, sf):
 
 @query("cole_cole_fit")
 def _(spark, sf):
-    def run(p):
-        f = np.logspace(-2, 3, 12)
-        rng = np.abs(np.asarray(p["embedding"].iloc[0][:12], float)) * 0.02
-        w = 2j * np.pi * f
+    def run(batches):
+        w = 2j * np.pi * np.logspace(-2, 3, 12)
 
         def model(x):
             z = x[0] * (1 - x[1] + x[1] / (1 + (w * 10 ** x[2]) ** x[3]))
             return np.concatenate([z.real, z.imag])
 
         truth = np.array([100.0, 0.3, -1.0, 0.5])
-        x, rms = K.fit_bounded(model, model(truth) * (1 + np.tile(rng, 2) * 0.01), np.array([80.0, 0.2, -0.5, 0.4]), np.array([1, 0, -4, 0.1]), np.array([1e4, 0.95, 3, 1.0]))
-        return pd.DataFrame({"vec_id": [p["vec_id"].iloc[0]], "rho0": [x[0]], "m": [x[1]], "log_tau": [x[2]], "c": [x[3]], "rms": [rms]})
-
-    return table(spark, sf, "embeddings").where("label = 0").select("vec_id", "embedding").groupBy("vec_id").applyInPandas(run, "vec_id long, rho0 double, m double, log_tau double, c double, rms double")
+        start, low, high = np.array([80.0, 0.2, -0.5, 0.4]), np.array([1, 0, -4, 0.1]), np.array([1e4, 0.95, 3, 1.0])
+        for p in batches:
+            rows = []
+            for i, e in zip(p["vec_id"], p["first"]):
+                rng = np.abs(np.asarray(e, float)) * 0.02
+                x, rms = K.fit_bounded(model, model(truth) * (1 + np.tile(rng, 2) * 0.01), start, low, high)
+                rows.append((i, *x, rms))
+            yield pd.DataFrame(rows, columns=["vec_id", "rho0", "m", "log_tau", "c", "rms"])
+
+    # dealt out, as a fit costs far more than its row
+    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 12).alias("first")).repartition("vec_id")
+    return e.mapInPandas(run, "vec_id long, rho0 double, m double, log_tau double, c double, rms double")
 
 
 @query("polygon_gravity_forward")

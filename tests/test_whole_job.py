@@ -61,3 +61,14 @@ def test_werner_tries_every_window(spark, tmp_path):
     got = QUERIES["werner_profile"](spark, str(tmp_path)).toPandas()
     assert len(got) == len(want) > len(K.werner_profile(x, f, stride=3))
     assert np.allclose(sorted(got["position"]), sorted(p for p, _ in want), atol=1e-5)
+
+
+def _embeddings(folder, values, label):
+    pd.DataFrame({"vec_id": np.arange(len(values)), "embedding": list(values.astype("float32")), "label": label}).to_parquet(os.path.join(folder, "embeddings.parquet"))
+    return str(folder)
+
+
+def test_every_spectrum_is_fitted(spark, tmp_path):
+    got = QUERIES["cole_cole_fit"](spark, _embeddings(tmp_path, np.random.default_rng(1).normal(size=(40, 64)), np.arange(40) % 10)).toPandas()
+    assert sorted(got["vec_id"]) == list(range(40))
+    assert (abs(got["rho0"] - 100) < 5).all() and (abs(got["m"] - 0.3) < 0.05).all() and (got["rms"] < 0.1).all()
