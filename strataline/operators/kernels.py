@@ -148,6 +148,15 @@ def nasvd(counts: np.ndarray, rank: int) -> np.ndarray:
     return (u[:, :rank] * s[:rank]) @ v[:rank] * np.sqrt(exposure * mean)
 
 
+def difference_noise(data: np.ndarray, floor: float = 1e-6) -> np.ndarray:
+    """Noise covariance of all channels from the differences of successive spectra (rows). Under two rows more than channels it
+    would be singular, and its empty directions would pass for signal: then the channels' noise counts as independent."""
+    cov = np.atleast_2d(np.cov(np.diff(data, axis=0).T)) / 2
+    if len(data) - 2 < data.shape[1]:
+        cov = np.diag(np.diag(cov))
+    return cov + np.eye(len(cov)) * floor
+
+
 def mnf(data: np.ndarray, noise: np.ndarray, keep: int) -> np.ndarray:
     """Minimum noise fraction: components in order of signal over noise, the first ``keep`` rebuilt."""
     mean = data.mean(axis=0)

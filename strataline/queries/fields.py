@@ -182,9 +182,10 @@ def _(spark, sf):
 @query("mnf_denoise")
 def _(spark, sf):
     def run(q):
-        a = np.abs(np.stack(q.sort_values("vec_id")["embedding"].to_numpy()).astype(float))[:, :16]
-        noise = np.cov(np.diff(a, axis=0).T) / 2 + np.eye(16) * 1e-6 if len(a) > 2 else np.eye(16)
-        return pd.DataFrame({"vec_id": np.sort(q["vec_id"]), "kept": K.mnf(a, noise, 5).sum(axis=1)}) if len(a) > 2 else pd.DataFrame({"vec_id": np.sort(q["vec_id"]), "kept": a.sum(axis=1)})
+        q = q.sort_values("vec_id")
+        a = np.abs(np.stack(q["embedding"].to_numpy()).astype(float))
+        kept = K.mnf(a, K.difference_noise(a), 5) if len(a) > 2 else a
+        return pd.DataFrame({"vec_id": q["vec_id"], "kept": kept.sum(axis=1)})
 
     return table(spark, sf, "embeddings").groupBy("label").applyInPandas(run, "vec_id long, kept double")
 

@@ -72,3 +72,16 @@ def test_every_spectrum_is_fitted(spark, tmp_path):
     got = QUERIES["cole_cole_fit"](spark, _embeddings(tmp_path, np.random.default_rng(1).normal(size=(40, 64)), np.arange(40) % 10)).toPandas()
     assert sorted(got["vec_id"]) == list(range(40))
     assert (abs(got["rho0"] - 100) < 5).all() and (abs(got["m"] - 0.3) < 0.05).all() and (got["rms"] < 0.1).all()
+
+
+def test_noise_modes_have_all_channels(spark, tmp_path):
+    a = np.abs(np.random.default_rng(2).normal(size=(130, 64))).astype("float32")
+    label = np.array([0] * 100 + [1] * 28 + [2] * 2)
+    got = QUERIES["mnf_denoise"](spark, _embeddings(tmp_path, a, label)).toPandas().set_index("vec_id")["kept"]
+    assert sorted(got.index) == list(range(130))
+    for k in (0, 1):
+        own = a[label == k].astype(float)
+        noise = np.cov(np.diff(own, axis=0).T) / 2
+        noise = (noise if k == 0 else np.diag(np.diag(noise))) + np.eye(64) * 1e-6
+        assert np.allclose(got[label == k], K.mnf(own, noise, 5).sum(axis=1), atol=1e-5)
+    assert np.allclose(got[128:], a[128:].sum(axis=1), atol=1e-4)
