@@ -339,8 +339,11 @@ def products(cells: DataFrame, dx: float, dy: float, *, grid: str = "grid", incl
     return out.select(grid, "r", "c", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in ("z", *names)])
 
 
-def radial_spectrum(z: np.ndarray, dx: float, dy: float, bins: int) -> pd.DataFrame:
-    """Mean power by radial wavenumber of a plane-detrended, Hann-tapered grid; the last bin is closed."""
+def radial_spectrum(z: np.ndarray, dx: float, dy: float, bins: int, azimuth: float | None = None, half_width: float = 15.0) -> pd.DataFrame:
+    """Mean power by radial wavenumber of a plane-detrended, Hann-tapered grid; the last bin is closed. With an azimuth (degrees
+    counterclockwise from easting, modulo 180), only wavenumbers at most ``half_width`` degrees from that axis, at both its ends."""
+    if azimuth is not None and not (np.isfinite(azimuth) and 0 < half_width <= 90):
+        raise ValueError("a finite azimuth, a half width over 0 and up to 90 degrees")
     rows, cols = np.mgrid[0 : z.shape[0], 0 : z.shape[1]]
     full = _filled(z)
     a = np.stack([np.ones(z.size), rows.ravel(), cols.ravel()], axis=1)
@@ -351,6 +354,8 @@ def radial_spectrum(z: np.ndarray, dx: float, dy: float, bins: int) -> pd.DataFr
     k = np.hypot(ke, kn).ravel()
     top = min(np.pi / dx, np.pi / dy)
     inside = (k > 0) & (k <= top)
+    if azimuth is not None:
+        inside &= np.abs((np.degrees(np.arctan2(kn, ke)).ravel() - azimuth + 90) % 180 - 90) <= half_width
     b = np.minimum((k[inside] / top * bins).astype(int), bins - 1)
     n = np.bincount(b, minlength=bins)
     return pd.DataFrame({"bin": np.arange(bins), "k": np.bincount(b, k[inside], bins) / np.maximum(n, 1), "power": np.bincount(b, power.ravel()[inside], bins) / np.maximum(n, 1), "n": n})[n > 0]

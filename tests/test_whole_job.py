@@ -85,3 +85,13 @@ def test_noise_modes_have_all_channels(spark, tmp_path):
         noise = (noise if k == 0 else np.diag(np.diag(noise))) + np.eye(64) * 1e-6
         assert np.allclose(got[label == k], K.mnf(own, noise, 5).sum(axis=1), atol=1e-5)
     assert np.allclose(got[128:], a[128:].sum(axis=1), atol=1e-4)
+
+
+def test_directional_bins_tell_directions_apart():
+    rows, cols = np.mgrid[0:64, 0:64]
+    z = np.sin(2 * np.pi * (cols + rows) / 8)
+    bins = lambda *a: G.radial_spectrum(z, 25.0, 25.0, 10, *a)
+    along, back, across = bins(45.0), bins(225.0), bins(135.0)
+    assert along["power"].max() > 1000 * across["power"].max() and along.equals(back)
+    assert np.isclose((bins(0.0, 90.0)["power"] * bins()["n"]).sum(), (bins()["power"] * bins()["n"]).sum())
+    assert along["n"].sum() < bins()["n"].sum()
