@@ -94,6 +94,17 @@ def _lengths_to_starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _keys(words: H.Words, hashes: np.ndarray) -> np.ndarray:
+    """Two independent sums over the words of a text identify it: texts x 2."""
+    n_words = np.diff(words.first)
+    within = np.arange(len(hashes)) - np.repeat(words.first[:-1], n_words)
+    keys = []
+    for salt in (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127):
+        terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum(H.mix(hashes ^ H.mix(within.astype(np.uint64) + np.uint64(salt))), dtype=np.uint64)))
+        keys.append(H.mix(terms[words.first[1:]] - terms[words.first[:-1]] + n_words.astype(np.uint64)))
+    return np.stack(keys, axis=1)
+
+
 class _Flush:
     """Texts of one task until they are sent."""
 
@@ -109,15 +120,10 @@ class _Flush:
         n_words = np.diff(words.first)
         grams, at = H.grams(hashes, words.text, self.k)
         owner = words.text[at]
-        # two independent sums over the words of a text identify it
-        within = np.arange(len(hashes)) - np.repeat(words.first[:-1], n_words)
-        keys = []
-        for salt in (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127):
-            terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum(H.mix(hashes ^ H.mix(within.astype(np.uint64) + np.uint64(salt))), dtype=np.uint64)))
-            keys.append(H.mix(terms[words.first[1:]] - terms[words.first[:-1]] + n_words.astype(np.uint64)))
+        keys = _keys(words, hashes)
         short = np.flatnonzero((n_words > 0) & (n_words < self.k))
-        grams, owner = np.concatenate([grams, keys[0][short]]), np.concatenate([owner, short])
-        self.parts.append((ids, np.stack(keys, axis=1), n_words == 0, grams, owner))
+        grams, owner = np.concatenate([grams, keys[short, 0]]), np.concatenate([owner, short])
+        self.parts.append((ids, keys, n_words == 0, grams, owner))
         self.shingles += len(grams)
 
     def rows(self, flush: int, n_buckets: int) -> list[dict]:
@@ -464,8 +470,23 @@ def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> Dat
     return full.groupBy("bucket", "i", "j").applyInArrow(_returning_memory(_compare(threshold)), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """(doc_id, class_id) of the documents whose class can have more than one; all others are alone."""
+def _with_node(docs: DataFrame, text_col: str, into: str) -> DataFrame:
+    """The rows with the node of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in H.slices(b, "t")):
+            texts = H.lowered(H.texts_of(batch.column(batch.num_columns - 1)))
+            words = H.words_of(texts)
+            keys = _keys(words, H.Hasher(texts.data).ranges(words.start, words.end))
+            node = pa.array([k.tobytes() for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), node], names=["row", into])
+
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.mapInArrow(run, rows.select("row", F.lit(b"").alias(into)).schema).select("row.*", into)
+
+
+def _named(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """(doc_id, node, class_id) of the texts whose class can have more than one; an id has a row for each of its texts."""
     found = candidates(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
     chosen = found.groupBy("node").agg(F.min("row").alias("row"))
     texts = staged(found.where("bands is not null").join(chosen.select("row"), "row", "left_semi"), "near_dup_distinct")
@@ -508,12 +529,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not new.isEmpty():
             labels = components(new if links is None else links.unionByName(new))
 
-    members = found.select("node", F.explode("doc_ids").alias("doc_id"))
+    members = found.select("node", F.explode("doc_ids").alias("doc_id")).withColumn("component", F.col("node"))
     if labels is not None:
-        members = members.join(labels, "node", "left").select(F.coalesce("component", "node").alias("node"), "doc_id")
-    names = members.groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    named = members.join(names, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return staged(named, "near_dup_classes")
+        members = members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = members.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return members.join(names, "component").select("doc_id", "node", "class_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """(doc_id, class_id) of the documents whose class can have more than one; all others are alone."""
+    named = _named(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
+    return staged(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near_dup_classes")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -524,14 +550,20 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id."""
-    named = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    drop = named.where("doc_id != class_id").select(F.col("doc_id").alias(id_col))
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    kept = docs.join(drop, id_col, "left_anti")
+    """``docs`` with one document of each class, the one with the smallest id. Of an id with several texts each text
+    stays or goes by its own class."""
     again = docs.groupBy(id_col).count().where("count > 1").where(F.col(id_col).isNotNull()).select(id_col)
-    if again.isEmpty():
-        return kept
+    if once := again.isEmpty():
+        named = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    else:
+        named = staged(_named(docs, id_col=id_col, text_col=text_col, **options).distinct(), "near_dup_classes")
+    drop = named.where("doc_id != class_id").withColumnRenamed("doc_id", id_col).drop("class_id")
+    few = drop.count() <= BROADCAST_ROWS
+    cut = lambda rows, by: rows.join(F.broadcast(drop.select(by)) if few else drop.select(by), by, "left_anti")
+    if once:
+        return cut(docs, [id_col])
     # rows of one id: equal ones once
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    more = docs.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    more = _with_node(more, text_col, "__node")
+    drop = drop.withColumnRenamed("node", "__node")
+    return cut(docs.join(again, id_col, "left_anti"), [id_col]).unionByName(cut(more, [id_col, "__node"]).drop("__node"))

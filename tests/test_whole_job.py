@@ -95,3 +95,12 @@ def test_directional_bins_tell_directions_apart():
     assert along["power"].max() > 1000 * across["power"].max() and along.equals(back)
     assert np.isclose((bins(0.0, 90.0)["power"] * bins()["n"]).sum(), (bins()["power"] * bins()["n"]).sum())
     assert along["n"].sum() < bins()["n"].sum()
+
+
+def test_a_text_stays_whose_id_has_another_text_with_an_earlier_copy(spark):
+    from strataline.llm import near_dup
+
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, word(1)), (5, word(1)), (5, word(2)), (5, word(2)), (7, word(3)), (9, word(2)), (None, word(1))]
+    kept = near_dup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, word(1)), (5, word(2)), (7, word(3)), (None, word(1))], key=repr)
