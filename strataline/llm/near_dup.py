@@ -9,31 +9,42 @@ The spread is small on purpose: the shingles of a text with thousands of near co
 are frequent, those that a copy changed are unique, and a wide idf would push copies
 that share over 0.8 of their shingles below the threshold because they are many.
 
-1. Tasks hash the shingles of their texts, collapse equal texts, and send the
-   hashes as packed arrays to buckets of the hash space. A bucket counts df
-   exactly and returns only the shingles that more than one document has.
+1. Tasks hash the shingles of their texts by flushes of about a million and collapse equal
+   texts. Each shingle of a flush goes once, with its count in the flush, to a bucket of the
+   hash space, however many of its texts have it; a bucket adds up df and returns the
+   shingles that more than one document has. Which text has which shingle travels with
+   the flush, as small deltas of places in its ordered shingles.
 2. Back at its texts, a text whose shared shingles weigh less than ``threshold`` of
    its total cannot have a partner and is done: no similarity can exceed that
    share. For the others, shingles of df 1 stand as one private element with their
    total weight (no other text can have them, so neither the similarity nor the
    sampling law changes), and ``bands * rows`` consistent weighted samples are drawn.
-   Of equal texts one goes on, and the shares are taken again among those left.
+   Of equal texts one goes on if it agrees with another on a band, and the shares are
+   taken again among those left.
 3. Texts that agree on a band meet in a bucket. Links are tried against leaders:
    the text of each bucket that meets the most others in all its buckets (the
    original of a group of copies, as they differ less from it than from each
    other), then 4 and 16 of those left, only between texts whose components differ.
    So a large group of copies costs about a star, not its pairs. In buckets that
-   still have several components after that, blocks of 512 texts are compared with
+   still have several components after that, blocks of about 512 texts are compared with
    each other, a pair in its first common bucket only: no link between texts of a
-   bucket is missed. Texts that share a long passage and little else fall out by
-   their private weights, which bound the similarity from above.
+   bucket is missed. That last step grows with the square of what is left of a bucket:
+   texts that agree on four samples, share ``threshold`` of their weight with other texts and
+   still are not linked to any of 21 leaders. Texts that share a long passage and little
+   else fall out before by their private weights, which bound the similarity from above.
 4. Every link is verified by the exact weighted Jaccard similarity.
 
+A step's table is deleted when the next one stands, and its shuffle files when it is written, so
+the disk holds the shuffle and the tables of one step and not those of the whole job.
 Classes, links and samples stay in tables; the driver sees counts only.
 
 Defined results: texts with equal words (an empty or null text has none) are one
-class; rows with equal doc_ids count as one document; a null doc_id gets a null class and
-is never compared; an empty table gives an empty result; other columns are ignored.
+class; rows that repeat a doc_id and its text count as one document, and an id with several
+texts belongs to the class of each of them (:func:`classes` names the smallest,
+:func:`deduplicate` decides text by text and keeps any one row of equal ids and texts); a
+null doc_id gets a null class and is never compared; an empty table gives an empty
+result; other columns are ignored, and ``bucket``, ``flush`` or the like among them
+does no harm. A text is hashed whole in one task, with some 40 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -47,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text_hash as H
-from .storage import staged
+from .storage import Steps, staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -57,10 +68,16 @@ LEADERS = (1, 4, 16)  # of a bucket, round by round
 BLOCK = 512  # texts of a bucket that meet at once in the last round
 FLUSH_SHINGLES = 1_000_000
 BUCKETS_PER_PARTITION = 2  # of the hash space, so that a bucket of shingles is a few MB
-BROADCAST_ROWS = 1_000_000  # at 8 bytes an id, the most that is ever broadcast
-
-_SENT = "bucket int, flush long, grams binary, texts binary, sizes binary, copies binary, tf_at binary, tf binary, ids binary, keys binary, mass binary, blanks binary"
-_BACK = "flush long, grams binary, texts binary, sizes binary, df binary, tf binary, copies binary, ids binary, keys binary, mass binary, blanks binary"
+BROADCAST_ROWS = 200_000  # at 16 to 40 bytes a row, the most that is ever broadcast; counted before
+
+# A row is either a flush's texts (``ids`` is set) or its shingles of one bucket.
+_FLUSH = "ids binary, copies binary, keys binary, mass binary, blanks binary, sizes binary, steps binary, far binary, tf_at binary, tf binary, n int"
+_SENT = f"bucket int, flush long, first int, low binary, high binary, many_at binary, many binary, {_FLUSH}"
+_BACK = f"bucket int, flush long, first int, bits binary, low binary, high binary, df binary, df_far binary, {_FLUSH}"
+_FLUSH_COLUMNS = [f.split()[0] for f in _FLUSH.split(", ")]
+_LOW_BITS = np.uint64(40)  # of a hash, kept beside the number of its bucket
+_LOW_MASK = np.uint64((1 << 40) - 1)
+_FAR = 0xFFFF
 _TEXT = "row long, node binary, doc_ids array<long>, total double, shared double, grams binary, weights binary, bands array<long>"
 
 
@@ -105,6 +122,36 @@ def _keys(words: H.Words, hashes: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def _dealt(flush: int, n_buckets: int) -> int:
+    """The bucket that a flush's own row goes by."""
+    return int(H.mix(np.array([flush], np.uint64))[0] % np.uint64(n_buckets))
+
+
+def _to_planes(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """The low 40 bits of hashes as 32 and 8 bits."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (hashes >> np.uint64(32) & np.uint64(0xFF)).astype("u1").tobytes()
+
+
+def _from_planes(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "u1").astype(np.uint64) << np.uint64(32)
+
+
+def _to_steps(place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that rise within each text as 16-bit differences, and those that are too large."""
+    step = np.diff(place, prepend=0)
+    first = _lengths_to_starts(sizes)[sizes > 0]
+    step[first] = place[first]
+    far = step >= _FAR
+    return np.where(far, _FAR, step).astype("<u2"), step[far].astype("<u4")
+
+
+def _from_steps(steps: bytes, far: bytes, sizes: np.ndarray) -> np.ndarray:
+    step = np.frombuffer(steps, "<u2").astype(np.int64)
+    step[step == _FAR] = np.frombuffer(far, "<u4")
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(step)))
+    return ends[1:] - np.repeat(ends[_lengths_to_starts(sizes)], sizes)
+
+
 class _Flush:
     """Texts of one task until they are sent."""
 
@@ -140,6 +187,8 @@ class _Flush:
         of_first[first] = np.arange(len(first))
         mine = of_first[owner] >= 0
         grams, text = grams[mine], of_first[owner[mine]]
+        # a hash is its bucket and its low bits from here on
+        grams = ((grams >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)) << _LOW_BITS | grams & _LOW_MASK
         order = np.lexsort((grams, text))
         grams, text = grams[order], text[order]
         new = np.ones(len(grams), bool)
@@ -148,24 +197,25 @@ class _Flush:
         tf = np.diff(np.append(starts, len(grams)))
         grams, text = grams[starts], text[starts]
         mass = np.bincount(text, weights=1 + np.log(tf), minlength=len(distinct))
-        bucket = ((grams >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
-        grams, text, tf, bucket = grams[order], text[order], tf[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        out = []
+        sizes = np.bincount(text, minlength=len(distinct))
+        shingles, place = np.unique(grams, return_inverse=True)
+        count = np.bincount(place, weights=copies[text], minlength=len(shingles)).astype(np.int64)
+        by_text, often = np.argsort(which, kind="stable"), np.flatnonzero(tf > 1)
+        steps, far = _to_steps(place, sizes)
+        out = [{
+            "bucket": _dealt(flush, n_buckets), "flush": flush, "ids": ids[by_text].astype("<i8").tobytes(), "copies": copies.astype("<u4").tobytes(), "keys": keys[first].tobytes(),
+            "mass": mass.tobytes(), "blanks": blank[first].tobytes(), "sizes": sizes.astype("<u4").tobytes(), "steps": steps.tobytes(), "far": far.tobytes(),
+            "tf_at": often.astype("<u4").tobytes(), "tf": tf[often].astype("<u4").tobytes(), "n": len(shingles),
+        }]
+        cuts = np.searchsorted(shingles, np.arange(n_buckets + 1, dtype=np.uint64) << _LOW_BITS)
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
-            here, sizes = np.unique(text[s], return_counts=True)
-            often = np.flatnonzero(tf[s] > 1)
+            many = np.flatnonzero(count[s] > 1)
+            low, high = _to_planes(shingles[s])
             out.append({
-                "bucket": int(b), "flush": flush, "grams": grams[s].tobytes(), "texts": here.astype("<u4").tobytes(), "sizes": sizes.astype("<u4").tobytes(),
-                "copies": copies[here].astype("<u4").tobytes(), "tf_at": often.astype("<u4").tobytes(), "tf": tf[s][often].astype("<u4").tobytes(),
+                "bucket": int(b), "flush": flush, "first": int(cuts[b]), "low": low, "high": high,
+                "many_at": many.astype("<u4").tobytes(), "many": count[s][many].astype("<u4").tobytes(),
             })
-        by_text = np.argsort(which, kind="stable")
-        out.append({
-            "bucket": flush % n_buckets, "flush": flush, "ids": ids[by_text].astype("<i8").tobytes(), "copies": copies.astype("<u4").tobytes(), "keys": keys[first].tobytes(),
-            "mass": mass.tobytes(), "blanks": blank[first].tobytes(),
-        })
         return out
 
 
@@ -191,31 +241,28 @@ def _send(n_buckets: int, shingle_words: int, flush_shingles: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: df of its shingles; returns the shared ones to their texts."""
+    """One bucket: df of its shingles; returns the shared ones to their flushes."""
     rows = table.to_pylist()
-    out = [{k: r[k] for k in ("flush", "ids", "copies", "keys", "mass", "blanks")} for r in rows if r["ids"] is not None]
+    out = [{k: r[k] for k in ("flush", *_FLUSH_COLUMNS)} for r in rows if r["ids"] is not None]
     rows = [r for r in rows if r["ids"] is None]
     if rows:
-        parts = [np.frombuffer(r["grams"], "<u8") for r in rows]
-        grams = np.concatenate(parts)
-        copies = np.concatenate([np.repeat(np.frombuffer(r["copies"], "<u4"), np.frombuffer(r["sizes"], "<u4")) for r in rows])
-        distinct, which = np.unique(grams, return_inverse=True)
-        df = np.bincount(which, weights=copies)[which].astype(np.int64)
-        at = 0
-        for r, own in zip(rows, parts):
-            mine = df[at : at + len(own)]
-            at += len(own)
+        parts = [_from_planes(r["low"], r["high"]) for r in rows]
+        ends = np.cumsum([len(p) for p in parts])
+        count = np.ones(ends[-1])
+        for r, end, own in zip(rows, ends, parts):
+            count[end - len(own) + np.frombuffer(r["many_at"], "<u4").astype(np.int64)] = np.frombuffer(r["many"], "<u4")
+        _, which = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(which, weights=count)[which].astype(np.int64)
+        for r, end, own in zip(rows, ends, parts):
+            mine = df[end - len(own) : end]
             shared = mine > 1
-            if not shared.any():
-                continue
-            tf = np.ones(len(own), "<u4")
-            tf[np.frombuffer(r["tf_at"], "<u4")] = np.frombuffer(r["tf"], "<u4")
-            texts, sizes = np.frombuffer(r["texts"], "<u4"), np.frombuffer(r["sizes"], "<u4")
-            n = np.add.reduceat(shared.astype("<u4"), _lengths_to_starts(sizes))
-            out.append({
-                "flush": r["flush"], "grams": own[shared].tobytes(), "df": mine[shared].astype("<u8").tobytes(), "tf": tf[shared].tobytes(),
-                "texts": texts[n > 0].tobytes(), "sizes": n[n > 0].astype("<u4").tobytes(),
-            })
+            if shared.any():
+                low, high = _to_planes(own[shared])
+                near = np.minimum(mine[shared], 255)
+                out.append({
+                    "bucket": r["bucket"], "flush": r["flush"], "first": r["first"], "bits": np.packbits(shared).tobytes(), "low": low, "high": high,
+                    "df": near.astype("u1").tobytes(), "df_far": mine[shared][near == 255].astype("<u8").tobytes(),
+                })
     return pa.Table.from_batches([_batch(_BACK, out)])
 
 
@@ -266,10 +313,21 @@ def _weigh(n_docs: int, threshold: float, bands: int, rows: int):
         copies = np.frombuffer(info["copies"], "<u4").astype(np.int64)
         ids, keys = np.frombuffer(info["ids"], "<i8"), np.frombuffer(info["keys"], "V16")
         mass, blank = np.frombuffer(info["mass"]), np.frombuffer(info["blanks"], bool)
-        parts = [r for r in got if r["ids"] is None]
-        glue = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in parts)])
-        grams, df, tf = glue("grams", "<u8"), glue("df", "<u8"), glue("tf", "<u4")
-        text = np.repeat(glue("texts", "<u4").astype(np.int64), glue("sizes", "<u4"))
+        gram_of, df_of = np.zeros(info["n"], np.uint64), np.ones(info["n"], np.int64)
+        for r in got:
+            if r["ids"] is None:
+                at = r["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], "u1")))
+                gram_of[at] = H.mix(np.uint64(r["bucket"]) << _LOW_BITS | _from_planes(r["low"], r["high"]))
+                found = np.frombuffer(r["df"], "u1").astype(np.int64)
+                found[found == 255] = np.frombuffer(r["df_far"], "<u8").astype(np.int64)
+                df_of[at] = found
+        sizes = np.frombuffer(info["sizes"], "<u4").astype(np.int64)
+        place, text = _from_steps(info["steps"], info["far"], sizes), np.repeat(np.arange(len(sizes)), sizes)
+        tf = np.ones(len(place), np.int64)
+        tf[np.frombuffer(info["tf_at"], "<u4")] = np.frombuffer(info["tf"], "<u4")
+        common = df_of[place] > 1
+        place, text, tf = place[common], text[common], tf[common]
+        grams, df = gram_of[place], df_of[place]
         times = 1 + np.log(tf)
         weights = times * idf(df, n_docs)
         shared = np.bincount(text, weights=weights, minlength=len(copies))
@@ -308,15 +366,23 @@ def _weigh(n_docs: int, threshold: float, bands: int, rows: int):
     return run
 
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, flush_shingles: int = FLUSH_SHINGLES) -> DataFrame:
+def _beside(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, as the smaller side of a join: broadcast if it is counted to be
+    small, else shuffled as it is, so that adaptive execution can split a large key of the other side."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def candidates(docs: DataFrame, steps: Steps, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, flush_shingles: int = FLUSH_SHINGLES) -> DataFrame:
     """The texts that can have a partner (and all equal texts): steps 1 and 2."""
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     n_docs = max(source.count(), 1)
     n_buckets = BUCKETS_PER_PARTITION * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = source.mapInArrow(_send(n_buckets, shingle_words, flush_shingles), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_returning_memory(_count), _BACK)
-    return staged(back.groupBy("flush").applyInArrow(_returning_memory(_weigh(n_docs, threshold, bands, rows)), _TEXT), "near_dup_texts")
+    back = steps.table(sent.groupBy("bucket").applyInArrow(_returning_memory(_count), _BACK), "shared")
+    found = steps.table(back.groupBy("flush").applyInArrow(_returning_memory(_weigh(n_docs, threshold, bands, rows)), _TEXT), "texts")
+    steps.drop(back)
+    return found
 
 
 def _similar(threshold: float):
@@ -349,60 +415,84 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_similar(threshold), "a binary, b binary, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b): the component is its smallest
     node. Each round takes the least label of the neighbours, then the label's own label."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "near_dup_labels")
+    steps = steps or Steps(links.sparkSession, "components")
+    both = steps.table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = steps.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("nearest"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "nearest").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = staged(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "near_dup_labels")
-        labels = step.select("node", "component")
+        side = _beside(labels)
+        near = both.join(side.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("nearest"))
+        step = near.join(side, "node").select("node", F.col("component").alias("old"), F.least("component", "nearest").alias("component"))
+        jump = side.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        step = steps.table(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        steps.drop(labels)
+        labels = step
         if step.where("component != old").isEmpty():
-            return labels
+            steps.drop(both)
+            return labels.select("node", "component")
 
 
-_PART = "bucket int, grams binary, weights binary, rows binary, sizes binary"
+_SHARE = "flush long, rows binary, alive binary"
+_PART = "bucket int, grams binary, weights binary, rows binary, sizes binary, many binary, alive binary"
 
 
 def _scatter(n_buckets: int):
+    """Shingles to their buckets. One that several texts of a slice have is known to be shared: it goes to its
+    bucket once, without texts, and its weight is added up here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in H.slices(b, "grams")):
+        for batch in (s for b in batches for s in H.slices(b, "grams", 8 * H.SLICE_BYTES)):
             parts = [np.frombuffer(g, "<u8") for g in batch.column("grams").to_pylist()]
             grams = np.concatenate(parts)
             weights = np.frombuffer(b"".join(batch.column("weights").to_pylist()), "<f4")
             rows = np.repeat(batch.column("row").to_numpy(), [len(x) for x in parts])
-            bucket = ((grams >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            _, first, which, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+            several = n[which] > 1
             out = []
-            for b in np.flatnonzero(np.diff(cuts)):
+            if several.any():
+                mine, owner = np.unique(rows[several], return_inverse=True)
+                alive = np.bincount(owner, weights=weights[several].astype(np.float64))
+                flush = mine >> 24
+                cuts = [0, *(np.flatnonzero(np.diff(flush)) + 1), len(mine)]
+                out += [{"bucket": _dealt(flush[a], n_buckets), "rows": mine[a:b].tobytes(), "alive": alive[a:b].tobytes()} for a, b in zip(cuts, cuts[1:])]
+            many = np.sort(grams[first[n > 1]])
+            grams, weights, rows = grams[~several], weights[~several], rows[~several]
+            edges = np.arange(n_buckets + 1)
+            place = lambda g: ((g >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = place(grams)
+            order = np.argsort(bucket, kind="stable")
+            cuts, many_cuts = np.searchsorted(bucket[order], edges), np.searchsorted(place(many), edges)
+            for b in np.flatnonzero(np.diff(cuts) + np.diff(many_cuts)):
                 at = order[cuts[b] : cuts[b + 1]]
                 starts = np.flatnonzero(np.diff(rows[at], prepend=-1))
-                out.append({"bucket": int(b), "grams": grams[at].tobytes(), "weights": weights[at].tobytes(), "rows": rows[at][starts].tobytes(), "sizes": np.diff(np.append(starts, len(at))).astype("<u4").tobytes()})
+                out.append({
+                    "bucket": int(b), "grams": grams[at].tobytes(), "weights": weights[at].tobytes(), "rows": rows[at][starts].tobytes(),
+                    "sizes": np.diff(np.append(starts, len(at))).astype("<u4").tobytes(), "many": many[many_cuts[b] : many_cuts[b + 1]].tobytes(),
+                })
             yield _batch(_PART, out)
 
     return run
 
 
-_SHARE = "flush long, rows binary, alive binary"
-
-
 def _alive(table: pa.Table) -> pa.Table:
     """One bucket: the weight of each text's shingles that another text has too, packed by flush."""
     parts = table.to_pylist()
-    grams = np.concatenate([np.frombuffer(r["grams"], "<u8") for r in parts])
-    weights = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in parts]).astype(np.float64)
-    rows = np.concatenate([np.repeat(np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["sizes"], "<u4")) for r in parts])
-    _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
-    both = n[which] > 1
-    distinct, owner = np.unique(rows[both], return_inverse=True)
-    alive = np.bincount(owner, weights=weights[both], minlength=len(distinct))
-    flush = distinct >> 24
-    cuts = [0, *(np.flatnonzero(np.diff(flush)) + 1), len(distinct)]
-    out = [{"flush": int(flush[a]), "rows": distinct[a:b].tobytes(), "alive": alive[a:b].tobytes()} for a, b in zip(cuts, cuts[1:]) if b > a]
+    out = [{"flush": int(np.frombuffer(r["rows"], "<i8")[0]) >> 24, "rows": r["rows"], "alive": r["alive"]} for r in parts if r["alive"] is not None]
+    parts = [r for r in parts if r["alive"] is None]
+    if parts:
+        grams = np.concatenate([np.frombuffer(r["grams"], "<u8") for r in parts])
+        weights = np.concatenate([np.frombuffer(r["weights"], "<f4") for r in parts]).astype(np.float64)
+        rows = np.concatenate([np.repeat(np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["sizes"], "<u4")) for r in parts])
+        many = np.concatenate([np.frombuffer(r["many"], "<u8") for r in parts])
+        _, which, n = np.unique(np.concatenate((grams, many)), return_inverse=True, return_counts=True)
+        both = n[which[: len(grams)]] > 1
+        distinct, owner = np.unique(rows[both], return_inverse=True)
+        alive = np.bincount(owner, weights=weights[both], minlength=len(distinct))
+        flush = distinct >> 24
+        cuts = [0, *(np.flatnonzero(np.diff(flush)) + 1), len(distinct)]
+        out += [{"flush": int(flush[a]), "rows": distinct[a:b].tobytes(), "alive": alive[a:b].tobytes()} for a, b in zip(cuts, cuts[1:]) if b > a]
     return pa.Table.from_batches([_batch(_SHARE, out)])
 
 
@@ -412,21 +502,24 @@ def _sum_alive(table: pa.Table) -> pa.Table:
     return pa.table({"row": distinct, "alive": np.bincount(owner, weights=np.frombuffer(b"".join(table.column("alive").to_pylist())), minlength=len(distinct))})
 
 
-def _only_with_partners(texts: DataFrame, threshold: float) -> DataFrame:
-    """``texts``, all different, with ``shared`` as the weight of the shingles that another of them has, and
-    only those for which that is at least ``threshold`` of the total."""
+def _shared_weights(texts: DataFrame) -> DataFrame:
+    """(row, shared): the weight of a text's shingles that another of the ``texts``, all different, has."""
     n_buckets = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = texts.select("row", "grams", "weights").mapInArrow(_scatter(n_buckets), _PART).groupBy("bucket").applyInArrow(_alive, _SHARE)
-    alive = shares.groupBy("flush").applyInArrow(_sum_alive, "row long, alive double")
-    return texts.drop("shared").join(alive, "row").where(F.col("alive") >= F.col("total") * threshold - 1e-6).withColumnRenamed("alive", "shared")
+    shares = texts.select("row", "grams", "weights").mapInArrow(_scatter(n_buckets), _PART).groupBy("bucket").applyInArrow(_returning_memory(_alive), _SHARE)
+    return shares.groupBy("flush").applyInArrow(_sum_alive, "row long, alive double").withColumnRenamed("alive", "shared")
 
 
-def _hopeful(members: DataFrame, threshold: float) -> DataFrame:
+def _hopeful(members: DataFrame, threshold: float, steps: Steps) -> DataFrame:
     """Members of buckets with more than one component that can have a partner there: what a text
     shares is at least ``threshold`` of its own total and the least private weight in the bucket together."""
-    private = F.col("total") - F.col("shared")
-    stats = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(private).alias("least")).where("low != high").select("bucket", "least")
-    return members.join(stats, "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least")
+    for _ in range(2):
+        private = F.col("total") - F.col("shared")
+        stats = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(private).alias("least")).where("low != high").select("bucket", "least")
+        stats = steps.table(stats, "stats")
+        rest = steps.table(members.join(_beside(stats), "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least"), "buckets")
+        steps.drop(stats, members)
+        members = rest
+    return members
 
 
 def _compare(threshold: float):
@@ -458,16 +551,17 @@ def _compare(threshold: float):
     return run
 
 
-def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) that join components of the buckets ``left``. A bucket is cut into blocks of ``BLOCK`` texts and each two
-    blocks are one group, so a group has a bounded number of texts however large its bucket is."""
-    place = ((F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1) / BLOCK).cast("int")
-    placed = left.select("bucket", "node", "component").withColumn("block", place)
-    n = placed.groupBy("bucket").agg(F.max("block").alias("last"))
-    spread = placed.join(n, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    full = spread.join(texts.select("node", "total", "shared", "grams", "weights", "bands"), "node")
-    return full.groupBy("bucket", "i", "j").applyInArrow(_returning_memory(_compare(threshold)), "a binary, b binary")
+def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float, steps: Steps) -> DataFrame:
+    """(a, b) that join components of the buckets ``left``. A bucket is dealt by hash to blocks of about ``BLOCK`` texts and
+    each two blocks are one group, so a group has a bounded number of texts however large its bucket is."""
+    n = steps.table(left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    placed = left.select("bucket", "node", "component", "total", "shared").join(_beside(n), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "total", "shared")
+    full = spread.join(texts.select("node", "grams", "weights", "bands"), "node")
+    out = steps.table(full.groupBy("bucket", "i", "j").applyInArrow(_returning_memory(_compare(threshold)), "a binary, b binary"), "links")
+    steps.drop(n)
+    return out
 
 
 def _with_node(docs: DataFrame, text_col: str, into: str) -> DataFrame:
@@ -485,61 +579,94 @@ def _with_node(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     return rows.mapInArrow(run, rows.select("row", F.lit(b"").alias(into)).schema).select("row.*", into)
 
 
-def _named(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """(doc_id, node, class_id) of the texts whose class can have more than one; an id has a row for each of its texts."""
-    found = candidates(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
-    chosen = found.groupBy("node").agg(F.min("row").alias("row"))
-    texts = staged(found.where("bands is not null").join(chosen.select("row"), "row", "left_semi"), "near_dup_distinct")
-    texts = staged(_only_with_partners(texts, threshold), "near_dup_distinct")
-
-    spread = texts.select("node", "total", "shared", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
-    met = spread.join(crowded, "bucket")
-    company = met.groupBy("node").agg(F.sum("n").alias("company"))
-    left = met.drop("n").join(company, "node").withColumn("component", F.col("node"))
-    left = staged(_hopeful(_hopeful(left, threshold), threshold), "near_dup_buckets")
+def _crowded(found: DataFrame, steps: Steps) -> DataFrame:
+    """(bucket, node, row, total, company) of the different texts that agree on a band with another: ``company`` is
+    how many they meet in all their buckets."""
+    one = found.where("bands is not null").groupBy("node").agg(F.min(F.struct("row", "total", "bands")).alias("x"))
+    spread = steps.table(one.select("node", "x.row", "x.total", F.explode("x.bands").alias("bucket")), "spread")
+    n = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
+    n = steps.table(n, "crowded")
+    met = steps.table(spread.join(_beside(n), "bucket"), "met")
+    steps.drop(spread, n)
+    company = steps.table(met.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    out = steps.table(met.drop("n").join(_beside(company), "node"), "members")
+    steps.drop(met, company)
+    return out
+
+
+def _leaders(left: DataFrame, leaders: int) -> DataFrame:
+    """The first of each bucket. Tasks keep that many of a bucket before they send them, so a large one is no large task."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
+    leading = left.withColumn("k", rank).where(F.col("k") <= leaders)
+    return leading.select("bucket", *[F.col(c).alias(f"its_{c}") for c in ("node", "company", "component", "total", "shared")])
+
+
+def _links(found: DataFrame, threshold: float, steps: Steps) -> DataFrame | None:
+    """(node, component) of the different texts of ``found`` that have a partner."""
+    members = _crowded(found, steps)
+    rows = steps.table(members.select("row").distinct(), "rows")
+    texts = steps.table(found.select("row", "node", "total", "grams", "weights", "bands").join(_beside(rows), "row", "left_semi"), "distinct")
+    shared = steps.table(_shared_weights(texts), "alive")
+    left = members.join(_beside(shared), "row").where(F.col("shared") >= F.col("total") * threshold - 1e-6).drop("row").withColumn("component", F.col("node"))
+    left = _hopeful(steps.table(left, "buckets"), threshold, steps)
+    steps.drop(rows, shared, members, found)
     tried = links = labels = None
     for leaders in LEADERS:
         if left.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
-        leading = left.withColumn("k", rank).where(F.col("k") <= leaders)
-        leading = leading.select("bucket", *[F.col(c).alias(f"its_{c}") for c in ("node", "company", "component", "total", "shared")])
+        leading = steps.table(_leaders(left, leaders), "leaders")
         most = F.least("shared", "its_shared")  # nothing above this can be common to both
         can = most >= (F.col("total") + F.col("its_total") - most) * threshold - 1e-6
-        pairs = left.join(leading, "bucket").where("(company < its_company or company = its_company and its_node < node) and component != its_component").where(can)
+        pairs = left.join(_beside(leading), "bucket").where("(company < its_company or company = its_company and its_node < node) and component != its_component").where(can)
         pairs = pairs.select(F.least("its_node", "node").alias("a"), F.greatest("its_node", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = staged(_verify(pairs, texts, threshold), "near_dup_pairs")
+        pairs = steps.table(pairs, "pairs")
+        checked = steps.table(_verify(pairs, texts, threshold), "checked")
+        steps.drop(pairs)
         tried = checked if tried is None else tried.unionByName(checked)
         new = checked.where("linked").select("a", "b")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            labels = components(links)
+            labels = components(links, steps)
         # the leaders were compared with all; buckets of one component are done
-        rest = left.drop("component").join(leading.select("bucket", F.col("its_node").alias("node")), ["bucket", "node"], "left_anti")
+        rest = left.drop("component").join(_beside(steps.table(leading.select("bucket", F.col("its_node").alias("node")), "led")), ["bucket", "node"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rest = rest.join(_beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             rest = rest.withColumn("component", F.col("node"))
-        left = staged(_hopeful(_hopeful(rest, threshold), threshold), "near_dup_buckets")
+        rest = steps.table(rest, "buckets")
+        steps.drop(left, leading)
+        left = _hopeful(rest, threshold, steps)
     if not left.isEmpty():
-        new = staged(_links_in_blocks(left, texts, threshold), "near_dup_pairs")
+        new = _links_in_blocks(left, texts, threshold, steps)
         if not new.isEmpty():
-            labels = components(new if links is None else links.unionByName(new))
+            labels = components(new if links is None else links.unionByName(new), steps)
+    return labels
+
 
-    members = found.select("node", F.explode("doc_ids").alias("doc_id")).withColumn("component", F.col("node"))
+def _named(docs: DataFrame, steps: Steps, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """(doc_id, node, class_id) of the texts whose class can have more than one; an id has a row for each of its texts."""
+    found = candidates(docs, steps, id_col=id_col, text_col=text_col, threshold=threshold, **options)
+    members = steps.table(found.select("node", F.explode("doc_ids").alias("doc_id")), "ids")
+    labels = _links(found, threshold, steps)
+    members = members.withColumn("component", F.col("node"))
     if labels is not None:
-        members = members.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = members.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return members.join(names, "component").select("doc_id", "node", "class_id")
+        members = members.drop("component").join(_beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = steps.table(members, "members")
+    names = steps.table(members.groupBy("component").agg(F.min("doc_id").alias("class_id")), "names")
+    named = steps.table(members.join(_beside(names), "component").select("doc_id", "node", "class_id"), "named")
+    steps.drop_others(named)
+    return named
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """(doc_id, class_id) of the documents whose class can have more than one; all others are alone."""
-    named = _named(docs, id_col=id_col, text_col=text_col, threshold=threshold, **options)
-    return staged(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near_dup_classes")
+    steps = Steps(docs.sparkSession, "near_dup")
+    named = _named(docs, steps, id_col=id_col, text_col=text_col, threshold=threshold, **options)
+    out = steps.table(named.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "classes")
+    steps.drop(named)
+    return out
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -556,10 +683,10 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if once := again.isEmpty():
         named = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     else:
-        named = staged(_named(docs, id_col=id_col, text_col=text_col, **options).distinct(), "near_dup_classes")
+        steps = Steps(docs.sparkSession, "near_dup")
+        named = _named(docs, steps, id_col=id_col, text_col=text_col, **options).distinct()
     drop = named.where("doc_id != class_id").withColumnRenamed("doc_id", id_col).drop("class_id")
-    few = drop.count() <= BROADCAST_ROWS
-    cut = lambda rows, by: rows.join(F.broadcast(drop.select(by)) if few else drop.select(by), by, "left_anti")
+    cut = lambda rows, by: rows.join(_beside(staged(drop.select(by), "near_dup_dropped")), by, "left_anti")
     if once:
         return cut(docs, [id_col])
     # rows of one id: equal ones once

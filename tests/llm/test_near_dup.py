@@ -90,3 +90,34 @@ def test_gamma_quantiles():
     x = near_dup.gamma_table(8)
     q = (np.arange(256) + 0.5) / 256
     assert np.allclose(1 - (1 + x) * np.exp(-x), q, atol=1e-9)
+
+
+def test_steps_and_planes_come_back():
+    r = np.random.default_rng(3)
+    sizes = np.array([0, 5, 1, 0, 300, 2])
+    place = np.concatenate([np.sort(r.choice(500_000, n, replace=False)) for n in sizes])
+    steps, far = near_dup._to_steps(place, sizes)
+    assert len(far) and np.array_equal(near_dup._from_steps(steps.tobytes(), far.tobytes(), sizes), place)
+    hashes = r.integers(0, 1 << 40, 100).astype(np.uint64)
+    assert np.array_equal(near_dup._from_planes(*near_dup._to_planes(hashes)), hashes)
+
+
+def test_a_passage_that_most_documents_share_and_leftover_blocks(spark, monkeypatch):
+    """Hot shingles, one bucket with several families, and the comparison in blocks."""
+    monkeypatch.setattr(near_dup, "LEADERS", (1,))
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(150)]
+    rows = []
+    for family in range(6):
+        own = [word() for _ in range(40)]
+        for i in range(12):
+            copy = passage + own
+            for k in r.sample(range(len(copy)), 2):
+                copy = copy[:k] + [word()] + copy[k + 1 :]
+            rows.append((100 * family + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.classes(docs, flush_shingles=3000).collect()}
+    want = brute([{"doc_id": i, "text": t} for i, t in rows])
+    assert got == want
