@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text_hash as H
-from .storage import Steps, staged
+from .storage import Steps, beside, staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -68,7 +68,6 @@ LEADERS = (1, 4, 16)  # of a bucket, round by round
 BLOCK = 512  # texts of a bucket that meet at once in the last round
 FLUSH_SHINGLES = 1_000_000
 BUCKETS_PER_PARTITION = 2  # of the hash space, so that a bucket of shingles is a few MB
-BROADCAST_ROWS = 200_000  # at 16 to 40 bytes a row, the most that is ever broadcast; counted before
 
 # A row is either a flush's texts (``ids`` is set) or its shingles of one bucket.
 _FLUSH = "ids binary, copies binary, keys binary, mass binary, blanks binary, sizes binary, steps binary, far binary, tf_at binary, tf binary, n int"
@@ -366,12 +365,6 @@ def _weigh(n_docs: int, threshold: float, bands: int, rows: int):
     return run
 
 
-def _beside(df: DataFrame) -> DataFrame:
-    """``df``, a written table of narrow rows, as the smaller side of a join: broadcast if it is counted to be
-    small, else shuffled as it is, so that adaptive execution can split a large key of the other side."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def candidates(docs: DataFrame, steps: Steps, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, flush_shingles: int = FLUSH_SHINGLES) -> DataFrame:
     """The texts that can have a partner (and all equal texts): steps 1 and 2."""
     spark = docs.sparkSession
@@ -422,7 +415,7 @@ def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
     both = steps.table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = steps.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        side = _beside(labels)
+        side = beside(labels)
         near = both.join(side.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("nearest"))
         step = near.join(side, "node").select("node", F.col("component").alias("old"), F.least("component", "nearest").alias("component"))
         jump = side.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -516,7 +509,7 @@ def _hopeful(members: DataFrame, threshold: float, steps: Steps) -> DataFrame:
         private = F.col("total") - F.col("shared")
         stats = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(private).alias("least")).where("low != high").select("bucket", "least")
         stats = steps.table(stats, "stats")
-        rest = steps.table(members.join(_beside(stats), "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least"), "buckets")
+        rest = steps.table(members.join(beside(stats), "bucket").where(F.col("shared") >= (F.col("total") + F.col("least")) * threshold - 1e-6).drop("least"), "buckets")
         steps.drop(stats, members)
         members = rest
     return members
@@ -555,7 +548,7 @@ def _links_in_blocks(left: DataFrame, texts: DataFrame, threshold: float, steps:
     """(a, b) that join components of the buckets ``left``. A bucket is dealt by hash to blocks of about ``BLOCK`` texts and
     each two blocks are one group, so a group has a bounded number of texts however large its bucket is."""
     n = steps.table(left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    placed = left.select("bucket", "node", "component", "total", "shared").join(_beside(n), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = left.select("bucket", "node", "component", "total", "shared").join(beside(n), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "total", "shared")
     full = spread.join(texts.select("node", "grams", "weights", "bands"), "node")
@@ -586,10 +579,10 @@ def _crowded(found: DataFrame, steps: Steps) -> DataFrame:
     spread = steps.table(one.select("node", "x.row", "x.total", F.explode("x.bands").alias("bucket")), "spread")
     n = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low != high").select("bucket", "n")
     n = steps.table(n, "crowded")
-    met = steps.table(spread.join(_beside(n), "bucket"), "met")
+    met = steps.table(spread.join(beside(n), "bucket"), "met")
     steps.drop(spread, n)
     company = steps.table(met.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    out = steps.table(met.drop("n").join(_beside(company), "node"), "members")
+    out = steps.table(met.drop("n").join(beside(company), "node"), "members")
     steps.drop(met, company)
     return out
 
@@ -605,9 +598,9 @@ def _links(found: DataFrame, threshold: float, steps: Steps) -> DataFrame | None
     """(node, component) of the different texts of ``found`` that have a partner."""
     members = _crowded(found, steps)
     rows = steps.table(members.select("row").distinct(), "rows")
-    texts = steps.table(found.select("row", "node", "total", "grams", "weights", "bands").join(_beside(rows), "row", "left_semi"), "distinct")
+    texts = steps.table(found.select("row", "node", "total", "grams", "weights", "bands").join(beside(rows), "row", "left_semi"), "distinct")
     shared = steps.table(_shared_weights(texts), "alive")
-    left = members.join(_beside(shared), "row").where(F.col("shared") >= F.col("total") * threshold - 1e-6).drop("row").withColumn("component", F.col("node"))
+    left = members.join(beside(shared), "row").where(F.col("shared") >= F.col("total") * threshold - 1e-6).drop("row").withColumn("component", F.col("node"))
     left = _hopeful(steps.table(left, "buckets"), threshold, steps)
     steps.drop(rows, shared, members, found)
     tried = links = labels = None
@@ -617,7 +610,7 @@ def _links(found: DataFrame, threshold: float, steps: Steps) -> DataFrame | None
         leading = steps.table(_leaders(left, leaders), "leaders")
         most = F.least("shared", "its_shared")  # nothing above this can be common to both
         can = most >= (F.col("total") + F.col("its_total") - most) * threshold - 1e-6
-        pairs = left.join(_beside(leading), "bucket").where("(company < its_company or company = its_company and its_node < node) and component != its_component").where(can)
+        pairs = left.join(beside(leading), "bucket").where("(company < its_company or company = its_company and its_node < node) and component != its_component").where(can)
         pairs = pairs.select(F.least("its_node", "node").alias("a"), F.greatest("its_node", "node").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -630,9 +623,9 @@ def _links(found: DataFrame, threshold: float, steps: Steps) -> DataFrame | None
             links = new if links is None else links.unionByName(new)
             labels = components(links, steps)
         # the leaders were compared with all; buckets of one component are done
-        rest = left.drop("component").join(_beside(steps.table(leading.select("bucket", F.col("its_node").alias("node")), "led")), ["bucket", "node"], "left_anti")
+        rest = left.drop("component").join(beside(steps.table(leading.select("bucket", F.col("its_node").alias("node")), "led")), ["bucket", "node"], "left_anti")
         if labels is not None:
-            rest = rest.join(_beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            rest = rest.join(beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             rest = rest.withColumn("component", F.col("node"))
         rest = steps.table(rest, "buckets")
@@ -652,10 +645,10 @@ def _named(docs: DataFrame, steps: Steps, *, id_col: str = "doc_id", text_col: s
     labels = _links(found, threshold, steps)
     members = members.withColumn("component", F.col("node"))
     if labels is not None:
-        members = members.drop("component").join(_beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = members.drop("component").join(beside(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = steps.table(members, "members")
     names = steps.table(members.groupBy("component").agg(F.min("doc_id").alias("class_id")), "names")
-    named = steps.table(members.join(_beside(names), "component").select("doc_id", "node", "class_id"), "named")
+    named = steps.table(members.join(beside(names), "component").select("doc_id", "node", "class_id"), "named")
     steps.drop_others(named)
     return named
 
@@ -686,7 +679,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         steps = Steps(docs.sparkSession, "near_dup")
         named = _named(docs, steps, id_col=id_col, text_col=text_col, **options).distinct()
     drop = named.where("doc_id != class_id").withColumnRenamed("doc_id", id_col).drop("class_id")
-    cut = lambda rows, by: rows.join(_beside(staged(drop.select(by), "near_dup_dropped")), by, "left_anti")
+    cut = lambda rows, by: rows.join(beside(staged(drop.select(by), "near_dup_dropped")), by, "left_anti")
     if once:
         return cut(docs, [id_col])
     # rows of one id: equal ones once

@@ -13,8 +13,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BROADCAST_ROWS = 200_000  # of at most some 100 bytes a row, the most that is ever broadcast; counted before
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -79,6 +80,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Steps(df.sparkSession, name).table(df, "table")
 
 
+def beside(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, as the smaller side of a join: broadcast if it is counted to have at
+    most ``rows``, else shuffled as it is, so that adaptive execution can split a large key of the other side."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`new_folder` whose rows nothing reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
