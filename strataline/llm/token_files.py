@@ -16,7 +16,8 @@ all runs of a batch.
 
 Defined results: a null text counts as empty; null doc_ids come first; rows with
 equal doc_ids are separate documents, ordered by payload; an empty table gives an
-empty folder of ids; other columns are ignored.
+empty folder of ids; other columns are ignored; a text is encoded whole in one task, with some
+40 bytes of memory for each of its bytes, and one whose codes need 512 MB or more raises ValueError.
 """
 
 from __future__ import annotations
@@ -38,10 +39,29 @@ RUN = 256  # ids between checkpoints
 BLOCK_BOUNDS = 100_000  # most blocks that doc_ids are dealt into
 
 
+def _merged_lengths(weights: np.ndarray, max_bits: int) -> np.ndarray:
+    """Package-merge: lengths of the optimal code of at most ``max_bits`` for weights in ascending order. Each
+    level holds the weights and the pairs of the level before; of the last level 2n - 2 entries are taken, and
+    every package among them takes its two entries below."""
+    n = len(weights)
+    level, leaves = weights, [np.ones(n, bool)]
+    for _ in range(max_bits - 1):
+        packages = level[: len(level) // 2 * 2].reshape(-1, 2).sum(axis=1)
+        both = np.concatenate((weights, packages))
+        order = np.argsort(both, kind="stable")
+        level = both[order]
+        leaves.append(order < n)
+    lengths, take = np.zeros(n, np.uint8), 2 * n - 2
+    for is_leaf in reversed(leaves):
+        taken = int(is_leaf[:take].sum())
+        lengths[:taken] += 1
+        take = 2 * (take - taken)
+    return lengths
+
+
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code, none over ``max_bits``. Huffman's algorithm;
-    where it gives longer codes, package-merge's result by repeated halving of the
-    counts' range: rare ids are raised to a floor that doubles until all fit."""
+    """Lengths of an optimal prefix code among those with no length over ``max_bits``: Huffman's algorithm;
+    where that gives longer codes, package-merge."""
     present = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if not len(present):
@@ -51,23 +71,22 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
     if len(present) == 1:
         lengths[present] = 1
         return lengths
-    floor = 1
-    while True:
-        weights = np.maximum(counts[present], floor)
-        heap = [(int(w), i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = np.zeros(2 * len(present) - 1, np.int64)
-        for node in range(len(present), 2 * len(present) - 1):
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = node
-            heapq.heappush(heap, (a + b, node))
-        depth = np.zeros(len(parent), np.int64)
-        for node in range(len(parent) - 2, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if depth[: len(present)].max() <= max_bits:
-            lengths[present] = depth[: len(present)]
-            return lengths
-        floor = max(floor * 2, int(weights.sum()) >> max_bits + 4)
+    heap = [(int(w), i) for i, w in enumerate(counts[present])]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * len(present) - 1, np.int64)
+    for node in range(len(present), 2 * len(present) - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = node
+        heapq.heappush(heap, (a + b, node))
+    depth = np.zeros(len(parent), np.int64)
+    for node in range(len(parent) - 2, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    depth = depth[: len(present)]
+    if depth.max() > max_bits:
+        order = np.argsort(counts[present], kind="stable")
+        depth[order] = _merged_lengths(counts[present][order].astype(np.float64), max_bits)
+    lengths[present] = depth
+    return lengths
 
 
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
@@ -97,6 +116,8 @@ class Codec:
         ends = np.cumsum(sizes)
         last = np.cumsum(counts)
         bits = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], last))])
+        if len(bits) and bits.max() >= 1 << 32:
+            raise ValueError("a document of 512 MB or more after coding doesn't fit 32-bit checkpoints")
         byte_base = np.concatenate(([0], np.cumsum((bits + 7) // 8)))
         first_bit = np.concatenate(([0], ends))[last - counts]
         at = ends - sizes + np.repeat(byte_base[:-1] * 8 - first_bit, counts)

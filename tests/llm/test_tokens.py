@@ -146,3 +146,38 @@ def test_token_files_of_nothing(spark, empty):
     path = new_folder(spark, "test")
     token_files.write(empty, e, path, vocabulary=e.vocabulary)
     assert token_files.read(spark, path).count() == 0
+
+
+def _least_cost(counts, max_bits):
+    """The cheapest lengths that a prefix code can have, by trying all of them."""
+    from itertools import product
+
+    best = None
+    for lengths in product(range(1, max_bits + 1), repeat=len(counts)):
+        if sum(2.0**-n for n in lengths) <= 1:
+            cost = sum(c * n for c, n in zip(counts, lengths))
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=2, max_size=6), st.integers(3, 4))
+def test_length_limited_codes_are_optimal(counts, max_bits):
+    lengths = token_files.code_lengths(np.array(counts), max_bits)
+    assert lengths.max() <= max_bits and sum(2.0 ** -int(n) for n in lengths) <= 1
+    assert sum(c * int(n) for c, n in zip(counts, lengths)) == _least_cost(counts, max_bits)
+
+
+def test_limited_codes_of_a_large_vocabulary():
+    counts = np.maximum(1, (10**9 / np.arange(1, 40_001) ** 2.2).astype(np.int64))
+    lengths = token_files.code_lengths(counts, 16)
+    assert lengths.max() == 16 and abs((2.0 ** -lengths.astype(float)).sum() - 1) < 1e-9
+
+
+def test_a_long_document_is_packed_without_copies():
+    p = packing.Packer(4, 2)
+    ids = np.arange(43, dtype="<u4").tobytes()
+    p.add(7, 0, ids, 43)
+    p.finish()
+    pieces = sorted((s, x) for w in p.done for _, s, x, _ in w)
+    assert b"".join(x for _, x in pieces) == ids and [s for s, _ in pieces][:3] == [0, 4, 8]
