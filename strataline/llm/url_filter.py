@@ -6,7 +6,8 @@ segments of a path can matter, as many as the longest rule has; so pages share
 few distinct sites (that tail and head), and the sites, not the pages, are expanded
 into expressions. Expressions meet rules on the first 32 bits of their SHA-256;
 the full digest confirms; the longest rule wins, block before allow at equal length.
-The result joins back to the pages by site. All of it is built-in expressions.
+The sites that a rule fits, a written table, join back to the pages: broadcast if they are counted to
+be few, else by a shuffle that splits a site with many pages. All of it is built-in expressions.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and gets the default; repeated rows get equal rows; no rules or no pages work;
@@ -19,6 +20,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .storage import beside, staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,5 +74,6 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     fits = keyed.join(hashed, "short").where("full = digest")
     rank = F.struct(F.length("rule"), F.col("verdict") == "block", "rule")
     best = fits.groupBy("tail", "head").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
-    joined = split.join(best, ["tail", "head"], "left")
+    # sites that a rule fits are few, pages of one site can be many: the sites go to the pages
+    joined = split.join(beside(staged(best, "url_filter_sites")), ["tail", "head"], "left")
     return joined.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

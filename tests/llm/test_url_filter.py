@@ -44,3 +44,10 @@ def test_block_wins_at_equal_length_and_bad_rules_are_refused(spark):
     for bad in (("/x/", "block"), ("a/x", "block"), ("a/", "maybe")):
         with pytest.raises(ValueError):
             url_filter.rules_table(spark, [bad])
+
+
+def test_one_host_on_most_pages(spark):
+    urls = [f"http://hot.net/p{i}" if i % 10 else f"http://site{i}.org/fr/x" for i in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(6)
+    got = {r["page_id"]: r for r in url_filter.judge(pages, url_filter.rules_table(spark, URL_RULES)).collect()}
+    assert all(tuple(got[i])[1:] == judged(u) for i, u in enumerate(urls))
