@@ -10,7 +10,9 @@ shrinks with the square root of the number of words.
 
 Defined results: a null text counts as empty (no words, base_failed, not kept);
 a null language is the language ``und``; repeated rows are judged alike, each
-by itself; an empty table gives an empty result; other columns pass through, but
+by itself; an empty table gives an empty result; a text is measured whole in one task, with some 40
+bytes of memory for each of its bytes. A label that only few or only junk documents have is its own reference,
+so the distances say nothing against them and the base rules alone decide; other columns pass through, but
 for one that has the name of the new column, which is replaced.
 """
 
@@ -42,6 +44,7 @@ MAX_REPEAT_PERCENT = 50
 CHAR_LIMIT = (0.12, 1.0)
 WORD_LIMIT = (0.17, 1.8)
 MAX_LANGUAGES = 10_000
+_UNIT = 1 << 40
 
 _CLASSES = 9  # vowels, consonants, capitals, digits, spaces, line ends and tabs, sentence marks, other ASCII, letters beyond ASCII
 
@@ -140,7 +143,8 @@ def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     """language -> (shares of character classes, shares of common words).
 
     Each partition sends one row of sums per language, and the driver gets one
-    row per language (at most ``MAX_LANGUAGES``, or this raises ValueError).
+    row per language (at most ``MAX_LANGUAGES``, or this raises ValueError). Shares are
+    summed as whole numbers of 2**-40, so the sums don't hang on how rows are dealt.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,21 +156,21 @@ def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
             chars, common = _shares(m["chars"]), _shares(m["common"])
             for lang in set(langs[good]):
                 at = good & (langs == lang)
-                got = sums.setdefault(lang, [0, 0.0, 0.0])
+                got = sums.setdefault(lang, [0, 0, 0])
                 got[0] += int(at.sum())
-                got[1] = got[1] + chars[at].sum(axis=0)
-                got[2] = got[2] + common[at].sum(axis=0)
+                got[1] = got[1] + np.rint(chars[at] * _UNIT).astype(np.int64).sum(axis=0)
+                got[2] = got[2] + np.rint(common[at] * _UNIT).astype(np.int64).sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [v[0] for v in sums.values()], "chars": [v[1].tolist() for v in sums.values()], "common": [v[2].tolist() for v in sums.values()]})
 
-    sums = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(partial, "lang string, n long, chars array<double>, common array<double>")
+    sums = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(partial, "lang string, n long, chars array<long>, common array<long>")
     total = [F.sum("n").alias("n")]
     for name, size in (("chars", _CLASSES), ("common", len(BINS) + 1)):
-        total.append(F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name))
+        total.append(F.array(*[F.sum(F.col(name)[i].cast("decimal(38,0)")) for i in range(size)]).alias(name))
     rows = sums.groupBy("lang").agg(*total).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r["lang"]: ([x / r["n"] for x in r["chars"]], [x / r["n"] for x in r["common"]]) for r in rows}
+    return {r["lang"]: ([int(x) / (_UNIT * r["n"]) for x in r["chars"]], [int(x) / (_UNIT * r["n"]) for x in r["common"]]) for r in rows}
 
 
 def score(
