@@ -32,6 +32,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from .storage import beside, staged
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 FILE_BYTES = 64 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -299,7 +301,7 @@ def page_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     large = rows.where(F.col("payload_bytes") >= min_revisit_bytes).select("page", "payload_digest")
     kept = large.groupBy("payload_digest").agg(F.max("page").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = large.join(kept, "payload_digest").where("page != target").distinct()
+    revisits = large.join(beside(staged(kept, "warc_targets")), "payload_digest").where("page != target").distinct()
     out = rows.join(revisits, ["page", "payload_digest"], "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     revisit = F.col("target").isNotNull()
@@ -313,3 +315,15 @@ def page_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
         "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the archives in ``path``. Responses are read with
+    their payloads, whose bytes and digest are taken; revisits by their headers alone, as the filter on
+    record_type goes to the reader and their blocks are passed over."""
+    page = lambda c: F.expr(f"try_cast(substr({c}, 10) as bigint)").alias  # noqa: E731  after urn:page:
+    source = spark.read.format("warc")
+    whole = source.load(path).where("record_type = 'response'")
+    heads = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
+    whole = whole.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    return whole.drop("payload").unionByName(heads.drop("payload")).select(page("record_id")("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to")("refers_to"))
