@@ -11,12 +11,13 @@ voters' terms, and that scores every text. Voting, training and scoring see the
 text alone.
 
 The models are fitted on a bounded sample: at most ``max_training_rows`` labelled
-rows (the ones whose hashed doc_id is smallest). Every row is scored.
+rows (the ones whose hashed doc_id is smallest) with at most ``max_training_bytes`` of text. Every row is scored.
 
 Defined results: a null or empty text has no votes and gets the score of a text
 without evidence; repeated rows get equal scores; a null doc_id is scored and
 never trained on; without training rows of both labels the lexicon alone votes;
-an empty table gives an empty result; other columns pass through, but for those that
+an empty table gives an empty result; a text is scored whole in one task, with some 40 bytes of
+memory for each of its bytes; other columns pass through, but for those that
 have the names of the new columns, which are replaced.
 """
 
@@ -27,9 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import text_hash as H
+from .storage import staged
 
 # Insults used as lexicon voters.
 LEXICON = (
@@ -40,6 +42,7 @@ LEXICON = (
 ).split()
 
 MAX_TRAINING_ROWS = 8_000
+MAX_TRAINING_BYTES = 64 << 20
 FIT_SLICE = 1 << 19  # bytes of text at a time while fitting on the driver
 MAX_STEMS = 300
 MIN_TOXIC_ROWS = 6  # training rows of label 1 that have a mined stem
@@ -278,15 +281,21 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, max_stems: int = MAX_STEMS) ->
     return Model(lexicon, stems, center.astype(np.float64), spread.astype(np.float64), _fit_logistic(x, posterior))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_training_rows: int = MAX_TRAINING_ROWS, max_training_bytes: int = MAX_TRAINING_BYTES) -> Model:
     """``labels``: the rows (id, label) that may be learned from. Those with the
     smallest hash of their id, ``max_training_rows`` at most, are joined to
-    ``docs`` by a broadcast and come to the driver; an id counts once."""
+    ``docs`` by a broadcast; an id counts once (of several texts the one with the smallest
+    hash). Of these rows, in the order of their ids' hashes, as many come to the driver as have ``max_training_bytes``
+    of text together."""
     rank = F.xxhash64(F.col(id_col))
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = chosen.orderBy(rank, id_col).limit(max_training_rows).select(F.col(id_col).alias("_id"), F.col("_label").cast("int").alias("_label"))
     rows = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_own") == F.col("_id"))
-    table = rows.select("_id", "_text", "_label").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text").alias("text"))).alias("_row"), F.first("_label").alias("_label"))
+    rows = staged(rows.select("_id", F.col("_row.text").alias("_text"), "_label"), "toxicity_sample")  # max_training_rows at most
+    so_far = F.sum(F.octet_length("_text").cast("long")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    within = rows.select("_id", so_far.alias("_bytes")).where(F.col("_bytes") <= max_training_bytes).select("_id")
+    table = rows.join(F.broadcast(within), "_id", "left_semi").toArrow().sort_by([("_id", "ascending")])
     return fit_rows(table.column("_text").combine_chunks(), table.column("_label").to_numpy().astype(np.int64))
 
 
