@@ -58,3 +58,24 @@ def test_query_against_brute_force(spark, documents, rows, tmp_path):
 def test_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert op10_token_rollup(spark, str(tmp_path)).count() == 0
+
+
+def test_a_move_that_broke_off_is_repeated(spark):
+    r = T.Rollup(spark, new_folder(spark, "rollup"))
+    r._fs.mkdirs(r._jpath(f"{r.path}/batches/b1"))
+    r._fs.create(r._jpath(f"{r.path}/batches/b1/part-0.parquet")).close()
+    one = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], SCHEMA)
+    assert not r.committed("b1") and r.totals().count() == 0
+    assert r.commit("b1", one) and not r.commit("b1", one) and r.totals().first()["n_tokens"] == 10
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([("x y", 5, "k"), (None, None, None)], "text string, n_tokens long, text_key string")
+    got = T.count_tokens(docs, word_encoder(None))
+    assert got.columns == ["n_tokens", "text_key"] and got.agg({"n_tokens": "sum"}).first()[0] > 0
+
+
+def test_one_text_on_most_rows(spark, tmp_path):
+    spark.range(300).selectExpr("id AS doc_id", "if(id % 10 > 0, 'same words here', concat('text ', id)) AS text", "'s' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_token_rollup(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0]["n_docs"] == 31
