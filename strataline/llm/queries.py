@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import near_dup, packing, pieces, quality, simhash, sql, token_files, token_rollup, toxicity, url_filter, warc
-from .storage import new_folder, staged
+from .storage import beside, new_folder, staged
 from .word_ids import WordEncoder
 
 END_ID = 2
@@ -66,7 +66,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = rows.groupBy("fp").agg(F.count("*").alias("n"))
     asked = rows.where("doc_id % 100 = 0").select("fp")
     near = simhash.within_radius(copies, asked).join(copies, "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("n_near"))
-    return rows.join(near, "fp", "left").select(
+    return rows.join(beside(staged(near, "simhash_near")), "fp", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -83,15 +83,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = new_folder(spark, "warc")
     warc.page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
-    page = lambda c: F.expr(f"try_cast(substr({c}, 10) as bigint)")  # noqa: E731  after urn:page:
-    return read.select(
-        page("record_id").alias("page_id"),
-        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
-        F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-    )
+    return warc.read_pages(spark, path)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +104,8 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     counted = staged(token_rollup.count_tokens(docs, word_encoder(None)), "token_counts").withColumn("tokenizer", F.lit("word_bpe_49k"))
     keys, none = token_rollup.KEYS, F.lit(None).cast("long")
-    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    later = counted.join(first, "text_key").withColumn("later", F.col("doc_id") > F.col("first_id"))
+    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = counted.join(beside(staged(first, "token_firsts")), "text_key", "left").withColumn("later", F.col("doc_id") > F.col("first_id"))
     inserts = counted.select(F.lit("insert").alias("op"), *keys, "n_tokens", none.alias("old_tokens"))
     deletes = later.where("later").select(F.lit("delete").alias("op"), *keys, "n_tokens", none.alias("old_tokens"))
     revised = later.where("not coalesce(later, false)").select(F.lit("revise").alias("op"), *keys, (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens"))

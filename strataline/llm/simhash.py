@@ -30,7 +30,7 @@ RADIUS = 3
 BLOCKS = 6
 CHUNK = 127  # most terms whose counts fit a byte and leave the sign bit of the long alone
 LANES = 0x0101010101010101
-MAX_RANGES = 1000
+MAX_RANGES = 100_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,31 +93,39 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _bounds_below(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below ``x``: the steps of about the square root of their number first,
+    then those within a step. The bounds are one folded constant."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    count = lambda array: F.aggregate(array, F.lit(0), lambda n, b: n + (b < x).cast("int"))
+    steps = count(constant(bounds[step - 1 :: step]))
+    return steps * step + count(F.slice(constant(bounds), steps * step + 1, F.lit(step)))
+
+
 def with_next(docs: DataFrame, order_col: str, text_col: str, carried: list[str]) -> DataFrame:
     """Each row with ``next_<c>`` for c of ``carried``: the values of the next row by
     descending ``order_col`` (nulls last, then by text); after the last comes the first.
 
     Rows are dealt to ranges of the order, one shuffle, and each range also gets a
     copy of the first row of the range below it. Driver: a bound and an id per
-    range, at most ``MAX_RANGES``."""
+    range, at most ``MAX_RANGES``, which are also all that is broadcast."""
     spark = docs.sparkSession
     n = min(MAX_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = [k / n for k in range(1, n)] or [0.5]
-    bounds = sorted(set(docs.agg(F.percentile_approx(order_col, cuts, 10_000)).first()[0] or []))
-    key = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order_col))), F.lit(0)) if bounds else F.lit(0)
-    key = F.when(F.col(order_col).isNull(), 0).otherwise(key).cast("int")
+    bounds = sorted(set(docs.agg(F.percentile_approx(order_col, cuts, max(10_000, 10 * n))).first()[0] or []))
+    key = F.when(F.col(order_col).isNull(), 0).otherwise(_bounds_below(F.col(order_col), bounds)).cast("int")
     tops = sorted((r["k"], r["top"]) for r in docs.groupBy(key.alias("k")).agg(F.max(order_col).alias("top")).collect() if r["top"] is not None)
-    to = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    own = F.struct(key.alias("range"), F.lit(False).alias("guest"))
-    if to:
-        target = F.element_at(F.create_map(*[F.lit(x) for kv in to.items() for x in kv]), F.col(order_col))
-        placed = F.when(target.isNull(), F.array(own)).otherwise(F.array(own, F.struct(target.cast("int").alias("range"), F.lit(True).alias("guest"))))
-    else:  # no row has an order: each is followed by the first of them
-        placed = F.array(own)
-    rows = docs.select("*", F.inline(placed))
+    rows = docs.withColumn("range", key).withColumn("guest", F.lit(False))
+    if tops:
+        guests = spark.createDataFrame([(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)], f"top {docs.schema[order_col].dataType.simpleString()}, target int")
+        first = docs.join(F.broadcast(guests), F.col(order_col) == F.col("top")).withColumn("range", F.col("target")).withColumn("guest", F.lit(True))
+        rows = rows.unionByName(first.drop("top", "target"))
     w = Window.partitionBy("range").orderBy(F.col("guest"), F.col(order_col).desc_nulls_last(), F.col(text_col).asc_nulls_first())
     for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(w), F.first(c).over(w)) if not to else F.lead(c).over(w))
+        rows = rows.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(w), F.first(c).over(w)) if not tops else F.lead(c).over(w))
     return rows.where("not guest").drop("range", "guest")
 
 

@@ -56,3 +56,41 @@ def test_likeness_falls_with_edits(spark):
     df = spark.createDataFrame([(a, half, b)], "a string, h string, b string")
     r = df.select(*[simhash.likeness(simhash.fingerprint(F.col("a")), simhash.fingerprint(F.col(c))).alias(c) for c in "ahb"]).first()
     assert r["a"] == 1 and r["a"] > r["h"] > r["b"]
+
+
+def test_query_against_brute_force(spark, documents, rows, tmp_path):
+    """near_documents and the likenesses of op6_simhash; a third of the texts are empty."""
+    from strataline.llm.queries import op6_simhash
+
+    more = spark.createDataFrame([(1000 + i, "") for i in range(40)], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_simhash(spark, str(tmp_path)).collect()
+    fps = [int(r["fingerprint"], 16) for r in got]
+    assert len(got) == len(rows) + 40
+    for r, fp in zip(got, fps):
+        near = sum((fp ^ other).bit_count() <= simhash.RADIUS for other in fps) - 1
+        assert r["near_documents"] == (near if r["doc_id"] is not None and r["doc_id"] % 100 == 0 else None), r
+        assert abs(r["near_edited"] - (1 - (fp ^ int(r["edited_fingerprint"], 16)).bit_count() / 64)) < 1e-12
+
+
+def test_bounds_are_counted(spark):
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 10, 1000):
+        bounds = sorted(set(r.integers(-500, 500, n).tolist()))
+        got = spark.range(-510, 510, 7).select("id", simhash._bounds_below(F.col("id"), bounds).alias("k")).collect()
+        assert all(x["k"] == sum(b < x["id"] for b in bounds) for x in got), n
+
+
+def test_next_over_many_ranges(spark):
+    r = np.random.default_rng(5)
+    ids = r.choice(10**6, 400, replace=False).tolist()
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = {x["doc_id"]: x["next_text"] for x in simhash.with_next(docs, "doc_id", "text", ["text"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(ids, reverse=True)
+    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
