@@ -260,11 +260,11 @@ def butterworth_low(k: Column, wavelength: float, order: int) -> Column:
 
 
 def butterworth_high(k: Column, wavelength: float, order: int) -> Column:
-    return F.when(k > 0, 1 / F.sqrt(F.pow(F.try_divide(F.lit(_cutoff(wavelength)), k), F.lit(2.0 * order)) + 1)).otherwise(0.0)
+    return F.when(k > 0, 1 / F.sqrt(F.pow(F.try_divide(F.lit(_cutoff(wavelength)), k), F.lit(2.0 * order)) + 1)).when(k <= 0, 0.0)
 
 
 def ideal_band(k: Column, long: float, short: float) -> Column:
-    return F.when((k >= _cutoff(long)) & (k <= _cutoff(short)), 1.0).otherwise(0.0)
+    return F.when((k >= _cutoff(long)) & (k <= _cutoff(short)), 1.0).when(k.isNotNull(), 0.0)
 
 
 def cosine_rolloff(k: Column, long: float, short: float, degree: int) -> Column:
@@ -286,7 +286,7 @@ def downward(k: Column, height: float, wavelength: float, order: int, max_gain:
 
 
 def vertical_integration(k: Column) -> Column:
-    return F.when(k > 0, F.try_divide(F.lit(1.0), k)).otherwise(0.0)
+    return F.when(k > 0, F.try_divide(F.lit(1.0), k)).when(k <= 0, 0.0)
 
 
 def gaussian_low(k: Column, wavelength: float) -> Column:

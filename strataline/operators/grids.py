@@ -1,8 +1,7 @@
 """Rasters as cell tables (grid, r, c, z): r grows to the north, c to the east; a null z is missing.
 
-Stencils are windows or neighbour sums on the cell table; whole-grid transforms run
-one NumPy kernel per grid (``applyInPandas`` by grid id), so grids are the unit of
-distribution; :func:`tiles` cuts a large grid into overlapping tiles first.
+Stencils are windows or neighbour sums on the cell table; Fourier transforms run one NumPy
+kernel per tile and its halo (:func:`by_tile`), so a grid of any size is many bounded tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+TILE, HALO = 512, 128  # cells: at most 768 x 768 in one call of a Fourier kernel
+
 Transfer = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]  # (k_east, k_north, k) -> response
 
 
@@ -110,13 +111,29 @@ def mosaic(layers: Sequence[DataFrame]) -> DataFrame:
     return out.groupBy("r", "c").agg(F.avg("z").alias("z"), F.count("z").alias("layers"))
 
 
-def tiles(cells: DataFrame, size: int, halo: int) -> DataFrame:
-    """Each cell in every tile whose core or halo has it: columns tile_r, tile_c and ``core``."""
+def tiles(cells: DataFrame, size: int, halo: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Each cell in every tile whose core or halo has it, of the tiles with a cell in their core: columns tile_r, tile_c and ``core``."""
     lo = lambda p: F.floor((F.col(p) - halo) / size)
     hi = lambda p: F.floor((F.col(p) + halo) / size)
     out = cells.withColumn("tile_r", F.explode(F.sequence(lo("r"), hi("r")))).withColumn("tile_c", F.explode(F.sequence(lo("c"), hi("c"))))
     core = (F.floor(F.col("r") / size) == F.col("tile_r")) & (F.floor(F.col("c") / size) == F.col("tile_c"))
-    return out.withColumn("core", core).where("tile_r >= 0 and tile_c >= 0")
+    own = Window.partitionBy(*keys, "tile_r", "tile_c")
+    return out.withColumn("core", core).withColumn("__cores", F.max("core").over(own)).where("__cores").drop("__cores")
+
+
+def by_tile(cells: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], names: Sequence[str], *, grid: str = "grid", tile: int = TILE, halo: int = HALO) -> DataFrame:
+    """One call of the kernel per tile and its halo (a frame of grid, r, c, z, one row a cell, whose rows it keeps in place); of its rows (grid, r, c, z and ``names``, doubles) the
+    core's stay. A grid not larger than a tile and its halo is one call of its own cells, so a group never has more than
+    (tile + 2 halo)^2 cells; across tiles a transform sees ``halo`` cells beyond its core and no more, which is enough
+    for responses that fade within them."""
+    kind = cells.schema[grid].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(pdf[[grid, "r", "c", "z"]].copy())[[grid, "r", "c", "z", *names]]
+        return out[pdf["core"].to_numpy()]
+
+    cut = tiles(cells.select(grid, "r", "c", "z"), tile, halo, [grid])
+    return cut.groupBy(grid, "tile_r", "tile_c").applyInPandas(run, f"{grid} {kind}, r int, c int, z double, " + ", ".join(f"{n} double" for n in names))
 
 
 def euler_solutions(cells: DataFrame, dx: float, dy: float, index: float, *, window: int = 9, stride: int = 1, tile: int = 32, grid: str = "grid") -> DataFrame:
@@ -206,8 +223,9 @@ def spectral_filter(z: np.ndarray, dx: float, dy: float, transfers: Sequence[Tra
     return out
 
 
-def fft_filter(cells: DataFrame, transfers: Sequence[Transfer], dx: float, dy: float, *, grid: str = "grid", detrend: int = 1, pad: float = 0.25) -> DataFrame:
-    """``cells`` (grid, r, c, z) with ``filtered``; consecutive filters are one pass (give all their transfers)."""
+def fft_filter(cells: DataFrame, transfers: Sequence[Transfer], dx: float, dy: float, *, grid: str = "grid", detrend: int = 1, pad: float = 0.25, tile: int = TILE, halo: int = HALO) -> DataFrame:
+    """``cells`` (grid, r, c, z) with ``filtered``; consecutive filters are one pass (give all their transfers). Grids larger than
+    ``tile`` are filtered by tiles with ``halo`` cells around them (see :func:`by_tile`)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, r0, c0 = dense(pdf)
@@ -215,8 +233,7 @@ def fft_filter(cells: DataFrame, transfers: Sequence[Transfer], dx: float, dy: f
         pdf["filtered"] = out[pdf["r"] - r0, pdf["c"] - c0]
         return pdf
 
-    kind = cells.schema[grid].dataType.simpleString()
-    out = cells.select(grid, "r", "c", "z").groupBy(grid).applyInPandas(run, f"{grid} {kind}, r int, c int, z double, filtered double")
+    out = by_tile(cells, run, ["filtered"], grid=grid, tile=tile, halo=halo)
     return out.withColumn("filtered", F.when(~F.isnan("filtered"), F.col("filtered"))).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
@@ -318,7 +335,7 @@ def airy_flexure(thickness: float, crust: float = 2670.0, mantle: float = 3300.0
     return lambda ke, kn, k: 1 / (rigidity * k**4 + (mantle - crust) * gravity)
 
 
-def products(cells: DataFrame, dx: float, dy: float, *, grid: str = "grid", inclination: float | None = None, declination: float = 0.0, pad: float = 0.25) -> DataFrame:
+def products(cells: DataFrame, dx: float, dy: float, *, grid: str = "grid", inclination: float | None = None, declination: float = 0.0, pad: float = 0.25, tile: int = TILE, halo: int = HALO) -> DataFrame:
     """Derivative products of each grid from one padded spectrum (after reduction to the pole if
     an inclination is given): dx, dy, dz, dz2, thdr, analytic signal, tilt, tdx, theta, and upward residual."""
     first = [] if inclination is None else [field_transform((inclination, declination))]
@@ -334,8 +351,7 @@ def products(cells: DataFrame, dx: float, dy: float, *, grid: str = "grid", incl
         at = pdf["r"] - r0, pdf["c"] - c0
         return pdf.assign(**{n: v[at] for n, v in zip(names, values)})
 
-    kind = cells.schema[grid].dataType.simpleString()
-    out = cells.select(grid, "r", "c", "z").groupBy(grid).applyInPandas(run, f"{grid} {kind}, r int, c int, z double, " + ", ".join(f"{n} double" for n in names))
+    out = by_tile(cells, run, names, grid=grid, tile=tile, halo=halo)
     return out.select(grid, "r", "c", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in ("z", *names)])
 
 
@@ -359,3 +375,36 @@ def radial_spectrum(z: np.ndarray, dx: float, dy: float, bins: int, azimuth: flo
     b = np.minimum((k[inside] / top * bins).astype(int), bins - 1)
     n = np.bincount(b, minlength=bins)
     return pd.DataFrame({"bin": np.arange(bins), "k": np.bincount(b, k[inside], bins) / np.maximum(n, 1), "power": np.bincount(b, power.ravel()[inside], bins) / np.maximum(n, 1), "n": n})[n > 0]
+
+
+def block_spectra(cells: DataFrame, dx: float, dy: float, bins: int, *, grid: str = "grid", block: int = TILE, azimuth: float | None = None) -> DataFrame:
+    """(grid, bin, k, power, n): :func:`radial_spectrum` of blocks of a grid, averaged over its blocks by their samples (partial
+    sums before the shuffle)."""
+    kind = cells.schema[grid].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return radial_spectrum(dense(pdf)[0], dx, dy, bins, azimuth).assign(**{grid: pdf[grid].iloc[0]})[[grid, "bin", "k", "power", "n"]]
+
+    cut = cells.select(grid, "r", "c", "z", F.floor(F.col("r") / block).alias("tile_r"), F.floor(F.col("c") / block).alias("tile_c"))
+    each = cut.groupBy(grid, "tile_r", "tile_c").applyInPandas(run, f"{grid} {kind}, bin int, k double, power double, n long")
+    mean = lambda x: F.try_divide(F.sum(F.col(x) * F.col("n")), F.sum("n")).alias(x)
+    return each.groupBy(grid, "bin").agg(mean("k"), mean("power"), F.sum("n").alias("n"))
+
+
+def minimum_curvature_tiles(nodes: DataFrame, *, tile: int = TILE, halo: int = HALO, tolerance: float = 1e-4, rounds: int = 2000) -> DataFrame:
+    """(r, c, z) of every cell of the tiles that have a node, from node means (r, c, z), rows and columns from 0 to the
+    largest: one relaxation per tile and its halo."""
+    from .kernels import minimum_curvature
+
+    top = nodes.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["tile_r"].iloc[0]), int(pdf["tile_c"].iloc[0])
+        r0, c0 = max(0, tr * tile - halo), max(0, tc * tile - halo)
+        r1, c1 = min(top["r"] + 1, (tr + 1) * tile + halo), min(top["c"] + 1, (tc + 1) * tile + halo)
+        out, _ = minimum_curvature(pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0, pdf["z"].to_numpy(), (r1 - r0, c1 - c0), tolerance=tolerance, rounds=rounds)
+        r, c = (i.ravel() for i in np.indices(out.shape))
+        found = pd.DataFrame({"r": r + r0, "c": c + c0, "z": out.ravel()})
+        return found[(found["r"] // tile == tr) & (found["c"] // tile == tc)]
+
+    return tiles(nodes.select("r", "c", "z"), tile, halo).groupBy("tile_r", "tile_c").applyInPandas(run, "r int, c int, z double")

@@ -74,7 +74,7 @@ def _(spark, sf):
     return _spectra(spark, sf).groupBy("vec_id").agg((F.regr_slope(F.ln(c("counts") + 1), c("bin") * 0.01) / -2).alias("depth"))
 
 
-@query("time_zero_shift", f"WITH {_SPEC} SELECT a.vec_id, CAST(a.bin AS INT) AS sample, round(a.counts + (b.counts - a.counts) * 0.4, 6) AS shifted FROM sp a JOIN sp b ON a.vec_id = b.vec_id AND b.bin = a.bin + 1")
+@query("time_zero_shift", f"WITH {_SPEC}, n AS (SELECT vec_id, bin, counts, lead(counts) OVER (PARTITION BY vec_id ORDER BY bin) AS n FROM sp) SELECT vec_id, CAST(bin AS INT) AS sample, round(counts + (n - counts) * 0.4, 6) AS shifted FROM n WHERE n IS NOT NULL")
 def _(spark, sf):
     nxt = F.lead("counts").over(Window.partitionBy("vec_id").orderBy("bin"))
     return _spectra(spark, sf).withColumn("n", nxt).where("n is not null").select("vec_id", c("bin").alias("sample"), (c("counts") + (c("n") - c("counts")) * 0.4).alias("shifted"))
@@ -95,18 +95,18 @@ def _(spark, sf):
     return view(spark, sf, "cells").groupBy(F.floor(c("r") / 10).cast("int").alias("zone")).agg(F.count_if(t & e).alias("hit"), F.count_if(t & ~e).alias("missed"), F.count_if(~t & e).alias("false_alarm"), F.corr("z", "z2").alias("r"), F.sqrt(F.avg(d * d)).alias("rms"))
 
 
-@query("spatial_holdout", "SELECT CAST(floor(x / 100) AS INT) AS bx, CAST(floor(y / 100) AS INT) AS by_, count(*) AS n, round(avg(v), 6) AS mean FROM points WHERE (CAST(floor(x / 100) AS INT) + 3 * CAST(floor(y / 100) AS INT)) % 5 = 2 GROUP BY 1, 2")
+@query("spatial_holdout", "SELECT CAST(floor(x / 100) AS INT) AS bx, CAST(floor(y / 100) AS INT) AS by_, CAST((CAST(floor(x / 100) AS INT) + 3 * CAST(floor(y / 100) AS INT)) % 5 AS INT) AS fold, count(*) AS n, round(avg(v), 6) AS mean FROM points GROUP BY 1, 2, 3")
 def _(spark, sf):
     bx, by = F.floor(c("x") / 100).cast("int"), F.floor(c("y") / 100).cast("int")
-    return view(spark, sf, "points").where((bx + by * 3) % 5 == 2).groupBy(bx.alias("bx"), by.alias("by_")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return view(spark, sf, "points").groupBy(bx.alias("bx"), by.alias("by_"), ((bx + by * 3) % 5).alias("fold")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
 
-@query("paired_flight_difference", "WITH u AS (SELECT id, x, y, v FROM points WHERE id % 3 = 0), l AS (SELECT id AS other, x, y, v FROM points WHERE id % 3 = 1), n AS (SELECT u.id, other, sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)) AS d, u.v - l.v AS difference, row_number() OVER (PARTITION BY u.id ORDER BY sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)), other) AS k FROM u JOIN l ON sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)) <= 30) SELECT u.id, other, round(d, 6) AS distance, round(difference, 6) AS difference, CAST(CASE WHEN other IS NULL THEN 1 WHEN d > 15 THEN 2 ELSE 0 END AS INT) AS reason FROM u LEFT JOIN n ON n.id = u.id AND k = 1")
+@query("paired_flight_difference", "WITH u AS (SELECT id, x, y, v FROM points WHERE id % 2 = 0), l AS (SELECT id AS other, x, y, v FROM points WHERE id % 2 = 1), n AS (SELECT u.id, other, sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)) AS d, u.v - l.v AS difference, row_number() OVER (PARTITION BY u.id ORDER BY sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)), other) AS k FROM u JOIN l ON sqrt(pow(u.x - l.x, 2) + pow(u.y - l.y, 2)) <= 30) SELECT u.id, other, round(d, 6) AS distance, round(difference, 6) AS difference, CAST(CASE WHEN other IS NULL THEN 1 WHEN d > 15 THEN 2 ELSE 0 END AS INT) AS reason FROM u LEFT JOIN n ON n.id = u.id AND k = 1")
 def _(spark, sf):
     from ..operators import joins as J
 
     p = view(spark, sf, "points")
-    u, lo = p.where("id % 3 = 0"), p.where("id % 3 = 1").select(c("id").alias("other"), "x", "y", c("v").alias("low"))
+    u, lo = p.where("id % 2 = 0"), p.where("id % 2 = 1").select(c("id").alias("other"), "x", "y", c("v").alias("low"))
     near = J.neighbours(u, lo, "x", "y", "other", 30.0, 1, left_id="id", carry=["low"])
     out = u.select("id", "v").join(near, "id", "left")
     return out.select("id", "other", "distance", (c("v") - c("low")).alias("difference"), F.when(c("other").isNull(), 1).when(c("distance") > 15, 2).otherwise(0).alias("reason"))
@@ -132,9 +132,9 @@ def _(spark, sf):
     def run(pdf):
         z, r0, c0 = G.dense(pdf)
         out = go(np.where(np.isnan(z), 0, z) * (2670 / 400), 25.0, 25.0)
-        return pd.DataFrame({"r": pdf["r"], "c": pdf["c"], "root_effect": out[pdf["r"] - r0, pdf["c"] - c0]})
+        return pdf.assign(root_effect=out[pdf["r"] - r0, pdf["c"] - c0])
 
-    return _grid(spark, sf).select("grid", "r", "c", "z").groupBy("grid").applyInPandas(run, "r int, c int, root_effect double")
+    return G.by_tile(_grid(spark, sf), run, ["root_effect"]).select("r", "c", "root_effect")
 
 
 @query("monogenic_phase")
@@ -143,9 +143,9 @@ def _(spark, sf):
         z, r0, c0 = G.dense(pdf)
         a, p = P.monogenic(np.where(np.isnan(z), np.nanmean(z), z), 25.0, (100.0, 200.0, 400.0))
         at = pdf["r"] - r0, pdf["c"] - c0
-        return pd.DataFrame({"r": pdf["r"], "c": pdf["c"], "amplitude": a[at], "phase": p[at]})
+        return pdf.assign(amplitude=a[at], phase=p[at])
 
-    return _grid(spark, sf).select("grid", "r", "c", "z").groupBy("grid").applyInPandas(run, "r int, c int, amplitude double, phase double")
+    return G.by_tile(_grid(spark, sf), run, ["amplitude", "phase"]).select("r", "c", "amplitude", "phase")
 
 
 @query("equivalent_source_continuation")
@@ -166,13 +166,13 @@ def _(spark, sf):
     return e.groupBy("gather").applyInPandas(run, "gather long, velocity double, frequency double, power double")
 
 
+# three components a station, each by its place; a station without one of them has null ratios
 @query("hvsr_windows")
 def _(spark, sf):
     def run(q):
-        a = np.stack(q.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
-        if len(a) < 3:
-            return pd.DataFrame({"station": [], "frequency": [], "ratio": []})
-        f, r = P.hvsr(a[0], a[1], a[2], 0.01)
+        parts = dict(zip(q["vec_id"] % 3, q["embedding"]))
+        e, n, u = (np.asarray(parts[k], float) if k in parts else np.full(64, np.nan) for k in range(3))
+        f, r = P.hvsr(e, n, u, 0.01)
         return pd.DataFrame({"station": q["station"].iloc[0], "frequency": f, "ratio": r})
 
     e = table(spark, sf, "embeddings").select("vec_id", F.floor(c("vec_id") / 3).alias("station"), "embedding")

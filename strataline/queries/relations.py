@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..functions.numbers import is_finite
 from ..operators import joins as J, stats
 from .registry import query, table, view
 
@@ -112,9 +113,9 @@ def _(spark, sf):
     return J.overlaps(e, w, ("lo", "hi"), ("a", "b"), 16.0).groupBy("vec_id", "name").agg(F.sum(F.col("counts") * F.col("overlap")).alias("counts"))
 
 
-@query("stack_transients", f"WITH {_SPEC} SELECT label, CAST(bin AS INT) AS sample, count(*) AS n, round(avg(counts * CASE WHEN sp.vec_id % 2 = 0 THEN 1 ELSE -1 END), 6) AS mean, round(stddev_samp(counts * CASE WHEN sp.vec_id % 2 = 0 THEN 1 ELSE -1 END) / sqrt(count(*)), 6) AS standard_error FROM sp JOIN embeddings USING (vec_id) WHERE vec_id % 7 <> 3 GROUP BY 1, 2")
+@query("stack_transients", f"WITH {_SPEC} SELECT label, CAST(bin AS INT) AS sample, count(*) AS n, round(avg(counts * CASE WHEN sp.vec_id % 2 = 0 THEN 1 ELSE -1 END), 6) AS mean, round(stddev_samp(counts * CASE WHEN sp.vec_id % 2 = 0 THEN 1 ELSE -1 END) / sqrt(count(*)), 6) AS standard_error FROM sp JOIN embeddings USING (vec_id) WHERE isfinite(counts) GROUP BY 1, 2")
 def _(spark, sf):
-    s = _spectra(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").where("vec_id % 7 <> 3")
+    s = _spectra(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").where(is_finite(F.col("counts")))  # what is finite is accepted
     v = F.col("counts") * F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1)
     return s.groupBy("label", F.col("bin").alias("sample")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.try_divide(F.stddev_samp(v), F.sqrt(F.count("*"))).alias("standard_error"))
 

@@ -102,7 +102,7 @@ def _(spark, sf):
     return stats.entropy(b.join(c.select("r", "c"), ["r", "c"], "left_semi"), ["r", "c"], "b").select("r", "c", "entropy")
 
 
-@query("tile_membership", "SELECT tr AS tile_r, tc AS tile_c, count(*) AS cells, count(*) FILTER (floor(r / 16) = tr AND floor(c / 16) = tc) AS core FROM cells, range(0, 40) a(tr), range(0, 40) b(tc) WHERE r BETWEEN tr * 16 - 3 AND tr * 16 + 18 AND c BETWEEN tc * 16 - 3 AND tc * 16 + 18 GROUP BY 1, 2")
+@query("tile_membership", "SELECT tr AS tile_r, tc AS tile_c, count(*) AS cells, count(*) FILTER (floor(r / 16) = tr AND floor(c / 16) = tc) AS core FROM cells, range(0, 40) a(tr), range(0, 40) b(tc) WHERE r BETWEEN tr * 16 - 3 AND tr * 16 + 18 AND c BETWEEN tc * 16 - 3 AND tc * 16 + 18 GROUP BY 1, 2 HAVING count(*) FILTER (floor(r / 16) = tr AND floor(c / 16) = tc) > 0")
 def _(spark, sf):
     return G.tiles(_cells(spark, sf), 16, 3).groupBy("tile_r", "tile_c").agg(F.count("*").alias("cells"), F.count_if("core").alias("core"))
 
@@ -153,10 +153,7 @@ def _(spark, sf):
 
 @query("grid_power_spectrum")
 def _(spark, sf):
-    def run(pdf):
-        return G.radial_spectrum(G.dense(pdf)[0], 25.0, 25.0, 20).assign(grid=0)[["grid", "bin", "k", "power", "n"]]
-
-    return _grid(spark, sf).select("grid", "r", "c", "z").groupBy("grid").applyInPandas(run, "grid int, bin int, k double, power double, n long")
+    return G.block_spectra(_grid(spark, sf), 25.0, 25.0, 20)
 
 
 # lines
@@ -252,14 +249,8 @@ def _(spark, sf):
 
 @query("minimum_curvature_grid")
 def _(spark, sf):
-    p = G.block_mean(view(spark, sf, "points"), "x", "y", "v", 0.0, 0.0, 20.0).withColumn("grid", F.lit(0))
-
-    def run(q):
-        out, _ = K.minimum_curvature(q["r"].to_numpy(), q["c"].to_numpy(), q["z"].to_numpy(), (int(q["r"].max()) + 1, int(q["c"].max()) + 1), tolerance=0.01, rounds=300)
-        r, c = np.indices(out.shape)
-        return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "z": out.ravel()})
-
-    return p.groupBy("grid").applyInPandas(run, "r int, c int, z double")
+    p = G.block_mean(view(spark, sf, "points"), "x", "y", "v", 0.0, 0.0, 20.0)
+    return G.minimum_curvature_tiles(p, tolerance=0.01, rounds=300)
 
 
 @query("sinc_resample")
@@ -305,7 +296,10 @@ def _(spark, sf):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
     return stats.components(e, "a", "b")
 
 
