@@ -346,7 +346,8 @@ def fit_bounded(model: Callable[[np.ndarray], np.ndarray], observed: np.ndarray,
     cost = float(r @ r)
     for _ in range(rounds):
         steps = np.maximum(1e-6 * np.abs(x), 1e-9)
-        j = np.column_stack([(model(x + d * e) - model(x - d * e)) / (2 * d) for d, e in zip(steps, np.eye(len(x)))])
+        sides = [(np.minimum(x + d * e, high), np.maximum(x - d * e, low)) for d, e in zip(steps, np.eye(len(x)))]  # within the box
+        j = np.column_stack([(model(a) - model(b)) / max((a - b).sum(), 1e-300) for a, b in sides])
         gram, g = j.T @ j, j.T @ r
         scale = np.diag(np.maximum(np.diag(gram), 1e-300))
         moved = False

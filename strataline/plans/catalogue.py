@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions import geophysics as geo
-from ..operators import fields, grids, joins, kernels, lines, solve, stats
+from ..functions import projection
+from ..operators import fields, grids, joins, kernels, lines, models, solve, soundings, stats, tracks
 from ..sources import text
 
 # The operation names of the survey domain.
@@ -37,7 +38,7 @@ OPERATIONS: dict[str, Callable] = {
     "potential.radial_filter": fields.tabulated,
     "potential.layer_response": fields.layer_response,
     "potential.apparent_property": fields.apparent_property,
-    "potential.equivalent_sources": fields.equivalent_sources,
+    "potential.equivalent_sources": fields.equivalent_source_tiles,
     "magnetic.components": fields.component,
     "structural.phase": fields.monogenic,
     "structural.texture": stats.entropy,
@@ -58,7 +59,7 @@ OPERATIONS: dict[str, Callable] = {
     "borehole.trajectory": lines.trajectory,
     "borehole.read_las": text.read_las,
     "borehole.update_las": text.write_las,
-    "spectra.grid_psd": grids.radial_spectrum,
+    "spectra.grid_psd": grids.block_spectra,
     "spectra.directional_bins": grids.radial_spectrum,
     "spectra.wiener_inverse": geo.wiener_inverse,
     "tem.integrate_recorded_gates": fields.piecewise_mean,
@@ -72,10 +73,45 @@ OPERATIONS: dict[str, Callable] = {
     "mt.apparent_resistivity_phase": geo.mt_resistivity,
     "mt.impedance_units": geo.mt_units,
     "mt.phase_tensor": geo.phase_tensor,
-    "mt.fit_resistivity": kernels.fit_bounded,
     "inversion.spatial_constraints": fields.inside_boxes,
     "inversion.recovery_metrics": grids.compare,
     "inversion.reference_doi": fields.depth_of_investigation,
+    "inversion.linear_resolution": models.posterior,
+    "inversion.linear_ensemble": models.ensemble,
+    "inversion.stochastic_resolution": models.stochastic_resolution,
+    "inversion.point_spread": models.point_spread,
+    "radiometry.window_radon": models.window_radon,
+    "radiometry.full_spectrum_radon": models.full_spectrum_radon,
+    "radiometry.paired_radon": models.paired_radon,
+    "gravity.prism_tensor": models.prism_tensor,
+    "gravity.prism_density_fit": models.fit_rows,
+    "magnetic.prism_magnetization_fit": models.fit_rows,
+    "magnetic.dipole_fit": models.fit_dipole,
+    "magnetic.gradient_tmi": models.field_from_gradients,
+    "magnetic.igrf": models.main_field,
+    "potential.reproject_xy": projection.reproject,
+    "regional.elastic_thickness_scan": models.thickness_scan,
+    "gpr.hyperbola_fit": models.fit_hyperbola,
+    "depth.euler_profile": models.euler_profile,
+    "depth.interpret_grid": kernels.werner_profile,
+    "structural.skeleton_paths": models.skeleton_paths,
+    "survey.crossovers": tracks.crossovers,
+    "electrical.layered_forward": soundings.layered_resistance,
+    "electrical.fit_resistivity": soundings.fit_layers,
+    "ip.cole_cole_decay": soundings.ip_decay,
+    "ip.fit_decay": soundings.fit_ip,
+    "ip.stack_decay": soundings.ip_stack,
+    "ip.fit_stack": soundings.fit_ip,
+    "ip.waveform_decay": soundings.ip_waveform,
+    "ip.fit_waveform": soundings.fit_ip,
+    "ip.dispersive_forward": soundings.dispersive_response,
+    "fdem.layered_forward": soundings.fdem_layered,
+    "fdem.fit_conductivity": soundings.fit_layers,
+    "tem.stepoff_forward": soundings.tem_stepoff,
+    "tem.waveform_forward": soundings.tem_waveform,
+    "tem.gate_average": soundings.tem_gates,
+    "tem.fit_conductivity": soundings.fit_layers,
+    "mt.fit_resistivity": soundings.fit_layers,
 }
 
 
