@@ -13,15 +13,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators import grids, joins, lines, solve, stats
+from ..functions.digest import tree_digest
+from ..operators import grids, joins, lines, models, solve, stats, tracks
+from .catalogue import OPERATIONS
 
 MAX_STEPS = 16
-_MODULES = (grids, joins, lines, solve, stats)
+_MODULES = (grids, joins, lines, models, solve, stats, tracks)
 
 
 def operations() -> dict[str, Callable]:
-    """name -> function of the operator modules; names are module.function."""
-    out = {}
+    """name -> function of the operator modules, named module.function, and of the catalogue, by its domain names."""
+    out = dict(OPERATIONS)
     for m in _MODULES:
         short = m.__name__.rpartition(".")[2]
         for n, f in inspect.getmembers(m, inspect.isfunction):
@@ -71,9 +73,19 @@ def fused(steps: list[dict]) -> list[dict]:
     return out
 
 
-def run(steps: list[dict], inputs: dict[str, DataFrame]) -> DataFrame:
-    """The last step's table."""
+def provenance(steps: list[dict], versions: dict[str, str]) -> dict:
+    """What a result came from: its steps, the versions of its inputs, and the digest of both."""
+    tree = {"steps": steps, "versions": versions}
+    return tree | {"digest": tree_digest(tree)}
+
+
+def run(steps: list[dict], inputs: dict[str, DataFrame], *, versions: dict[str, str] | None = None, expected: dict[str, str] | None = None) -> DataFrame:
+    """The last step's table. ``expected`` are the versions of the inputs that the recipe was made for: it is refused where
+    ``versions``, those at hand, differ."""
     _check(steps)
+    stale = sorted(n for n, v in (expected or {}).items() if (versions or {}).get(n) != v)
+    if stale:
+        raise ValueError(f"other versions of the inputs than the recipe's: {stale}")
     known, results = operations(), []
 
     def resolve(v, where):

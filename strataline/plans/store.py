@@ -17,7 +17,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import projection
 from ..functions.formula import compile_formula
+from ..functions.numbers import is_finite
+from ..operators import joins as J, lines as L, solve, tracks
 
 _TABLES = {
     "databases": "id string, name string, n_rows long, source string, metadata string, created string",
@@ -88,19 +91,38 @@ class SurveyStore:
         nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
         if nested:
             raise StoreError(f"nested columns: {nested}")
-        if "row_id" not in df.columns:
-            ordered = df.orderBy(*order) if order else df
-            fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-            df = ordered.rdd.zipWithIndex().map(lambda p: (p[1], *p[0])).toDF(f"row_id long, {fields}")
+        # written once with its row ids, so that every channel is cut from the same rows even where the order has ties
+        df, aside = self._numbered(df, order)
+        n, distinct = df.agg(F.count("*"), F.countDistinct("row_id")).first()
+        if n != distinct:
+            raise StoreError("row ids are null or repeated")
         database = uuid.uuid4().hex
-        n = df.count()
         self._append("databases", id=database, name=name, n_rows=n, source=source, metadata=json.dumps(metadata or {}, allow_nan=False), created=_now())
         for c in df.columns:
             if c != "row_id":
                 self._publish(database, c, df.select("row_id", c), (units or {}).get(c, ""), {"action": "import", "source": source})
         self._log(database, "import", rows=n, columns=[c for c in df.columns if c != "row_id"])
+        self._fs.delete(self._path(aside), True)
         return database
 
+    def _numbered(self, df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, str]:
+        """The rows, written, with dense row ids: a row's place in its file's task plus the rows of the tasks before it."""
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        if "row_id" in df.columns:
+            df.write.parquet(aside)
+            return self.spark.read.schema(df.schema).parquet(aside), aside
+        placed = (df.orderBy(*order) if order else df).withColumn("__place", F.monotonically_increasing_id())
+        placed.write.parquet(aside)
+        rows = self.spark.read.schema(placed.schema).parquet(aside)
+        task = F.shiftrightunsigned("__place", 33)
+        before, start = 0, []
+        for r in sorted(rows.groupBy(task.alias("task")).count().collect(), key=lambda r: r["task"]):  # a row per task of the writer
+            start.append((r["task"], before))
+            before += r["count"]
+        starts = self.spark.createDataFrame(start, "__task long, __start long")
+        rows = rows.withColumn("__task", task).join(F.broadcast(starts), "__task")
+        return rows.select((F.col("__start") + F.col("__place").bitwiseAND((1 << 33) - 1)).alias("row_id"), *df.columns), aside
+
     def scan(self, database_id: str, names: Sequence[str], filters: dict[str, Sequence] | None = None) -> DataFrame:
         """row_id and the named channels, aligned by row_id; only their files are read. ``filters``: column -> accepted values."""
         needed = list(dict.fromkeys([*names, *(filters or {})]))
@@ -145,13 +167,118 @@ class SurveyStore:
             first = self.table("versions").where((F.col("channel_id") == old["channel_id"]) & (F.col("number") == 1)).first()
             if new_only or json.loads(first["provenance"]).get("action") == "import":
                 raise StoreError(f"channel {name!r} can't be replaced")
-        n_rows = self.table("databases").where(F.col("id") == database_id).first()["n_rows"]
-        if values.count() != n_rows:
-            raise StoreError("a channel has a value or null for each row")
+        self._check_rows(database_id, known, values)
         version = self._publish(database_id, name, values, unit, {"action": "publish", **(provenance or {}), "inputs": inputs or {}}, old["channel_id"] if old else None)
         self._log(database_id, "publish", channel=name, version=version)
         return version
 
+    def _check_rows(self, database_id: str, known: dict, values: DataFrame) -> None:
+        """The values have each row id of the database once."""
+        n_rows = self.table("databases").where(F.col("id") == database_id).first()["n_rows"]
+        ids = self.spark.read.schema("row_id long").parquet(next(iter(known.values()))["path"])
+        if values.count() != n_rows or ids.join(values.select("row_id").distinct(), "row_id", "left_semi").count() != n_rows:
+            raise StoreError("a channel has a value or null for each row")
+
+    def publish_many(self, database_id: str, values: DataFrame, units: dict[str, str], *, inputs: dict[str, str], provenance: dict) -> dict[str, str]:
+        """New channels, all or none of them listed: their data is written first, then one append lists every version."""
+        known = {r["name"]: r for r in self.channels(database_id).collect()}
+        taken = [n for n in units if n in known]
+        stale = [n for n, v in inputs.items() if n not in known or known[n]["version_id"] != v]
+        if taken or stale:
+            raise StoreError(f"channels exist: {taken}; inputs have newer versions: {stale}")
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        values.select("row_id", *units).write.parquet(aside)  # computed once for all channels
+        values = self.spark.read.schema(values.select("row_id", *units).schema).parquet(aside)
+        self._check_rows(database_id, known, values)
+        note = json.dumps({"action": "publish", **provenance, "inputs": inputs}, allow_nan=False, sort_keys=True)
+        channels, versions, out = [], [], {}
+        for name, unit in units.items():
+            channel, version = uuid.uuid4().hex, uuid.uuid4().hex
+            target = f"{self.path}/data/{database_id}/{channel}/v1"
+            values.select("row_id", F.col(name).alias("value")).repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("compression", "zstd").parquet(target)
+            channels.append((channel, database_id, name, unit, _now()))
+            versions.append((version, channel, 1, target, values.schema[name].dataType.simpleString(), note, _now()))
+            out[name] = version
+        # a channel without a version isn't listed, so the versions' append is what publishes
+        for table, rows in (("channels", channels), ("versions", versions)):
+            self.spark.createDataFrame(rows, _TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog/{table}")
+        self._fs.delete(self._path(aside), True)
+        self._log(database_id, "publish", channels=list(units), **provenance)
+        return out
+
+    def _lines(self, database_id: str, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+        """The channels with the versions they are read from."""
+        return self.scan(database_id, names), {n: r["version_id"] for n, r in self._bound(database_id, names).items()}
+
+    def filter_channel(self, database_id: str, name: str, into: str, kind: str, width: int, *, line: str, axis: str | None = None, max_gap: float | None = None) -> str:
+        """A new channel: the ``mean`` or ``median`` of complete centred windows, or ``hampel``'s, within runs of the line (and axis)."""
+        names = list(dict.fromkeys([name, line, *([axis] if axis else [])]))
+        rows, inputs = self._lines(database_id, names)
+        rows = L.add_segments(rows, [line], name, axis, max_gap)
+        keys = [line, "segment"]
+        if kind == "hampel":
+            out = L.hampel(rows, name, keys, width // 2, complete=True, into=into).select("row_id", F.when(F.col("segment").isNotNull(), F.col(into)).alias(into))
+        elif kind in ("mean", "median"):
+            window = (L.moving_mean if kind == "mean" else L.moving_median)(name, keys, width)
+            out = rows.select("row_id", F.when(F.col("segment").isNotNull(), window).alias(into))
+        else:
+            raise StoreError("mean, median or hampel")
+        return self.publish(database_id, into, out, inputs=inputs, provenance={"filter": kind, "width": width, "axis": axis, "max_gap": max_gap}, new_only=True)
+
+    def correct_magnetic(self, database_id: str, value: str, time: str, line: str, *, base: DataFrame | None = None, base_reference: float = 0.0, lag_seconds: float = 0.0, bucket: float = 60.0, prefix: str = "mag") -> dict[str, str]:
+        """``prefix``_base (the base's deviation from its reference at each time; ``base`` has t and v), ``prefix``_lagged (the value ``lag_seconds``
+        later along its line) and ``prefix``_corrected, published together. Times outside the base's or the line's have none."""
+        rows, inputs = self._lines(database_id, [value, time, line])
+        out = rows
+        if lag_seconds:
+            shifted = rows.select(F.col(line).alias("__line"), (F.col(time) - lag_seconds).alias("__t"), F.col(value).alias("__v"))
+            out = J.interpolate(out.withColumn("__line", F.col(line)), shifted, time, "__t", "__v", bucket, ["__line"], f"{prefix}_lagged").drop("__line")
+        else:
+            out = out.withColumn(f"{prefix}_lagged", F.col(value))
+        if base is not None:
+            out = J.interpolate(out, base.select(F.col("t").alias("__t"), F.col("v").alias("__v")), time, "__t", "__v", bucket, (), "__base").withColumn(f"{prefix}_base", F.col("__base") - base_reference)
+        else:
+            out = out.withColumn(f"{prefix}_base", F.lit(0.0))
+        out = out.withColumn(f"{prefix}_corrected", F.col(f"{prefix}_lagged") - F.col(f"{prefix}_base"))
+        return self.publish_many(database_id, out, {f"{prefix}_{n}": "nT" for n in ("base", "lagged", "corrected")}, inputs=inputs, provenance={"operation": "correct_magnetic", "lag_seconds": lag_seconds, "base_reference": base_reference})
+
+    def level_lines(self, database_id: str, value: str, line: str, crossings: DataFrame, correction: str, corrected: str, sigmas: float = 4.5) -> dict[str, str]:
+        """The lines' constants from crossings (traverse, tie, residual), and the value with them, published together."""
+        rows, inputs = self._lines(database_id, [value, line])
+        found = solve.line_corrections(crossings, "traverse", "tie", "residual", sigmas)
+        out = tracks.leveled(rows.withColumn(correction, F.lit(0.0)), found, line, value, corrected).withColumn(correction, F.col(corrected) - F.col(value))
+        return self.publish_many(database_id, out, {correction: "", corrected: ""}, inputs=inputs, provenance={"operation": "level_lines", "sigmas": sigmas})
+
+    def reproject(self, database_id: str, x: str, y: str, source, target, into: tuple[str, str]) -> dict[str, str]:
+        """New coordinates by :func:`projection.reproject`; null where either is. A result that isn't finite fails it all."""
+        rows, inputs = self._lines(database_id, [x, y])
+        out = projection.reproject(rows, x, y, source, target, into)
+        bad = F.raise_error(F.lit("a position has no finite coordinates there")).cast("double")
+        checked = [F.when(F.col(x).isNotNull() & F.col(y).isNotNull() & ~is_finite(F.col(c)), bad).otherwise(F.col(c)).alias(c) for c in into]
+        return self.publish_many(database_id, out.select("row_id", *checked), dict.fromkeys(into, ""), inputs=inputs, provenance={"operation": "reproject", "source": str(source), "target": str(target)})
+
+    def duplicate(self, database_id: str, name: str, into: str) -> str:
+        """Another name for the latest version's data, without a copy; later versions of either are its own."""
+        source = self._bound(database_id, [name])[name]
+        if into in {r["name"] for r in self.channels(database_id).collect()}:
+            raise StoreError(f"there is a channel {into!r}")
+        channel, version = uuid.uuid4().hex, uuid.uuid4().hex
+        self._append("channels", id=channel, database_id=database_id, name=into, unit=source["unit"], created=_now())
+        self._append("versions", id=version, channel_id=channel, number=1, path=source["path"], data_type=source["data_type"], provenance=json.dumps({"action": "duplicate", "inputs": {name: source["version_id"]}}, sort_keys=True), created=_now())
+        self._log(database_id, "duplicate", source=name, channel=into)
+        return version
+
+    def set_geometry(self, database_id: str, x: str, y: str, crs: str, line: str | None = None) -> None:
+        bound = self._bound(database_id, [x, y, *([line] if line else [])])
+        if x == y or not crs.strip():
+            raise StoreError("two channels and a reference system are needed")
+        self._log(database_id, "geometry", x=bound[x]["channel_id"], y=bound[y]["channel_id"], crs=crs, line=bound[line]["channel_id"] if line else None)
+
+    def geometry(self, database_id: str) -> dict | None:
+        """What :meth:`set_geometry` said last: channel ids, so that renames don't matter."""
+        last = self.table("events").where((F.col("database_id") == database_id) & (F.col("action") == "geometry")).orderBy(F.desc("created")).first()
+        return json.loads(last["details"]) if last else None
+
     def derive(self, database_id: str, name: str, formula: str, unit: str = "", **options) -> tuple[str, int]:
         """(version id, rows without a result) of a formula channel."""
         expression, channels = compile_formula(formula)

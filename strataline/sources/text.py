@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import strict_double, strict_long
 
@@ -111,12 +111,12 @@ def inspect(spark: SparkSession, path: str, nulls: tuple[str, ...] = ("", "*", "
     return Layout(sep, encoding, header, data, comma, columns)
 
 
-def read(spark: SparkSession, path: str, layout: Layout, nulls: tuple[str, ...] = ("", "*", "NA", "NaN", "null"), strict: bool = True) -> DataFrame:
-    """The table with the layout's types. ``strict``: a cell that isn't a number of its column's type fails the
+def read(spark: SparkSession, path: str, layout: Layout, nulls: tuple[str, ...] = ("", "*", "NA", "NaN", "null"), strict: bool = True, multiline: bool = False) -> DataFrame:
+    """The table with the layout's types. ``multiline``: quoted cells may have line ends (such a file is one task). ``strict``: a cell that isn't a number of its column's type fails the
     query; else it is null. Lines before the data are told apart by their text, so a large file stays splittable."""
     schema = ", ".join(f"`c{k}` string" for k in range(len(layout.columns)))
     western = layout.encoding == "windows-1252"  # which Spark doesn't read: read as ISO-8859-1, then mapped
-    raw = spark.read.csv(path, schema=schema, sep=layout.separator, encoding="ISO-8859-1" if western else layout.encoding, enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = spark.read.csv(path, schema=schema, sep=layout.separator, encoding="ISO-8859-1" if western else layout.encoding, enforceSchema=True, mode="PERMISSIVE", multiLine=multiline, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if western:
         raw = raw.select([F.translate(c, *_western()).alias(c) for c in raw.columns])
     head = _head(spark, path).decode(layout.encoding, "replace").lstrip("﻿").splitlines()[: layout.data_line - 1]
@@ -173,3 +173,51 @@ def write_las(df: DataFrame, path: str, header: dict[str, dict[str, str]], null:
     lines = df.orderBy(df.columns[0]).select(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit(str(null))) for c in df.columns]).alias("value"))
     top = spark.createDataFrame([(h,) for h in head], "value string").coalesce(1)
     top.unionAll(lines).coalesce(1).write.mode("errorifexists").text(path)
+
+
+def _typed(cells: DataFrame, names: list[str], nulls: tuple[str, ...], comma: bool, text: tuple[str, ...]) -> DataFrame:
+    """Cells ``v`` as columns: numbers (null where they aren't), or text where named."""
+    out = []
+    for k, n in enumerate(names):
+        cell = F.trim(F.get("v", k))
+        cell = F.when(~cell.isin(*nulls), cell)
+        out.append((cell if n in text else strict_double(cell, comma)).alias(n))
+    return cells.select(*[c for c in cells.columns if c != "v"], *out)
+
+
+def read_spaced(spark: SparkSession, path: str, names: list[str] | None = None, *, skip: int = 0, nulls: tuple[str, ...] = ("", "*", "NA", "NaN", "null"), decimal_comma: bool = False, text: tuple[str, ...] = ()) -> DataFrame:
+    """Columns set apart by blanks; without names they are channel_1, channel_2, ... as the first line after ``skip`` has. The
+    skipped lines are known by their text, so a large file stays splittable."""
+    head = _head(spark, path).decode("utf-8", "replace").splitlines()
+    first = next((ln.split() for ln in head[skip:] if ln.strip()), [])
+    names = names or [f"channel_{k + 1}" for k in range(len(first))]
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if skip:
+        lines = lines.where(~F.col("value").isin(*head[:skip]))
+    return _typed(lines.select(F.split(F.trim("value"), r"\s+").alias("v")), names, nulls, decimal_comma, text)
+
+
+def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, int]], *, skip: int = 0, nulls: tuple[str, ...] = ("", "*", "NA", "NaN", "null"), decimal_comma: bool = False, text: tuple[str, ...] = ()) -> DataFrame:
+    """``fields``: name, first character (from 0) and width of each."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if skip:
+        lines = lines.where(~F.col("value").isin(*_head(spark, path).decode("utf-8", "replace").splitlines()[:skip]))
+    return _typed(lines.select(F.array(*[F.substring("value", a + 1, w) for _, a, w in fields]).alias("v")), [n for n, _, _ in fields], nulls, decimal_comma, text)
+
+
+def read_sections(spark: SparkSession, path: str, names: list[str], *, marks: tuple[str, ...] = ("LINE", "TIE"), nulls: tuple[str, ...] = ("", "*", "NA", "NaN", "null"), text: tuple[str, ...] = ()) -> DataFrame:
+    """Sectioned XYZ text: a line such as ``Line 1010`` or ``Tie 7`` starts a section that the rows after it belong to (columns
+    section_kind and section, then ``names``); lines that start with / are remarks. A task knows the sections that start in
+    it; the last one of the tasks before comes from a table with a row per task."""
+    lines = spark.read.text(path).where("trim(value) != '' and not startswith(trim(value), '/')").withColumn("at", F.monotonically_increasing_id())
+    start = F.regexp_extract("value", r"(?i)^\s*(" + "|".join(map(re.escape, marks)) + r")\s+(\S+)\s*$", 1)
+    name = F.regexp_extract("value", r"^\s*\S+\s+(\S+)\s*$", 1)
+    own = F.when(start != "", F.struct(F.upper(start).alias("kind"), name.alias("name")))
+    rows = lines.withColumn("own", own).withColumn("task", F.shiftrightunsigned("at", 33))
+    within = F.last("own", True).over(Window.partitionBy("task").orderBy("at"))
+    ends = rows.groupBy("task").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("end"))
+    carried = ends.select("task", F.last("end", True).over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.withColumn("within", within).join(F.broadcast(carried), "task").where("own is null")
+    section = F.coalesce("within", "carried")
+    cells = rows.select(section["kind"].alias("section_kind"), section["name"].alias("section"), F.split(F.trim("value"), r"\s+").alias("v"))
+    return _typed(cells, names, nulls, False, text)
