@@ -167,7 +167,10 @@ def _(spark, sf):
 
 
 # three components a station, each by its place; a station without one of them has null ratios
-@query("hvsr_windows")
+@query(
+    "hvsr_windows",
+    "WITH e AS (SELECT vec_id, vec_id // 3 AS station, vec_id % 3 AS part, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT *, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * (i + 1) / 65)) AS d FROM e), a AS (SELECT station, part, q, sqrt(pow(sum(d * cos(2 * pi() * q * i / 64)), 2) + pow(sum(d * sin(2 * pi() * q * i / 64)), 2)) AS a FROM m, (SELECT unnest(range(1, 33)) AS q) GROUP BY 1, 2, 3), p AS (SELECT station, q, max(CASE WHEN part = 0 THEN a END) AS e, max(CASE WHEN part = 1 THEN a END) AS n, max(CASE WHEN part = 2 THEN a END) AS u FROM a GROUP BY 1, 2) SELECT station, round(q / 0.64, 6) AS frequency, round(sqrt((e * e + n * n) / 2) / CASE WHEN u > 1e-12 THEN u WHEN u IS NOT NULL THEN 1e-12 END, 6) AS ratio FROM p",
+)
 def _(spark, sf):
     def run(q):
         parts = dict(zip(q["vec_id"] % 3, q["embedding"]))

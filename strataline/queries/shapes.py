@@ -173,7 +173,14 @@ def _(spark, sf):
     return K.by_group(_flights(spark, sf), ["line"], lambda p: p.assign(filtered=K.zero_phase(section, p["v"].to_numpy()))[["line", "row_id", "filtered"]], "line long, row_id long, filtered double")
 
 
-@query("welch_spectrum")
+# segments of the flights with their means taken off and Hann weights, for plain Fourier sums
+def _segments_sql(columns: str, size: int) -> str:
+    rows = f"f AS (SELECT line, {columns}, row_number() OVER (PARTITION BY line ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY line) AS len FROM flights), n AS (SELECT DISTINCT line, len, least({size}, len) AS n FROM f), st AS (SELECT line, n, unnest(range(0, len - n + 1, greatest(1, n // 2))) AS s FROM n)"
+    parts = ", ".join(f"({c} - avg({c}) OVER (PARTITION BY st.line, s)) * (0.5 - 0.5 * cos(2 * pi() * (i - s) / n)) AS d{c}" for c in columns.split(", "))
+    return f"{rows}, m AS (SELECT st.line, s, n, i - s AS j, 0.5 - 0.5 * cos(2 * pi() * (i - s) / n) AS w, {parts} FROM st JOIN f ON f.line = st.line AND i >= s AND i < s + n), q AS (SELECT unnest(range(0, {size // 2 + 1})) AS q)"
+
+
+@query("welch_spectrum", f"WITH {_segments_sql('v', 32)}, k AS (SELECT line, s, n, q, sum(dv * cos(2 * pi() * q * j / n)) AS re, sum(dv * sin(2 * pi() * q * j / n)) AS im, sum(w * w) AS ww FROM m, q WHERE q <= n // 2 GROUP BY 1, 2, 3, 4) SELECT line, round(q / n, 6) AS frequency, round(avg(re * re + im * im) / any_value(ww) * CASE WHEN q = 0 OR 2 * q = n THEN 1 ELSE 2 END, 6) AS power FROM k GROUP BY line, q, n")
 def _(spark, sf):
     def run(p):
         f, power = K.welch(p["v"].to_numpy(), 1.0, 32)
@@ -182,7 +189,10 @@ def _(spark, sf):
     return K.by_group(_flights(spark, sf), ["line"], run, "line long, frequency double, power double")
 
 
-@query("admittance_coherence")
+@query(
+    "admittance_coherence",
+    f"WITH {_segments_sql('x, v', 16)}, k AS (SELECT line, s, n, q, sum(dx * cos(2 * pi() * q * j / n)) AS xr, -sum(dx * sin(2 * pi() * q * j / n)) AS xi, sum(dv * cos(2 * pi() * q * j / n)) AS vr, -sum(dv * sin(2 * pi() * q * j / n)) AS vi FROM m, q WHERE q <= n // 2 GROUP BY 1, 2, 3, 4), t AS (SELECT line, n, q, sum(xr * xr + xi * xi) AS xx, sum(vr * vr + vi * vi) AS yy, sum(xr * vr + xi * vi) AS re, sum(xr * vi - xi * vr) AS im FROM k GROUP BY 1, 2, 3), u AS (SELECT *, 1e-12 * max(xx) OVER (PARTITION BY line) AS least_xx FROM t) SELECT line, round(q / n, 6) AS frequency, round(CASE WHEN xx > least_xx THEN re / xx END, 6) AS admittance, round((re * re + im * im) / greatest(xx * yy, 1e-300), 6) AS coherence FROM u",
+)
 def _(spark, sf):
     def run(p):
         f, a, c = K.admittance(p["x"].to_numpy(), p["v"].to_numpy(), 1.0, 16)
@@ -284,7 +294,7 @@ def _(spark, sf):
     return S.network(e.where("a <> b"), "a", "b", "d", None, {"1": 0.0})
 
 
-@query("bouguer_density_fit")
+@query("bouguer_density_fit", "SELECT '1' AS term, round(regr_intercept(g, h), 3) AS value FROM stations UNION ALL SELECT 'h', round(regr_slope(g, h), 3) FROM stations", digits=3)
 def _(spark, sf):
     x = S.least_squares(view(spark, sf, "stations"), ["h"], "g")
     return spark.createDataFrame([(k, float(v)) for k, v in x.items()], "term string, value double")

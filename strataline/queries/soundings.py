@@ -166,7 +166,8 @@ _BLOCKS = ((100.0, 300.0, 50.0, 250.0, -160.0, -40.0, 300.0), (350.0, 500.0, 300
 _NAMES = ("west", "east", "south", "north", "bottom", "top", "rho")
 
 
-def _tensor_sql() -> str:
+def _prism_sql(columns: dict[str, tuple[float, dict[str, float]]], factor: str) -> str:
+    """Sums over the blocks of ``factor`` times weighted gradients, for each column."""
     terms: dict[str, list[str]] = {n: [] for n in ("ee", "nn", "uu", "en", "eu", "nu")}
     for i, x in enumerate(("west", "east")):
         for j, y in enumerate(("south", "north")):
@@ -178,8 +179,9 @@ def _tensor_sql() -> str:
                 for n, v in each.items():
                     terms[n].append(f"{sign} ({v})")
     rows = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in p) + ")" for p in _BLOCKS)
-    columns = ", ".join(f"round(sum(6.67430e-2 * rho * ({' '.join(v)})), 6) AS {n}" for n, v in terms.items())
-    return f"SELECT id, {columns} FROM (SELECT id, x + 5e-1 AS x, y + 5e-1 AS y FROM points), (VALUES {rows}) s(west, east, south, north, bottom, top, rho) GROUP BY id"
+    total = lambda of: " + ".join(f"({w!r}) * ({' '.join(terms[n])})" for n, w in of.items())
+    picked = ", ".join(f"round(sum({scale!r} * {factor} * ({total(of)})), 6) AS {n}" for n, (scale, of) in columns.items())
+    return f"SELECT id, {picked} FROM (SELECT id, x + 5e-1 AS x, y + 5e-1 AS y FROM points), (VALUES {rows}) s(west, east, south, north, bottom, top, rho) GROUP BY id"
 
 
 def _tensor(spark, sf):
@@ -187,13 +189,14 @@ def _tensor(spark, sf):
     return p, M.prism_tensor(c("x"), c("y"), F.lit(0.0), [c(n) for n in _NAMES[:6]], c("rho"))
 
 
-@query("prism_gravity_tensor", _tensor_sql())
+@query("prism_gravity_tensor", _prism_sql({n: (6.67430e-2, {n: 1.0}) for n in ("ee", "nn", "uu", "en", "eu", "nu")}, "rho"))
 def _(spark, sf):
     p, t = _tensor(spark, sf)
     return p.groupBy("id").agg(*[F.sum(v).alias(n) for n, v in t.items()])
 
 
-@query("prism_magnetic_field")
+# mu0 / 4 pi is 1e-7, and fields are nT
+@query("prism_magnetic_field", _prism_sql({"be": (100.0, {"ee": 0.2, "en": 1.0, "eu": -0.5}), "bn": (100.0, {"en": 0.2, "nn": 1.0, "nu": -0.5}), "bu": (100.0, {"eu": 0.2, "nu": 1.0, "uu": -0.5})}, "1"))
 def _(spark, sf):
     p, t = _tensor(spark, sf)
     p = p.withColumns({f"t_{n}": v / c("rho") for n, v in t.items()})
