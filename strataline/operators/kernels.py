@@ -53,18 +53,34 @@ def notch_section(frequency: float, quality: float) -> np.ndarray:
     return np.array([[1 / (1 + a), -2 * c / (1 + a), 1 / (1 + a), 1, -2 * c / (1 + a), (1 - a) / (1 + a)]])
 
 
+_SPAN = 64  # samples that go through a section at once
+
+
 def _run_sections(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Transposed direct form II, started in the steady state of the first sample."""
+    """Second-order sections one after the other, started in the steady state of the first sample. A span of samples is a
+    product with the section's impulse response; only its two states pass from span to span."""
     y, level = x.astype(float), float(x[0])
     for b0, b1, b2, _, a1, a2 in sections:
         gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        s1, s2 = level * (gain - b0), level * (b2 - a2 * gain)
-        out = np.empty_like(y)
-        for i, v in enumerate(y):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            out[i] = o
-        y, level = out, level * gain
+        move, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = [np.eye(2)]
+        for _ in range(_SPAN):
+            powers.append(move @ powers[-1])
+        seen = np.array([p[0] for p in powers[:_SPAN]])  # what a state adds to each output of the span
+        impulse = np.concatenate(([b0], seen[:-1] @ feed))
+        lag = np.subtract.outer(np.arange(_SPAN), np.arange(_SPAN))
+        response = np.where(lag >= 0, impulse[lag.clip(min=0)], 0.0)
+        collect = np.array([powers[_SPAN - 1 - k] @ feed for k in range(_SPAN)])  # what an input adds to the state after the span
+        n = -(-len(y) // _SPAN)
+        spans = np.zeros((n, _SPAN))
+        spans.ravel()[: len(y)] = y
+        added = spans @ collect
+        states = np.empty((n, 2))
+        state, whole = np.array([level * (gain - b0), level * (b2 - a2 * gain)]), powers[_SPAN]
+        for i in range(n):
+            states[i] = state
+            state = whole @ state + added[i]
+        y, level = (spans @ response.T + states @ seen.T).ravel()[: len(y)], level * gain
     return y
 
 

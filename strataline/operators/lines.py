@@ -94,6 +94,42 @@ def hampel(df: DataFrame, value: str, keys: Sequence[str], half: int = 3, thresh
     return out.withColumn(flag, spike).withColumn(into, F.when(enough, kept) if complete else kept).drop("local_median", "local_sigma", "local_count")
 
 
+ROW_BLOCK = 1 << 16
+
+
+def in_row_blocks(df: DataFrame, reach: int, row_id: str = "row_id", size: int = ROW_BLOCK) -> DataFrame:
+    """Rows in blocks of ``size`` row ids, those within ``reach`` of a border in the next block too: columns __block and
+    __own. Windows that stay within ``reach`` rows are partitioned by the block, so a line of any length is many bounded tasks."""
+    if not 0 <= reach < size:
+        raise ValueError("the reach is less than a block")
+    first, last = F.floor((F.col(row_id) - reach) / size), F.floor((F.col(row_id) + reach) / size)
+    out = df.withColumn("__block", F.explode(F.sequence(first, last)))
+    return out.withColumn("__own", F.floor(F.col(row_id) / size) == F.col("__block"))
+
+
+def filter_runs(df: DataFrame, value: str, keys: Sequence[str], width: int, kind: str = "mean", *, axis: str | None = None, max_gap: float | None = None, row_id: str = "row_id", into: str = "filtered", size: int = ROW_BLOCK) -> DataFrame:
+    """``mean`` or ``median`` of complete centred windows within runs: rows with ids that follow each other, of one line, with
+    finite values (and axis) and no axis step over ``max_gap``. Null where the window isn't complete. One shuffle by
+    blocks of rows, whatever the number and length of the lines."""
+    half = _half(width)
+    if kind not in ("mean", "median"):
+        raise ValueError("mean or median")
+    w = Window.partitionBy("__block").orderBy(row_id)
+    before = lambda c: F.lag(c).over(w)
+    good = is_finite(F.col(value)) & (is_finite(F.col(axis)) if axis is not None else F.lit(True))
+    out = in_row_blocks(df, half + 1, row_id, size).withColumn("__good", good)
+    same = (F.col(row_id) - before(row_id) == 1) & F.col("__good") & before("__good")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(before(k))
+    if axis is not None and max_gap is not None:
+        same = same & (F.col(axis) - before(axis) <= max_gap)
+    out = out.withColumn("__run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    frame = Window.partitionBy("__block", "__run").orderBy(row_id).rowsBetween(-half, half)
+    middle = F.avg(value).over(frame) if kind == "mean" else F.percentile(F.col(value), F.lit(0.5)).over(frame)
+    out = out.withColumn(into, F.when(F.col("__good") & (F.count(value).over(frame) == width), middle))
+    return out.where("__own").drop("__block", "__own", "__good", "__run")
+
+
 def detrend(value: str, axis: str, keys: Sequence[str]) -> Column:
     """Residual of the least-squares line on the axis, by run."""
     w = Window.partitionBy(*keys)

@@ -1,10 +1,10 @@
 """A versioned survey store on Spark's readers and writers.
 
 A store is a folder: ``catalog/databases``, ``catalog/channels``, ``catalog/versions`` and
-``catalog/events`` are append-only Parquet tables; ``data/<database>/<channel>/v<number>`` has
-one column keyed by row_id. A version is written aside and moved into place by one
-rename, then listed in the catalogue; whatever a failed writer leaves isn't listed,
-so nobody sees it. Published channels never change; a channel's latest version is
+``catalog/events`` are append-only Parquet tables; a version names a folder below ``data`` and a
+column (field) of it, keyed by row_id. The channels of an import, and others published together, share a folder, so
+reading several of them is one scan without a join. Data are written first and listed in the
+catalogue then; whatever a failed writer leaves isn't listed, so nobody sees it. Published channels never change; a channel's latest version is
 the one with the greatest number. One writer at a time may publish to a store.
 """
 
@@ -25,7 +25,7 @@ from ..operators import joins as J, lines as L, solve, tracks
 _TABLES = {
     "databases": "id string, name string, n_rows long, source string, metadata string, created string",
     "channels": "id string, database_id string, name string, unit string, created string",
-    "versions": "id string, channel_id string, number int, path string, data_type string, provenance string, created string",
+    "versions": "id string, channel_id string, number int, path string, field string, data_type string, provenance string, created string",
     "events": "id string, database_id string, action string, details string, created string",
 }
 
@@ -71,9 +71,9 @@ class SurveyStore:
 
     def channels(self, database_id: str) -> DataFrame:
         """The latest version of each channel."""
-        latest = self.table("versions").groupBy("channel_id").agg(F.max_by(F.struct("id", "number", "path", "data_type"), "number").alias("v"))
+        latest = self.table("versions").groupBy("channel_id").agg(F.max_by(F.struct("id", "number", "path", "field", "data_type"), "number").alias("v"))
         own = self.names().where(F.col("database_id") == database_id)
-        return own.join(latest, own["id"] == latest["channel_id"]).select("name", F.col("id").alias("channel_id"), "unit", F.col("v.id").alias("version_id"), F.col("v.number").alias("number"), F.col("v.path").alias("path"), F.col("v.data_type").alias("data_type")).orderBy("name")
+        return own.join(latest, own["id"] == latest["channel_id"]).select("name", F.col("id").alias("channel_id"), "unit", F.col("v.id").alias("version_id"), F.col("v.number").alias("number"), F.col("v.path").alias("path"), F.col("v.field").alias("field"), F.col("v.data_type").alias("data_type")).orderBy("name")
 
     def _bound(self, database_id: str, names: Sequence[str]) -> dict[str, tuple]:
         found = {r["name"]: r for r in self.channels(database_id).collect()}
@@ -91,26 +91,36 @@ class SurveyStore:
         nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
         if nested:
             raise StoreError(f"nested columns: {nested}")
-        # written once with its row ids, so that every channel is cut from the same rows even where the order has ties
-        df, aside = self._numbered(df, order)
-        n, distinct = df.agg(F.count("*"), F.countDistinct("row_id")).first()
-        if n != distinct:
-            raise StoreError("row ids are null or repeated")
         database = uuid.uuid4().hex
+        # written once with its row ids, so that the channels are of the same rows even where the order has ties
+        path = f"{self.path}/data/{database}/import"
+        n = self._write_numbered(df, order, path)
         self._append("databases", id=database, name=name, n_rows=n, source=source, metadata=json.dumps(metadata or {}, allow_nan=False), created=_now())
-        for c in df.columns:
-            if c != "row_id":
-                self._publish(database, c, df.select("row_id", c), (units or {}).get(c, ""), {"action": "import", "source": source})
+        self._list(database, path, {c: ((units or {}).get(c, ""), t) for c, t in df.dtypes if c != "row_id"}, {"action": "import", "source": source})
         self._log(database, "import", rows=n, columns=[c for c in df.columns if c != "row_id"])
-        self._fs.delete(self._path(aside), True)
         return database
 
-    def _numbered(self, df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, str]:
-        """The rows, written, with dense row ids: a row's place in its file's task plus the rows of the tasks before it."""
-        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+    def _list(self, database_id: str, path: str, columns: dict[str, tuple[str, str]], provenance: dict) -> dict[str, str]:
+        """Lists new channels (name -> unit, type), whose columns are in one folder: name -> version. A channel without a
+        version isn't seen, so the versions' append, one file, is what publishes them."""
+        note = json.dumps(provenance, allow_nan=False, sort_keys=True)
+        ids = {name: (uuid.uuid4().hex, uuid.uuid4().hex) for name in columns}
+        channels = [(ids[n][0], database_id, n, unit, _now()) for n, (unit, _) in columns.items()]
+        versions = [(ids[n][1], ids[n][0], 1, path, n, kind, note, _now()) for n, (_, kind) in columns.items()]
+        for table, rows in (("channels", channels), ("versions", versions)):
+            self.spark.createDataFrame(rows, _TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog/{table}")
+        return {n: v for n, (_, v) in ids.items()}
+
+    def _write_numbered(self, df: DataFrame, order: Sequence[str], path: str) -> int:
+        """Writes the rows with dense row ids (a row's place in its task's file plus the rows of the tasks before it), or their own; how many."""
         if "row_id" in df.columns:
-            df.write.parquet(aside)
-            return self.spark.read.schema(df.schema).parquet(aside), aside
+            df.write.option("compression", "zstd").parquet(path)
+            n, distinct = self.spark.read.schema(df.schema).parquet(path).agg(F.count("*"), F.countDistinct("row_id")).first()
+            if n != distinct:
+                self._fs.delete(self._path(path), True)
+                raise StoreError("row ids are null or repeated")
+            return n
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
         placed = (df.orderBy(*order) if order else df).withColumn("__place", F.monotonically_increasing_id())
         placed.write.parquet(aside)
         rows = self.spark.read.schema(placed.schema).parquet(aside)
@@ -121,16 +131,24 @@ class SurveyStore:
             before += r["count"]
         starts = self.spark.createDataFrame(start, "__task long, __start long")
         rows = rows.withColumn("__task", task).join(F.broadcast(starts), "__task")
-        return rows.select((F.col("__start") + F.col("__place").bitwiseAND((1 << 33) - 1)).alias("row_id"), *df.columns), aside
+        rows.select((F.col("__start") + F.col("__place").bitwiseAND((1 << 33) - 1)).alias("row_id"), *df.columns).write.option("compression", "zstd").parquet(path)
+        self._fs.delete(self._path(aside), True)
+        return before
 
     def scan(self, database_id: str, names: Sequence[str], filters: dict[str, Sequence] | None = None) -> DataFrame:
-        """row_id and the named channels, aligned by row_id; only their files are read. ``filters``: column -> accepted values."""
+        """row_id and the named channels, aligned by row_id; only their columns are read, those of one folder by one scan. ``filters``:
+        column -> accepted values."""
         needed = list(dict.fromkeys([*names, *(filters or {})]))
-        out = None
+        folders: dict[str, list[tuple[str, tuple]]] = {}
         for n, r in self._bound(database_id, needed).items():
-            one = self.spark.read.schema(f"row_id long, value {r['data_type']}").parquet(r["path"]).withColumnRenamed("value", n)
-            if filters and n in filters:
-                one = one.where(F.col(n).isin(*[F.lit(v).cast(r["data_type"]) for v in filters[n]]))
+            folders.setdefault(r["path"], []).append((n, r))
+        out = None
+        for path, channels in folders.items():
+            fields = ", ".join(dict.fromkeys(f"`{r['field']}` {r['data_type']}" for _, r in channels))
+            one = self.spark.read.schema(f"row_id long, {fields}").parquet(path).select("row_id", *[F.col(f"`{r['field']}`").alias(n) for n, r in channels])
+            for n, r in channels:
+                if filters and n in filters:
+                    one = one.where(F.col(n).isin(*[F.lit(v).cast(r["data_type"]) for v in filters[n]]))
             out = one if out is None else out.join(one, "row_id")
         return out.select("row_id", *dict.fromkeys(names))
 
@@ -152,7 +170,7 @@ class SurveyStore:
         if self._fs.exists(self._path(target)) or not self._fs.rename(self._path(aside), self._path(target)):
             raise StoreError(f"another writer published version {number} of {name!r}")
         version = uuid.uuid4().hex
-        self._append("versions", id=version, channel_id=channel_id, number=number, path=target, data_type=kind, provenance=json.dumps(provenance, allow_nan=False, sort_keys=True), created=_now())
+        self._append("versions", id=version, channel_id=channel_id, number=number, path=target, field="value", data_type=kind, provenance=json.dumps(provenance, allow_nan=False, sort_keys=True), created=_now())
         return version
 
     def publish(self, database_id: str, name: str, values: DataFrame, *, unit: str = "", inputs: dict[str, str] | None = None, provenance: dict | None = None, new_only: bool = False) -> str:
@@ -186,23 +204,16 @@ class SurveyStore:
         stale = [n for n, v in inputs.items() if n not in known or known[n]["version_id"] != v]
         if taken or stale:
             raise StoreError(f"channels exist: {taken}; inputs have newer versions: {stale}")
-        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
-        values.select("row_id", *units).write.parquet(aside)  # computed once for all channels
-        values = self.spark.read.schema(values.select("row_id", *units).schema).parquet(aside)
-        self._check_rows(database_id, known, values)
-        note = json.dumps({"action": "publish", **provenance, "inputs": inputs}, allow_nan=False, sort_keys=True)
-        channels, versions, out = [], [], {}
-        for name, unit in units.items():
-            channel, version = uuid.uuid4().hex, uuid.uuid4().hex
-            target = f"{self.path}/data/{database_id}/{channel}/v1"
-            values.select("row_id", F.col(name).alias("value")).repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("compression", "zstd").parquet(target)
-            channels.append((channel, database_id, name, unit, _now()))
-            versions.append((version, channel, 1, target, values.schema[name].dataType.simpleString(), note, _now()))
-            out[name] = version
-        # a channel without a version isn't listed, so the versions' append is what publishes
-        for table, rows in (("channels", channels), ("versions", versions)):
-            self.spark.createDataFrame(rows, _TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog/{table}")
-        self._fs.delete(self._path(aside), True)
+        path = f"{self.path}/data/{database_id}/{uuid.uuid4().hex}"
+        values = values.select("row_id", *units)
+        values.repartitionByRange("row_id").sortWithinPartitions("row_id").write.option("compression", "zstd").parquet(path)  # computed once for all channels
+        try:
+            self._check_rows(database_id, known, self.spark.read.schema(values.schema).parquet(path))
+        except StoreError:
+            self._fs.delete(self._path(path), True)
+            raise
+        kinds = dict(values.dtypes)
+        out = self._list(database_id, path, {n: (unit, kinds[n]) for n, unit in units.items()}, {"action": "publish", **provenance, "inputs": inputs})
         self._log(database_id, "publish", channels=list(units), **provenance)
         return out
 
@@ -214,13 +225,11 @@ class SurveyStore:
         """A new channel: the ``mean`` or ``median`` of complete centred windows, or ``hampel``'s, within runs of the line (and axis)."""
         names = list(dict.fromkeys([name, line, *([axis] if axis else [])]))
         rows, inputs = self._lines(database_id, names)
-        rows = L.add_segments(rows, [line], name, axis, max_gap)
-        keys = [line, "segment"]
         if kind == "hampel":
-            out = L.hampel(rows, name, keys, width // 2, complete=True, into=into).select("row_id", F.when(F.col("segment").isNotNull(), F.col(into)).alias(into))
+            rows = L.add_segments(rows, [line], name, axis, max_gap)
+            out = L.hampel(rows, name, [line, "segment"], width // 2, complete=True, into=into).select("row_id", F.when(F.col("segment").isNotNull(), F.col(into)).alias(into))
         elif kind in ("mean", "median"):
-            window = (L.moving_mean if kind == "mean" else L.moving_median)(name, keys, width)
-            out = rows.select("row_id", F.when(F.col("segment").isNotNull(), window).alias(into))
+            out = L.filter_runs(rows, name, [line], width, kind, axis=axis, max_gap=max_gap, into=into).select("row_id", into)
         else:
             raise StoreError("mean, median or hampel")
         return self.publish(database_id, into, out, inputs=inputs, provenance={"filter": kind, "width": width, "axis": axis, "max_gap": max_gap}, new_only=True)
@@ -264,7 +273,7 @@ class SurveyStore:
             raise StoreError(f"there is a channel {into!r}")
         channel, version = uuid.uuid4().hex, uuid.uuid4().hex
         self._append("channels", id=channel, database_id=database_id, name=into, unit=source["unit"], created=_now())
-        self._append("versions", id=version, channel_id=channel, number=1, path=source["path"], data_type=source["data_type"], provenance=json.dumps({"action": "duplicate", "inputs": {name: source["version_id"]}}, sort_keys=True), created=_now())
+        self._append("versions", id=version, channel_id=channel, number=1, path=source["path"], field=source["field"], data_type=source["data_type"], provenance=json.dumps({"action": "duplicate", "inputs": {name: source["version_id"]}}, sort_keys=True), created=_now())
         self._log(database_id, "duplicate", source=name, channel=into)
         return version
 

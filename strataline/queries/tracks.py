@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tracks as T
+from ..functions.digest import table_digest
+from ..operators import lines as L, tracks as T
 from .registry import query, view
 
 c = F.col
@@ -117,3 +118,21 @@ def _(spark, sf):
 def _(spark, sf):
     f = view(spark, sf, "flights")
     return T.along_distance(f.where("row_id % 2 = 1"), f.where("row_id % 2 = 0").select("line", c("x").alias("d"), "y"), ["line"], "x", "d", "y", 50.0, "tie_value").select("row_id", "tie_value")
+
+
+_RUNS = "n AS (SELECT *, coalesce(row_id - lag(row_id) OVER w = 1 AND v IS NOT NULL AND lag(v) OVER w IS NOT NULL, FALSE) AS same FROM survey WINDOW w AS (PARTITION BY line ORDER BY row_id)), k AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY line ORDER BY row_id) AS run FROM n)"
+
+
+@query("moving_mean_runs", f"WITH {_RUNS} SELECT row_id, round(CASE WHEN count(v) OVER f = 5 THEN avg(v) OVER f END, 6) AS filtered FROM k WINDOW f AS (PARTITION BY line, run ORDER BY row_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def _(spark, sf):
+    return L.filter_runs(view(spark, sf, "survey"), "v", ["line"], 5).select("row_id", "filtered")
+
+
+@query("moving_median_runs", f"WITH {_RUNS} SELECT row_id, round(CASE WHEN count(v) OVER f = 7 THEN median(v) OVER f END, 6) AS filtered FROM k WINDOW f AS (PARTITION BY line, run ORDER BY row_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+def _(spark, sf):
+    return L.filter_runs(view(spark, sf, "survey"), "v", ["line"], 7, "median", size=1000).select("row_id", "filtered")
+
+
+@query("table_digest", "SELECT line, count(*) AS rows, bit_xor(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(row_id AS VARCHAR), coalesce(kind, chr(0)))), 1, 15) AS BIGINT)) AS digest FROM survey GROUP BY line")
+def _(spark, sf):
+    return table_digest(view(spark, sf, "survey"), ["row_id", "kind"], ["line"])

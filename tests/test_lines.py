@@ -96,3 +96,18 @@ def test_stats(spark):
     assert abs(stats.axis_of_points(line, [], "x", "y").first()["azimuth"] - math.degrees(math.atan(0.5))) < 1e-9
     edges = spark.createDataFrame([(i, i + 1) for i in range(12) if i != 6], "a long, b long")
     assert {(r["node"], r["component"]) for r in stats.components(edges, "a", "b").collect()} == {(i, 0 if i < 7 else 7) for i in range(13)}
+
+
+def test_runs_in_blocks_do_not_hang_on_the_blocks(spark):
+    """The fixture with a null, a change of line and a gap in the axis, and random lines in blocks of 4 and of 10**6 rows."""
+    rows = [(0, 1.0, 0.0, "a"), (1, 2.0, 1.0, "a"), (2, 3.0, 2.0, "a"), (3, None, 3.0, "a"), (4, 100.0, 4.0, "a"), (5, 100.0, 5.0, "a"), (6, 100.0, 6.0, "a"), (7, 8.0, 20.0, "a"), (8, 8.0, 21.0, "a"), (9, 8.0, 22.0, "a"), (10, 10.0, 23.0, "b"), (11, 11.0, 24.0, "b"), (12, 12.0, 25.0, "b")]
+    df = spark.createDataFrame(rows, "row_id long, v double, t double, line string")
+    got = [r["filtered"] for r in L.filter_runs(df, "v", ["line"], 3, axis="t", max_gap=2.0, size=3).orderBy("row_id").collect()]
+    assert got == [None, 2, None, None, None, 100, None, None, 8, None, None, 11, None]
+    import random
+
+    r = random.Random(4)
+    many = spark.createDataFrame([(k, r.choice([None, r.random(), r.random(), r.random(), r.random()]), r.choice("ab") if k % 9 == 0 else "a") for k in range(500)], "row_id long, v double, line string").repartition(5)
+    for kind in ("mean", "median"):
+        small, large = ([x["filtered"] for x in L.filter_runs(many, "v", ["line"], 3, kind, size=n).orderBy("row_id").collect()] for n in (4, 10**6))
+        assert small == large and any(x is not None for x in small)
