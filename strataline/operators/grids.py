@@ -247,6 +247,12 @@ def derivative(direction: str, order: int = 1) -> Transfer:
     return {"east": lambda ke, kn, k: (1j * ke) ** order, "north": lambda ke, kn, k: (1j * kn) ** order, "up": lambda ke, kn, k: (-k) ** order}[direction]
 
 
+def directional_derivative(azimuth: float) -> Transfer:
+    """The horizontal derivative towards an azimuth (degrees clockwise from north)."""
+    a = math.radians(azimuth)
+    return lambda ke, kn, k: 1j * (ke * math.sin(a) + kn * math.cos(a))
+
+
 def continuation(height: float) -> Transfer:
     return lambda ke, kn, k: np.exp(-k * height)
 

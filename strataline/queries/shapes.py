@@ -117,6 +117,7 @@ _FILTERS = {
     "fft_derivative_northing": [G.derivative("north")],
     "fft_derivative_upward": [G.derivative("up")],
     "fft_second_vertical_derivative": [G.derivative("up", 2)],
+    "fft_directional_gradient": [G.directional_derivative(30.0)],
     "fft_upward_continuation": [G.continuation(50.0)],
     "fft_downward_continuation": [G.downward(20.0, 120.0)],
     "fft_butterworth_lowpass": [G.butterworth(150.0, 4)],

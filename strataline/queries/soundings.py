@@ -358,6 +358,14 @@ def _(spark, sf):
 _DIPOLE = ((1, 0, -29_400.0, 0.0), (1, 1, -1_450.0, 4_650.0), (2, 0, -2_500.0, 0.0), (2, 1, 2_980.0, -2_990.0), (2, 2, 1_680.0, -735.0))
 
 
+@query("pole_reduction_by_main_field")
+def _(spark, sf):
+    """Reduction to the pole with the main field's direction at the middle of the grid."""
+    b = M.main_field(_DIPOLE, np.array([-70.0]), np.array([-20.0]), np.array([0.1]))[0]
+    inclination, declination = float(np.degrees(np.arctan2(-b[2], math.hypot(b[0], b[1])))), float(np.degrees(np.arctan2(b[0], b[1])))
+    return G.fft_filter(_grid(spark, sf), [G.field_transform((inclination, declination))], 25.0, 25.0).select("r", "c", "filtered")
+
+
 @query("main_field_removal", digits=3)
 def _(spark, sf):
     def run(p):

@@ -122,6 +122,18 @@ def test_impedance_and_fit():
     assert got is None or abs(got[1]) < 200
 
 
+def test_directional_derivative_of_a_wave():
+    y, x = np.mgrid[0:64, 0:64] * 10.0
+    ke, kn = 2 * np.pi * 4 / 640, 2 * np.pi * 3 / 640
+    z = np.sin(ke * x + kn * y)
+    for azimuth in (0.0, 30.0, 90.0, 215.0):
+        a = np.radians(azimuth)
+        got = G.spectral_filter(z, 10.0, 10.0, [G.directional_derivative(azimuth)], detrend=-1, pad=0.25)
+        want = (ke * np.sin(a) + kn * np.cos(a)) * np.cos(ke * x + kn * y)
+        inner = (slice(16, 48), slice(16, 48))
+        assert np.abs(got - want)[inner].max() < 0.15 * np.hypot(ke, kn)
+
+
 def test_sections_by_spans_are_the_recursion():
     """Against the plain recursion, sample by sample, around the length of a span."""
     r = np.random.default_rng(8)
