@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from ..functions import geophysics as geo
 from ..functions import projection
-from ..operators import fields, grids, joins, kernels, lines, models, solve, soundings, stats, tracks
+from ..operators import fields, grids, joins, kernels, lines, models, solve, soundings, spectra, stats, tracks
 from ..sources import text
 
 # The operation names of the survey domain.
@@ -26,8 +26,8 @@ OPERATIONS: dict[str, Callable] = {
     "radiometry.background_correction": geo.background,
     "radiometry.energy_rebin": joins.overlaps,
     "radiometry.integrate_windows": joins.overlaps,
-    "radiometry.nasvd": kernels.nasvd,
-    "radiometry.mnf": kernels.mnf,
+    "radiometry.nasvd": spectra.nasvd,
+    "radiometry.mnf": spectra.mnf,
     "radiometry.full_spectrum_fit": kernels.nnls,
     "radiometry.covariance_transform": fields.covariance_transform,
     "radiometry.fit_response": kernels.gls,

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Window, functions as F
 
-from ..operators import fields as P, grids as G, kernels as K, solve as S
+from ..operators import fields as P, grids as G, kernels as K, solve as S, spectra as X
 from .registry import query, scalar, table, view
 from .relations import _SPEC, _spectra
 from .shapes import _grid
@@ -184,13 +184,8 @@ def _(spark, sf):
 
 @query("mnf_denoise")
 def _(spark, sf):
-    def run(q):
-        q = q.sort_values("vec_id")
-        a = np.abs(np.stack(q["embedding"].to_numpy()).astype(float))
-        kept = K.mnf(a, K.difference_noise(a), 5) if len(a) > 2 else a
-        return pd.DataFrame({"vec_id": q["vec_id"], "kept": kept.sum(axis=1)})
-
-    return table(spark, sf, "embeddings").groupBy("label").applyInPandas(run, "vec_id long, kept double")
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("counts"))
+    return X.mnf(e, "vec_id", "label", "counts", 5).select("vec_id", F.aggregate("rebuilt", F.lit(0.0), lambda a, b: a + b).alias("kept"))
 
 
 @query("polygon_density_fit")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import grids as G, joins as J, kernels as K, lines as L, solve as S, stats
+from ..operators import grids as G, joins as J, kernels as K, lines as L, solve as S, spectra as X, stats
 from .registry import query, table, view
 
 
@@ -335,12 +335,9 @@ def _(spark, sf):
 
 @query("nasvd_denoise")
 def _(spark, sf):
-    def run(p):
-        counts = np.abs(np.stack(p["embedding"].to_numpy()).astype(float)) * 100
-        out = K.nasvd(counts, 4)
-        return pd.DataFrame({"vec_id": p["vec_id"], "before": counts.sum(axis=1), "after": out.sum(axis=1)})
-
-    return table(spark, sf, "embeddings").groupBy("label").applyInPandas(run, "vec_id long, before double, after double")
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 100).alias("counts"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return X.nasvd(e, "vec_id", "label", "counts", 4).select("vec_id", total("counts").alias("before"), total("rebuilt").alias("after"))
 
 
 @query("mt_layered_forward")

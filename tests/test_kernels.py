@@ -152,3 +152,29 @@ def test_sections_by_spans_are_the_recursion():
                     out.append(o)
                 want, level = np.array(out), level * gain
             assert np.allclose(K._run_sections(sections, x), want, rtol=1e-9, atol=1e-8)
+
+
+def test_denoising_by_moments_is_the_dense_kernels(spark, monkeypatch):
+    """Groups dealt over tasks and blocks of ids, a null group, a group below the channels and one of two rows."""
+    from strataline.operators import spectra as X
+
+    monkeypatch.setattr(X, "ID_BLOCK", 37)
+    r = np.random.default_rng(9)
+    group = [None if k % 5 == 4 else "ab"[k % 2] for k in range(400)] + ["small"] * 6 + ["two"] * 2
+    x = np.abs(r.normal(size=(408, 8)) + 3 * np.sin(np.arange(8)) * r.normal(size=(408, 1))) * 10
+    ids = r.permutation(408) * 3
+    df = spark.createDataFrame([(int(i), g, v.tolist()) for i, g, v in zip(ids, group, x)], "id long, g string, v array<double>").repartition(7)
+    some = df.where("g is null or g not in ('two')")
+    for got, dense in ((X.mnf(df, "id", "g", "v", 3), None), (X.nasvd(some, "id", "g", "v", 3), K.nasvd)):
+        rows = {q["id"]: q["rebuilt"] for q in got.collect()}
+        for name in (None, "a", "b", "small", "two"):
+            at = [k for k in range(408) if group[k] == name]
+            at.sort(key=lambda k: ids[k])
+            own = x[at]
+            if dense is None:
+                want = own if len(own) < 3 else K.mnf(own, K.difference_noise(own), 3)
+            elif name == "two":
+                continue
+            else:
+                want = dense(own, 3)
+            assert np.allclose([rows[int(ids[k])] for k in at], want, atol=1e-6), (name, dense)
