@@ -112,20 +112,23 @@ def chunk_table(docs: DataFrame, path: str, text_col: str, max_entries: int, ste
     """(chunk, ids, n, surface) of the chunks that occur most, each segmented once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(total.values(), pa.int64())], ["chunk", "n"])
+        def merged() -> pa.Table:
+            out = pa.concat_tables(held).group_by("chunk").aggregate([("n", "sum")])
+            return pa.table({"chunk": out.column("chunk").cast(pa.string()), "n": out.column("n_sum")})
 
         for batch in (s for b in batches for s in H.slices(b, "t", SLICE_BYTES)):
             for _, flat, _ in _cut(batch.column(0)):
-                flat = flat.filter(pc.less_equal(pc.utf8_length(flat), LONGEST_KEPT))
-                for x in flat.value_counts().to_pylist():
-                    total[x["values"]] = total.get(x["values"], 0) + x["counts"]
-            if len(total) > max_entries:
-                yield out()
-                total.clear()
-        yield out()
+                found = flat.filter(pc.less_equal(pc.utf8_length(flat), LONGEST_KEPT)).value_counts()
+                held.append(pa.table({"chunk": found.field(0).cast(pa.string()), "n": found.field(1)}))
+            if sum(t.num_rows for t in held) > 4 * max_entries + 1000:
+                held = [merged()]
+                if held[0].num_rows > max_entries:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from merged().to_batches()
 
     counted = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
     counted = steps.table(counted, "chunks")
