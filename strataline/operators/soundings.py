@@ -311,3 +311,35 @@ def dispersive_response(sensitivity: np.ndarray, samples: np.ndarray, m: Sequenc
     if normalization == "pulse" and pulse is not None:
         out = out / (1 - s @ np.array([ip_decay(np.array([pulse]), a, t, c)[0] for a, t, c in zip(m, tau, exponent)]))[:, None]
     return out
+
+
+def spatial_waveform(sensitivity: np.ndarray, events: Sequence[float], currents: Sequence[float], samples: np.ndarray, m: Sequence[float], tau: Sequence[float], exponent: Sequence[float], normalization: str = "pulse") -> tuple[np.ndarray, np.ndarray]:
+    """(decays, primary over its charged value) of quadrupoles that see cells by their sensitivities, after a history of switches: cells
+    add up their secondary voltages, and what each still lacks of its primary."""
+    s = np.asarray(sensitivity, float)
+    cells = [ip_waveform(events, currents, samples, *p, normalization="dc") for p in zip(m, tau, exponent)]
+    primary = 1 - s @ np.array([1 - first for _, first in cells])
+    decay = s @ np.array([second for second, _ in cells])
+    return decay / primary[:, None] if normalization == "pulse" else decay, primary
+
+
+def fit_cells(forward: Callable[[np.ndarray], np.ndarray], observed: np.ndarray, deviation: np.ndarray | float, start: np.ndarray, *, reference: np.ndarray | None = None, beta: float = 0.0, low: Sequence[float] = (0.0, 1e-9, 0.1), high: Sequence[float] = (0.5, 1e9, 1.0)) -> tuple[np.ndarray, float]:
+    """(cells x (m, tau, c), chi square) of a response of several cells (``forward`` of cells x 3), bounded, tau by its logarithm, with a
+    pull of ``beta`` to the reference. Complex responses count as real and imaginary parts."""
+    start = np.asarray(start, float)
+    split = lambda v: np.concatenate([np.real(v).ravel(), np.imag(v).ravel()]) if np.iscomplexobj(v) else np.ravel(v)
+    sd = split(np.broadcast_to(deviation, np.shape(observed)) * (1 + 1j if np.iscomplexobj(observed) else 1))
+
+    def inward(p: np.ndarray) -> np.ndarray:
+        return np.column_stack([p[:, 0], np.log(p[:, 1]), p[:, 2]]).ravel()
+
+    def outward(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(-1, 3)
+        return np.column_stack([x[:, 0], np.exp(x[:, 1]), x[:, 2]])
+
+    prior = inward(np.asarray(reference if reference is not None else start, float))
+    model = lambda x: np.concatenate([split(forward(outward(x))) / sd, math.sqrt(beta) * (x - prior)])
+    edge = lambda p: inward(np.tile(np.asarray(p, float), (len(start), 1)))
+    x, _ = fit_bounded(model, np.concatenate([split(observed) / sd, np.zeros(start.size)]), inward(start), edge(low), edge(high))
+    r = (split(forward(outward(x))) - split(observed)) / sd
+    return outward(x), float(r @ r)

@@ -105,6 +105,9 @@ OPERATIONS: dict[str, Callable] = {
     "ip.waveform_decay": soundings.ip_waveform,
     "ip.fit_waveform": soundings.fit_ip,
     "ip.dispersive_forward": soundings.dispersive_response,
+    "ip.dispersive_inverse": soundings.fit_cells,
+    "ip.spatial_waveform": soundings.spatial_waveform,
+    "ip.fit_spatial_waveform": soundings.fit_cells,
     "fdem.layered_forward": soundings.fdem_layered,
     "fdem.fit_conductivity": soundings.fit_layers,
     "tem.stepoff_forward": soundings.tem_stepoff,
