@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbers import is_finite
+
 
 def interpolate(left: DataFrame, right: DataFrame, time: str, base_time: str, base_value: str, bucket: float, keys: Sequence[str] = (), into: str = "interpolated") -> DataFrame:
     """Linear interpolation of ``right`` at the times of ``left`` without extrapolation; equal
@@ -35,6 +37,11 @@ def interpolate(left: DataFrame, right: DataFrame, time: str, base_time: str, ba
     return joined.select(*[seen[c] for c in left.columns], value.alias(into))
 
 
+def _places(points: DataFrame, x: str, y: str) -> DataFrame:
+    """The rows that have a place: others are no distance from anything."""
+    return points.where(is_finite(F.col(x)) & is_finite(F.col(y)))
+
+
 def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str, radius: float, k: int = 1, left_id: str = "row_id", right_x: str | None = None, right_y: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """The k nearest rows of ``right`` within ``radius`` of each left row (ties by id):
     left rows probe the nine cells of side ``radius`` around them. Columns: left_id,
@@ -82,17 +89,39 @@ def reciprocal_errors(df: DataFrame, a: str, b: str, m: str, n: str, resistance:
 
 
 def variogram(points: DataFrame, point_id: str, x: str, y: str, value: str, width: float, n_lags: int) -> DataFrame:
-    """Semivariance by lag bin [i width, (i + 1) width), the last bin closed: pairs meet in cells
-    of the largest lag, each pair once."""
+    """Semivariance by lag bin [i width, (i + 1) width), the last bin closed: each pair of rows with different ids once.
+
+    Places meet in cells of the largest lag, not rows: the squared differences of all pairs between two places are
+    exact sums of the places' counts, means and variances, of which none cancel. Pairs of rows with one id are taken off."""
     reach = width * n_lags
-    a = points.select(F.col(point_id).alias("ia"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.col(value).alias("va"))
-    a = a.withColumn("cx", F.floor(F.col("xa") / reach)).withColumn("cy", F.floor(F.col("ya") / reach))
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = a.select(F.col("ia").alias("ib"), F.col("xa").alias("xb"), F.col("ya").alias("yb"), F.col("va").alias("vb"), "cx", "cy").withColumn("s", shifts)
-    b = b.withColumn("cx", F.col("cx") + F.col("s.i")).withColumn("cy", F.col("cy") + F.col("s.j")).drop("s")
-    pairs = a.join(b, ["cx", "cy"]).where("ia < ib").withColumn("h", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))).where(F.col("h") <= reach)
-    lag = F.least(F.floor(F.col("h") / width), F.lit(n_lags - 1))
-    return pairs.groupBy(lag.cast("int").alias("lag")).agg(F.count("*").alias("pairs"), F.avg("h").alias("mean_distance"), (F.avg(F.pow(F.col("va") - F.col("vb"), F.lit(2.0))) / 2).alias("semivariance"))
+    rows = _places(points, x, y).where(F.col(point_id).isNotNull()).select(F.col(point_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(value).alias("v"))
+
+    def lags(places: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(lag, pairs, h, valued, g): pairs within and between the places, of one value of the keys."""
+        cell = lambda c: F.floor(F.col(c) / reach)
+        a = places.select(*keys, *[F.col(c).alias(f"{c}a") for c in ("x", "y", "n", "m", "mean", "m2")], cell("x").alias("cx"), cell("y").alias("cy"))
+        shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+        b = places.select(*keys, *[F.col(c).alias(f"{c}b") for c in ("x", "y", "n", "m", "mean", "m2")], shifts.alias("s"))
+        b = b.select("*", (cell("xb") + F.col("s.i")).alias("cx"), (cell("yb") + F.col("s.j")).alias("cy"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own")).drop("s")
+        met = a.join(b, [*keys, "cx", "cy"]).where(~F.col("own") | (F.struct("xa", "ya") < F.struct("xb", "yb")))
+        met = met.withColumn("h", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))).where(F.col("h") <= reach)
+        n, m = F.col("na") * F.col("nb"), F.col("ma") * F.col("mb")
+        g = F.when(m > 0, F.col("mb") * F.col("m2a") + F.col("ma") * F.col("m2b") + m * F.pow(F.col("meana") - F.col("meanb"), F.lit(2.0)))
+        between = met.select("h", n.alias("n"), m.alias("m"), g.alias("g"))
+        half = lambda c: F.floor(F.col(c) * (F.col(c) - 1) / 2)
+        within = places.where("n > 1").select(F.lit(0.0).alias("h"), half("n").alias("n"), half("m").alias("m"), F.when(F.col("m") > 1, F.col("m") * F.col("m2")).alias("g"))
+        lag = F.least(F.floor(F.col("h") / width), F.lit(n_lags - 1)).cast("int")
+        return between.unionByName(within).groupBy(lag.alias("lag")).agg(F.sum("n").alias("pairs"), F.sum(F.col("h") * F.col("n")).alias("h"), F.sum("m").alias("valued"), F.sum("g").alias("g"))
+
+    def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        m = F.count("v")
+        return rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("n"), m.alias("m"), F.avg("v").alias("mean"), (F.var_pop("v") * m).alias("m2"))
+
+    repeated = rows.join(rows.groupBy("id").count().where("count > 1").select("id"), "id")
+    same = lags(placed(repeated, ["id"]), ["id"])
+    signed = lags(placed(rows, []), []).unionByName(same.select("lag", *[(-F.col(c)).alias(c) for c in ("pairs", "h", "valued", "g")]))
+    total = signed.groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("pairs", "h", "valued", "g")]).where("pairs > 0")
+    return total.select("lag", "pairs", (F.col("h") / F.col("pairs")).alias("mean_distance"), (F.try_divide("g", "valued") / 2).alias("semivariance"))
 
 
 def missing_keys(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
