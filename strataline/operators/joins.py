@@ -42,20 +42,41 @@ def _places(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.where(is_finite(F.col(x)) & is_finite(F.col(y)))
 
 
+def _close_places(left: DataFrame, right: DataFrame, reach: float, k: int) -> DataFrame:
+    """(__x, __y, close, found): the k nearest places of ``right`` (__rx, __ry, __first, __n) within ``reach`` of each place of ``left``,
+    and the rows they have. Left places probe the nine cells of side ``reach`` around them."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    points = right.select("__rx", "__ry", "__first", "__n", cell("__rx").alias("__cx"), cell("__ry").alias("__cy"))
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    probes = left.select("__x", "__y", shifts.alias("__s")).select("__x", "__y", (cell("__x") + F.col("__s.i")).alias("__cx"), (cell("__y") + F.col("__s.j")).alias("__cy"))
+    met = probes.join(points, ["__cx", "__cy"]).withColumn("distance", F.hypot(F.col("__x") - F.col("__rx"), F.col("__y") - F.col("__ry"))).where(F.col("distance") <= reach)
+    rank = F.row_number().over(Window.partitionBy("__x", "__y").orderBy("distance", "__first"))
+    close = met.withColumn("__rank", rank).where(F.col("__rank") <= k)
+    return close.groupBy("__x", "__y").agg(F.collect_list(F.struct("distance", "__rx", "__ry")).alias("close"), F.sum("__n").alias("found"))
+
+
 def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str, radius: float, k: int = 1, left_id: str = "row_id", right_x: str | None = None, right_y: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """The k nearest rows of ``right`` within ``radius`` of each left row (ties by id):
-    left rows probe the nine cells of side ``radius`` around them. Columns: left_id,
-    right_id, distance, rank and ``carry`` from the right."""
+    """The k nearest rows of ``right`` within ``radius`` of each left row (ties by id). Columns: left_id,
+    right_id, distance, rank and ``carry`` from the right.
+
+    Places meet, not rows: rows of one place have the same neighbours, and of a place's right rows only the k
+    least ids can be among the k nearest, so no more than k places count (by distance and least id). Left places
+    look within a quarter of the radius first; only those that find fewer than k rows there look further."""
     rx, ry = right_x or x, right_y or y
-    cell = lambda c: F.floor(F.col(c) / radius)
-    points = right.select(F.col(right_id).alias("__rid"), F.col(rx).alias("__rx"), F.col(ry).alias("__ry"), *carry, cell(rx).alias("__cx"), cell(ry).alias("__cy"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    probes = left.select(F.col(left_id), F.col(x).alias("__x"), F.col(y).alias("__y")).withColumn("__s", shifts)
-    probes = probes.withColumn("__cx", F.floor(F.col("__x") / radius) + F.col("__s.i")).withColumn("__cy", F.floor(F.col("__y") / radius) + F.col("__s.j")).drop("__s")
-    distance = F.hypot(F.col("__x") - F.col("__rx"), F.col("__y") - F.col("__ry"))
-    met = probes.join(points, ["__cx", "__cy"]).withColumn("distance", distance).where(F.col("distance") <= radius)
+    rows = _places(right, rx, ry).select(F.col(right_id).alias("__rid"), F.col(rx).alias("__rx"), F.col(ry).alias("__ry"), *carry)
+    least = F.row_number().over(Window.partitionBy("__rx", "__ry").orderBy("__rid"))
+    rows = rows.withColumn("__k", least).where(F.col("__k") <= k).drop("__k")
+    places = rows.groupBy("__rx", "__ry").agg(F.min(F.struct("__rid")).alias("__first"), F.count("*").alias("__n"))
+    asked = _places(left, x, y).select(F.col(left_id), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    probes = asked.select("__x", "__y").distinct()
+    enough = _close_places(probes, places, radius / 4, k).where(F.col("found") >= k)
+    close = enough.unionByName(_close_places(probes.join(enough, ["__x", "__y"], "left_anti"), places, radius, k))
+    met = close.select("__x", "__y", F.inline("close")).join(rows, ["__rx", "__ry"])
+    nearest = F.row_number().over(Window.partitionBy("__x", "__y").orderBy("distance", "__rid"))
+    met = met.withColumn("rank", nearest).where(F.col("rank") <= k).drop("rank", "__rx", "__ry")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy("distance", "__rid"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select(left_id, F.col("__rid").alias(right_id), "distance", "rank", *carry)
+    out = asked.join(met, ["__x", "__y"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select(left_id, F.col("__rid").alias(right_id), "distance", "rank", *carry)
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], bucket: float) -> DataFrame:

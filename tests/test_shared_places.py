@@ -49,3 +49,36 @@ def test_variogram_of_a_crowd(spark):
     n = 21000
     assert {k: r["pairs"] for k, r in got.items()} == {0: 3 * n * (n - 1) // 2, 1: 2 * n * n, 2: n * n}
     assert got[1]["semivariance"] == pytest.approx(4.0) and got[2]["mean_distance"] == 8.0  # every place has each value 0 to 6 equally often
+
+
+@pytest.mark.parametrize("k", [1, 4, 9])
+def test_neighbours_of_odd_points(spark, k):
+    p = [r for r in _odd_points() if r[0] is not None]
+    left, right = [r for r in p if r[0] % 3 == 0], [r for r in p if r[0] % 3]
+    want = []
+    for i in {r[0] for r in left}:
+        near = [(math.hypot(x - x2, y - y2), b) for a, x, y, _ in left if a == i and x is not None for b, x2, y2, _ in right if x2 is not None]
+        want += [(i, n + 1, b, d) for n, (d, b) in enumerate(sorted(q for q in near if q[0] <= 9)[:k])]
+    schema = "id long, x double, y double, v double"
+    a, b = spark.createDataFrame(left, schema).repartition(3), spark.createDataFrame(right, schema).withColumnRenamed("id", "other")
+    got = J.neighbours(a, b, "x", "y", "other", 9.0, k, left_id="id", carry=["v"])
+    assert got.columns == ["id", "other", "distance", "rank", "v"]
+    assert sorted((r["id"], r["rank"], r["other"], r["distance"]) for r in got.collect()) == sorted(want)
+
+
+def test_neighbours_further_than_the_first_look(spark):
+    """Few rows near, the rest as far as the radius; ties between places go by id."""
+    left = spark.createDataFrame([(0, 0.0, 0.0), (1, 100.0, 0.0), (2, 500.0, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(7, 0.0, 1.0), (5, 40.0, 0.0), (4, 0.0, 40.0), (9, 0.0, 40.0), (6, 100.0, 40.1)], "other long, x double, y double")
+    got = J.neighbours(left, right, "x", "y", "other", 40.0, 3, left_id="id").collect()
+    assert sorted((r["id"], r["rank"], r["other"], r["distance"]) for r in got) == [(0, 1, 7, 1.0), (0, 2, 4, 40.0), (0, 3, 5, 40.0)]
+
+
+def test_neighbours_of_a_crowd(spark):
+    """Every one of 60,000 rows has 60,000 within the radius."""
+    p = _crowd(spark, 120000)
+    began = time.time()
+    got = J.neighbours(p.where("id % 2 = 0"), p.where("id % 2 = 1").withColumnRenamed("id", "other"), "x", "y", "other", 40.0, 4, left_id="id", carry=["v"])
+    row = got.agg(F.count("*").alias("n"), F.max("distance").alias("d"), F.max("other").alias("other"), F.count_distinct("id").alias("ids")).first()
+    assert time.time() - began < 60
+    assert tuple(row) == (240000, 0.0, 23, 60000)
