@@ -30,7 +30,7 @@ def _events(folder):
     pd.DataFrame({"event_id": range(n), "user_id": [k // 30 % 2 for k in range(n)], "ts": pd.Series(t).astype("datetime64[us]"), "event_type": kind, "value": [k % 23 * 1.5 for k in range(n)]}).to_parquet(folder / "events.parquet")
 
 
-@pytest.mark.parametrize("name", ["segment_islands", "detrend_segment"])
+@pytest.mark.parametrize("name", ["segment_islands", "run_lengths", "detrend_segment"])
 def test_runs_of_a_clock_that_does_not_increase(spark, tmp_path, name):
     _events(tmp_path)
     _same_as_sql(spark, tmp_path, name, "events")
