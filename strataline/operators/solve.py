@@ -1,6 +1,7 @@
 """Small global problems: Spark sums the normal equations, the driver solves them.
 
-The number of unknowns (lines, stations) is checked before anything is collected.
+Unknowns that meet no other of their kind (the lines that cross ties, outlying stations) are taken out by sums in Spark;
+the number of the others is checked before anything is collected.
 """
 
 from __future__ import annotations
@@ -8,18 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .stats import components, robust_keep
 
 MAX_UNKNOWNS = 5000
 
 
-def _names(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    names = df.select(F.col(columns[0]).cast("string").alias("name"))
-    for c in columns[1:]:
-        names = names.union(df.select(F.col(c).cast("string")))
-    found = [r[0] for r in names.where("name is not null").distinct().orderBy("name").limit(MAX_UNKNOWNS + 1).collect()]
+def _names(df: DataFrame) -> list[str]:
+    found = [r[0] for r in df.where("name is not null").distinct().orderBy("name").limit(MAX_UNKNOWNS + 1).collect()]
     if len(found) > MAX_UNKNOWNS:
         raise ValueError(f"more than {MAX_UNKNOWNS} unknowns")
     return found
@@ -36,26 +34,90 @@ def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def _islands(linked: np.ndarray) -> np.ndarray:
+    """The least index of each node's component."""
+    out = np.full(len(linked), -1)
+    for start in range(len(linked)):
+        if out[start] < 0:
+            new = np.zeros(len(linked), bool)
+            new[start] = True
+            while new.any():
+                out[new] = start
+                new = linked[new].any(axis=0) & (out < 0)
+    return out
+
+
+def _network(edges: DataFrame, anchors: dict[str, float]) -> DataFrame:
+    """(node, value) from edges (i, j, w, d): least squares of sum w (value[i] - value[j] - d / w)^2. Nodes of one side only (of the side
+    that has more of them) have no edges among themselves, so each is a weighted mean of its neighbours plus a constant and is taken out by
+    sums over its pairs of neighbours. The driver solves for the others, whose number is checked; any number of nodes can be taken out."""
+    spark = edges.sparkSession
+    edges = edges.where("i is not null and j is not null").groupBy("i", "j").agg(F.sum("w").cast("double").alias("w"), F.sum("d").cast("double").alias("d"))
+    edges = edges.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges.persist()  # read several times below
+    ends = edges.select(F.col("i").alias("name"), F.lit(1).alias("left")).union(edges.select("j", F.lit(0)))
+    sides = ends.groupBy("name").agg(F.max("left").alias("left"), F.min("left").alias("only"))
+    n = sides.agg(F.count_if(F.col("only") == 1).alias("left"), F.count_if(F.col("left") == 0).alias("right")).first()
+    one = "only = 1" if n["left"] >= n["right"] else "left = 0"
+    fixed = F.col("name").isin(list(anchors))
+    rest, out = sides.where(~F.expr(one) | fixed).select("name"), sides.where(F.expr(one) & ~fixed).select("name")
+    names = _names(rest)
+    at = {x: k for k, x in enumerate(names)}
+    if n["left"] < n["right"]:  # nodes taken out are in i below
+        edges = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w", (-F.col("d")).alias("d"))
+    m, v, linked = np.zeros((len(names), len(names))), np.zeros(len(names)), np.eye(len(names), dtype=bool)
+    inner = edges.join(out.withColumnRenamed("name", "i"), "i", "left_anti")
+    for r in inner.toLocalIterator():
+        i, j = at[r["i"]], at[r["j"]]
+        m[i, i] += r["w"]
+        m[j, j] += r["w"]
+        m[i, j] -= r["w"]
+        m[j, i] -= r["w"]
+        v[i] += r["d"]
+        v[j] -= r["d"]
+        linked[i, j] = linked[j, i] = True
+    # value[i] = (sum of d + sum of w value[j]) / sum of w for a node taken out, put into the others' equations
+    star = edges.join(out.withColumnRenamed("name", "i"), "i")
+    whole = star.groupBy("i").agg(F.sum("w").alias("ws"), F.sum("d").alias("ds"))
+    star = star.join(whole, "i")
+    alone = star.groupBy("j").agg(F.sum(F.col("w") * F.coalesce(F.try_divide("ds", "ws"), F.lit(0.0)) - F.col("d")).alias("v"))
+    for r in alone.toLocalIterator():
+        v[at[r["j"]]] += r["v"]
+    other = star.select("i", F.col("j").alias("k"), F.col("w").alias("wk"))
+    pairs = star.join(other, "i").where("j < k").groupBy("j", "k").agg(F.sum(F.coalesce(F.try_divide(F.col("w") * F.col("wk"), F.col("ws")), F.lit(0.0))).alias("w"))
+    for r in pairs.toLocalIterator():
+        j, k = at[r["j"]], at[r["k"]]
+        m[j, j] += r["w"]
+        m[k, k] += r["w"]
+        m[j, k] -= r["w"]
+        m[k, j] -= r["w"]
+        linked[j, k] = linked[k, j] = True
+    known = [at[x] for x in anchors if x in at]
+    value = np.zeros(len(names))
+    for x in anchors:
+        if x in at:
+            value[at[x]] = anchors[x]
+    free = np.setdiff1d(np.arange(len(names)), known)
+    island = _islands(linked)
+    held = set(island[known].tolist())
+    loose = ~np.isin(island, list(held))
+    right = v - m[:, known] @ value[known]
+    m += loose[:, None] & (island[:, None] == island[None, :])  # a component without an anchor has mean 0
+    if len(free):
+        value[free] = _solved(m[np.ix_(free, free)], right[free])
+    solved = spark.createDataFrame([(x, float(value[k]), int(island[k]), int(island[k]) in held) for k, x in enumerate(names)], "node string, value double, island long, held boolean")
+    means = star.join(F.broadcast(solved), star["j"] == solved["node"]).groupBy("i").agg(F.sum(F.col("d") + F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), F.first("island").alias("island"), F.first("held").alias("held"))
+    taken = means.select(F.col("i").alias("node"), F.coalesce(F.try_divide("s", "w"), F.lit(0.0)).alias("value"), "island", "held")
+    every = solved.unionByName(taken)
+    middle = every.where("not held").groupBy("island").agg(F.avg("value").alias("mean"))
+    return every.join(F.broadcast(middle), "island", "left").select("node", (F.col("value") - F.coalesce("mean", F.lit(0.0))).alias("value"))
+
+
 def line_corrections(crossings: DataFrame, traverse: str, tie: str, residual: str, sigmas: float = 4.5) -> DataFrame:
     """(line, correction): constants that take the accepted residuals down in the least squares, with mean 0
-    over all lines. Sums by pair of lines come to the driver, not crossings."""
-    spark = crossings.sparkSession
+    over the lines of each network. Lines are taken out of the equations by sums, those of the side that has more."""
     kept = robust_keep(crossings.where(F.col(residual).isNotNull()), residual, sigmas).where("accepted")
-    names = _names(kept, [traverse, tie])
-    at = {n: i for i, n in enumerate(names)}
-    a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
-    sums = kept.groupBy(F.col(traverse).cast("string").alias("i"), F.col(tie).cast("string").alias("j")).agg(F.count("*").alias("n"), F.sum(residual).alias("s"))
-    for r in sums.toLocalIterator():
-        i, j = at[r["i"]], at[r["j"]]
-        a[i, i] += r["n"]
-        a[j, j] += r["n"]
-        a[i, j] -= r["n"]
-        a[j, i] -= r["n"]
-        b[i] -= r["s"]
-        b[j] += r["s"]
-    a += 1.0  # mean of all corrections 0
-    x = _solved(a, b) if names else b
-    return spark.createDataFrame(list(zip(names, x.tolist())), "line string, correction double")
+    edges = kept.select(F.col(traverse).cast("string").alias("i"), F.col(tie).cast("string").alias("j"), F.lit(1.0).alias("w"), (-F.col(residual)).alias("d"))
+    return _network(edges, {}).select(F.col("node").alias("line"), F.col("value").alias("correction"))
 
 
 def polynomial_corrections(crossings: DataFrame, line: str, position: str, residual: str, order: int) -> DataFrame:
@@ -81,29 +143,8 @@ def polynomial_corrections(crossings: DataFrame, line: str, position: str, resid
 def network(edges: DataFrame, a: str, b: str, difference: str, weight: str | None, anchors: dict[str, float]) -> DataFrame:
     """(node, value) of differences value[a] - value[b] by weighted least squares with exact anchors. A
     component without an anchor gets mean 0."""
-    spark: SparkSession = edges.sparkSession
-    names = _names(edges, [a, b])
-    at = {n: i for i, n in enumerate(names)}
     w = F.col(weight) if weight else F.lit(1.0)
-    sums = edges.groupBy(F.col(a).cast("string").alias("i"), F.col(b).cast("string").alias("j")).agg(F.sum(w).alias("w"), F.sum(w * F.col(difference)).alias("d"))
-    m, v = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for r in sums.toLocalIterator():
-        i, j = at[r["i"]], at[r["j"]]
-        m[i, i] += r["w"]
-        m[j, j] += r["w"]
-        m[i, j] -= r["w"]
-        m[j, i] -= r["w"]
-        v[i] += r["d"]
-        v[j] -= r["d"]
-    known = [at[n] for n in anchors if n in at]
-    value = np.zeros(len(names))
-    for n, x in anchors.items():
-        if n in at:
-            value[at[n]] = x
-    free = [i for i in range(len(names)) if i not in set(known)]
-    if free:
-        value[free] = np.linalg.lstsq(m[np.ix_(free, free)], v[free] - m[np.ix_(free, known)] @ value[known], rcond=None)[0]
-    return spark.createDataFrame(list(zip(names, value.tolist())), "node string, value double")
+    return _network(edges.select(F.col(a).cast("string").alias("i"), F.col(b).cast("string").alias("j"), w.alias("w"), (w * F.col(difference)).alias("d")).where("d is not null"), anchors)
 
 
 def least_squares(df: DataFrame, columns: Sequence[str], target: str, weight: str | None = None) -> dict[str, float]:
