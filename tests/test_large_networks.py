@@ -50,3 +50,11 @@ def test_network_of_many_stations(spark):
     got = {r["node"]: r["value"] for r in solve.network(e, "a", "b", "d", None, {"b0": 10.0}).collect()}
     assert len(got) == 6002 > solve.MAX_UNKNOWNS
     assert max(abs(x - 10 - int(n[1:])) for n, x in got.items()) < 1e-8
+
+
+def test_levelling_of_many_lines(spark):
+    c = spark.range(48000).selectExpr("concat('L', id div 8) a", "concat('T', id % 8) b", "double((id div 8) % 5 - id % 8) r")
+    got = {r["line"]: r["correction"] for r in solve.line_corrections(c, "a", "b", "r").collect()}
+    assert len(got) == 6008 > solve.MAX_UNKNOWNS
+    assert abs(sum(got.values())) < 1e-6
+    assert max(abs((k // 8) % 5 - k % 8 + got[f"L{k // 8}"] - got[f"T{k % 8}"]) for k in range(48000)) < 1e-8
