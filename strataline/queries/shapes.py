@@ -224,7 +224,7 @@ def _by_place(asked, kernel, names):
     """The kernel for each id's neighbours (px, py, v, qx, qy); 256 ids share a group, as a group costs more than a kernel."""
 
     def run(p):
-        p = p.sort_values("id")
+        p = p.sort_values(["id", "rank"])
         values, ids = p[["px", "py", "v", "qx", "qy"]].to_numpy(), p["id"].to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
         rows = [(int(ids[a]), *kernel(values[a:b])) for a, b in zip(cuts, cuts[1:])]
@@ -234,28 +234,31 @@ def _by_place(asked, kernel, names):
     return grouped.applyInPandas(run, "id long, " + ", ".join(f"{n} double" for n in names))
 
 
-@query("ordinary_kriging")
-def _(spark, sf):
+def _from_neighbours(spark, sf, k, kernel, names):
+    """The kernel at every point whose id is divisible by four, from its k nearest others; once for the points of one place, which share them."""
     p = view(spark, sf, "points")
-    near = J.neighbours(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumnRenamed("id", "other").withColumn("px", F.col("x")).withColumn("py", F.col("y")), "x", "y", "other", 60.0, 8, left_id="id", carry=["v", "px", "py"])
-    asked = near.join(p.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id")
+    asked = p.where("id % 4 = 0")
+    places = asked.groupBy("x", "y").agg(F.min("id").alias("id"))
+    others = p.where("id % 4 <> 0").select(F.col("id").alias("other"), "x", "y", "v", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = J.neighbours(places, others, "x", "y", "other", 60.0, k, left_id="id", carry=["v", "px", "py"])
+    solved = _by_place(near.join(places.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id"), kernel, names)
+    return asked.select("id", "x", "y").join(places.withColumnRenamed("id", "place"), ["x", "y"]).join(solved.withColumnRenamed("id", "place"), "place").select("id", *names)
 
+
+@query("ordinary_kriging")
+def _(spark, sf):
     def one(q):
         return K.ordinary_kriging(q[:, :2], q[:, 2], q[0, 3:], 3000.0, 80.0)
 
-    return _by_place(asked, one, ("estimate", "variance"))
+    return _from_neighbours(spark, sf, 8, one, ("estimate", "variance"))
 
 
 @query("local_thin_plate")
 def _(spark, sf):
-    p = view(spark, sf, "points")
-    near = J.neighbours(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumnRenamed("id", "other").withColumn("px", F.col("x")).withColumn("py", F.col("y")), "x", "y", "other", 60.0, 12, left_id="id", carry=["v", "px", "py"])
-    asked = near.join(p.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id")
-
     def one(q):
         return (K.thin_plate(q[:, :2], q[:, 2], q[:1, 3:])[0] if len(q) >= 3 else math.nan,)
 
-    return _by_place(asked, one, ("estimate",))
+    return _from_neighbours(spark, sf, 12, one, ("estimate",))
 
 
 @query("minimum_curvature_grid")

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strataline.operators import joins as J
+from strataline.operators import joins as J, kernels as K
+from strataline.queries import QUERIES, shapes
 
 
 def _odd_points(n=300):
@@ -82,3 +83,25 @@ def test_neighbours_of_a_crowd(spark):
     row = got.agg(F.count("*").alias("n"), F.max("distance").alias("d"), F.max("other").alias("other"), F.count_distinct("id").alias("ids")).first()
     assert time.time() - began < 60
     assert tuple(row) == (240000, 0.0, 23, 60000)
+
+
+@pytest.mark.parametrize(("name", "k"), [("local_thin_plate", 12)])
+def test_estimates_of_shared_places(spark, tmp_path, monkeypatch, name, k):
+    """Points of one place share one estimate, solved once; every point gets its own row."""
+    i = np.array([n + 33127 * copy for n in range(600) for copy in range(4)])
+    pd.DataFrame({"p_partkey": i, "p_retailprice": 900 + np.sin(i / 7.0) * 50 + i % 13, "p_size": (i % 50).astype("int32")}).to_parquet(tmp_path / "part.parquet")
+    calls, by_place = [], shapes._by_place
+    monkeypatch.setattr(shapes, "_by_place", lambda asked, *rest: calls.append(asked.select("id").distinct()) or by_place(asked, *rest))
+    got = QUERIES[name](spark, str(tmp_path)).toPandas().set_index("id")
+    p = pd.DataFrame({"id": i, "x": i % 211 * 3.0, "y": i % 157 * 4.0, "v": 900 + np.sin(i / 7.0) * 50 + i % 13})
+    left, right = p[p["id"] % 4 == 0], p[p["id"] % 4 != 0]
+    assert calls[0].count() == len(left[["x", "y"]].drop_duplicates())
+    n = 0
+    for r in left.itertuples():
+        near = right.assign(d=np.hypot(right["x"] - r.x, right["y"] - r.y)).query("d <= 60").sort_values(["d", "id"])[:k]
+        xy, z, at = near[["x", "y"]].to_numpy(), near["v"].to_numpy(), np.array([r.x, r.y])
+        if len(near):
+            n += 1
+            want = K.ordinary_kriging(xy, z, at, 3000.0, 80.0)[0] if k == 8 else K.thin_plate(xy, z, at[None])[0]
+            assert got.loc[r.id, "estimate"] == pytest.approx(want, rel=1e-6)
+    assert n == len(got) == 600
