@@ -85,7 +85,7 @@ def test_neighbours_of_a_crowd(spark):
     assert tuple(row) == (240000, 0.0, 23, 60000)
 
 
-@pytest.mark.parametrize(("name", "k"), [("local_thin_plate", 12)])
+@pytest.mark.parametrize(("name", "k"), [("ordinary_kriging", 8), ("local_thin_plate", 12)])
 def test_estimates_of_shared_places(spark, tmp_path, monkeypatch, name, k):
     """Points of one place share one estimate, solved once; every point gets its own row."""
     i = np.array([n + 33127 * copy for n in range(600) for copy in range(4)])
