@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .grids import Transfer, _safe
@@ -32,15 +33,42 @@ def prism_gravity(x: Column, y: Column, z: Column, bounds: Sequence[Column], den
     return total * density * G_MGAL
 
 
-def terrain_effect(stations: DataFrame, cells: DataFrame, cell: float, radius: int, density: float) -> DataFrame:
+def terrain_effect(stations: DataFrame, cells: DataFrame, cell: float, radius: int, density: float, tile: int = 256) -> DataFrame:
     """(r, c, effect): the sum over the cells up to ``radius`` cells away of their columns' line-mass attraction
-    relative to the station's height. Cells meet by offsets, an equi-join on the lattice."""
+    relative to the station's height. Tiles of stations meet the cells of the tile and its rim, sent as rows of numbers; a place may
+    have several of either."""
     offsets = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if (i or j) and i * i + j * j <= radius * radius]
-    spread = F.inline(F.array(*[F.struct((F.col("r") + i).alias("r2"), (F.col("c") + j).alias("c2"), F.lit(cell * math.hypot(i, j)).alias("d")) for i, j in offsets]))
-    near = cells.where("z is not null").select(F.col("z").alias("h"), spread).select(F.col("r2").alias("r"), F.col("c2").alias("c"), "h", "d")
-    rise = F.col("h") - F.col("z")
-    effect = (F.lit(1.0) / F.col("d") - F.lit(1.0) / F.sqrt(F.col("d") * F.col("d") + rise * rise)) * (G_MGAL * density * cell * cell)
-    return stations.join(near, ["r", "c"]).groupBy("r", "c").agg(F.sum(effect).alias("effect"))
+    width = tile + 4 * radius
+    kinds = ", ".join(f"{n} {cells.schema[n].dataType.simpleString()}" for n in ("r", "c"))
+
+    def run(key, own, near):
+        if own.empty or near.empty:
+            return pd.DataFrame({"r": [], "c": [], "effect": []})
+        r0, c0 = (int(k) * tile - 2 * radius for k in key)
+        at = lambda r, c: (r.to_numpy("int64") - r0) * width + c.to_numpy("int64") - c0
+        place, z = at(own["r"], own["c"]), own["z"].to_numpy(float)
+        around = at(near["nr"], near["nc"])
+        order = np.argsort(around, kind="stable")
+        around, h = around[order], near["h"].to_numpy(float)[order]
+        effect, met = np.zeros(len(z)), np.zeros(len(z), bool)
+        for i, j in offsets:
+            d = cell * math.hypot(i, j)
+            here, last = (np.searchsorted(around, place + i * width + j, side) for side in ("left", "right"))
+            while (more := here < last).any():
+                rise = h[here[more]] - z[more]
+                effect[more] += 1 / d - 1 / np.sqrt(d * d + rise * rise)
+                met |= more
+                here = here + more
+        place, effect = place[met], effect[met] * (G_MGAL * density * cell * cell)
+        where, group = np.unique(place, return_inverse=True)
+        valued = np.bincount(group, ~np.isnan(effect), len(where))
+        total = np.where(valued > 0, np.bincount(group, np.nan_to_num(effect), len(where)), np.nan)
+        return pd.DataFrame({"r": where // width + r0, "c": where % width + c0, "effect": total})
+
+    span = lambda p: F.explode(F.sequence(F.floor((F.col(p) - radius) / tile), F.floor((F.col(p) + radius) / tile)))
+    own = stations.where("r is not null and c is not null").select("r", "c", F.col("z").cast("double").alias("z"), F.floor(F.col("r") / tile).alias("__i"), F.floor(F.col("c") / tile).alias("__j"))
+    near = cells.where("z is not null").withColumn("__i", span("r")).withColumn("__j", span("c")).select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("z").cast("double").alias("h"), "__i", "__j")
+    return own.groupBy("__i", "__j").cogroup(near.groupBy("__i", "__j")).applyInPandas(run, f"{kinds}, effect double")
 
 
 def upward_radon(u: Column, th: Column, bt: Column, bu: Column, up: Column, a1: float, a2: float, au: float, at: float) -> Column:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strataline.operators import lines as L
+from strataline.operators import fields as P, lines as L
 from strataline.queries import ORACLE, QUERIES
 
 
@@ -41,3 +41,20 @@ def test_an_axis_must_increase_unless_told(spark):
     with pytest.raises(Exception, match="does not increase"):
         L.add_segments(df, ["line"], "v", "t", 4.0).collect()
     assert [r["segment"] for r in L.add_segments(df, ["line"], "v", "t", 4.0, increasing=False).orderBy("row_id").collect()] == [1, 1, 1, 2]
+
+
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_terrain_with_several_cells_at_a_place(spark, tile):
+    """Tiles of any size, places below zero, holes, places twice: every pair within the radius once."""
+    z = [(r, c, float((r * 7 + c * 3) % 11 * 40)) for r in range(-9, 10) for c in range(-5, 13) if (r * c) % 5 != 1]
+    z += [(r, r, 77.0) for r in range(4)] + [(90, 90, 1.0), (4, 5, None)]
+    want = {}
+    for r, c, a in z:
+        near = [(math.hypot(r - q, c - s) * 25, b) for q, s, b in z if b is not None and 0 < math.hypot(r - q, c - s) <= 3]
+        if near and a is not None:
+            want[r, c] = want.get((r, c), 0) + sum(1 / d - 1 / math.hypot(d, b - a) for d, b in near) * 6.67430e-6 * 2670 * 625
+    cells = spark.createDataFrame(z, "r int, c int, z double").repartition(3)
+    got = P.terrain_effect(cells.where("z is not null"), cells, 25.0, 3, 2670.0, tile=tile)
+    assert [t for _, t in got.dtypes] == ["int", "int", "double"]
+    got = {(r["r"], r["c"]): r["effect"] for r in got.collect()}
+    assert got == pytest.approx(want, rel=1e-9) and (90, 90) not in got
