@@ -1,8 +1,10 @@
 """Queries on surveys that the given tables don't have, against their SQL."""
 
 import math
+import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -58,3 +60,31 @@ def test_terrain_with_several_cells_at_a_place(spark, tile):
     assert [t for _, t in got.dtypes] == ["int", "int", "double"]
     got = {(r["r"], r["c"]): r["effect"] for r in got.collect()}
     assert got == pytest.approx(want, rel=1e-9) and (90, 90) not in got
+
+
+def _crowded_part(folder, places, copies):
+    i = np.array([n + 33127 * k for k in range(copies) for n in range(places)])  # 33127 = 211 * 157: the same place again
+    pd.DataFrame({"p_partkey": i, "p_retailprice": 900 + i % 1013 / 10, "p_size": (i % 50).astype("int32")}).to_parquet(folder / "part.parquet")
+
+
+SEARCHES = ["paired_flight_difference"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_of_shared_places(spark, tmp_path, name):
+    _crowded_part(tmp_path, 150, 8)
+    _same_as_sql(spark, tmp_path, name, "part")
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_of_a_crowd(spark, tmp_path, name):
+    """Two places of 50,000 points each, 5 apart: thousands of millions of pairs, and one answer for each point."""
+    _crowded_part(tmp_path, 2, 50000)
+    began = time.time()
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert time.time() - began < 60
+    if name == "repeat_line_quality":
+        assert sorted(got["line"]) == [1, 2, 3, 4] and list(got["matched"]) == [20000] * 4
+    else:
+        assert len(got) == got["id"].nunique() == 50000
+        assert (got["n_near"] == 6).all() if name == "grid_idw" else (got["distance"] == 0).all()
