@@ -67,7 +67,7 @@ def _crowded_part(folder, places, copies):
     pd.DataFrame({"p_partkey": i, "p_retailprice": 900 + i % 1013 / 10, "p_size": (i % 50).astype("int32")}).to_parquet(folder / "part.parquet")
 
 
-SEARCHES = ["paired_flight_difference", "nearest_pair", "repeat_line_quality"]
+SEARCHES = ["paired_flight_difference", "nearest_pair", "repeat_line_quality", "grid_idw"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
