@@ -55,9 +55,9 @@ def _close_places(left: DataFrame, right: DataFrame, reach: float, k: int) -> Da
     return close.groupBy("__x", "__y").agg(F.collect_list(F.struct("distance", "__rx", "__ry")).alias("close"), F.sum("__n").alias("found"))
 
 
-def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str, radius: float, k: int = 1, left_id: str = "row_id", right_x: str | None = None, right_y: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str, radius: float, k: int = 1, left_id: str = "row_id", right_x: str | None = None, right_y: str | None = None, carry: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The k nearest rows of ``right`` within ``radius`` of each left row (ties by id). Columns: left_id,
-    right_id, distance, rank and ``carry`` from the right.
+    right_id, distance, rank, ``carry`` from the right and ``keep`` from the left. A left id that occurs twice is answered once.
 
     Places meet, not rows: rows of one place have the same neighbours, and of a place's right rows only the k
     least ids can be among the k nearest, so no more than k places count (by distance and least id). Left places
@@ -67,7 +67,7 @@ def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str,
     least = F.row_number().over(Window.partitionBy("__rx", "__ry").orderBy("__rid"))
     rows = rows.withColumn("__k", least).where(F.col("__k") <= k).drop("__k")
     places = rows.groupBy("__rx", "__ry").agg(F.min(F.struct("__rid")).alias("__first"), F.count("*").alias("__n"))
-    asked = _places(left, x, y).select(F.col(left_id), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    asked = _places(left, x, y).select(F.col(left_id), F.col(x).alias("__x"), F.col(y).alias("__y"), *keep)
     probes = asked.select("__x", "__y").distinct()
     enough = _close_places(probes, places, radius / 4, k).where(F.col("found") >= k)
     close = enough.unionByName(_close_places(probes.join(enough, ["__x", "__y"], "left_anti"), places, radius, k))
@@ -76,7 +76,7 @@ def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str,
     met = met.withColumn("rank", nearest).where(F.col("rank") <= k).drop("rank", "__rx", "__ry")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy("distance", "__rid"))
     out = asked.join(met, ["__x", "__y"]).withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select(left_id, F.col("__rid").alias(right_id), "distance", "rank", *carry)
+    return out.select(left_id, F.col("__rid").alias(right_id), "distance", "rank", *carry, *keep)
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], bucket: float) -> DataFrame:

@@ -69,8 +69,8 @@ def _(spark, sf):
 def _(spark, sf):
     p = view(spark, sf, "points").withColumn("line", (F.col("id") % 5).cast("int"))
     ref = p.where("line = 0").select(F.col("id").alias("ref_id"), "x", "y", F.col("v").alias("ref_v"))
-    near = J.neighbours(p.where("line <> 0"), ref, "x", "y", "ref_id", 60.0, 1, left_id="id", carry=["ref_v"])
-    r = near.join(p.select("id", "line", "v"), "id").withColumn("residual", F.col("v") - F.col("ref_v"))
+    near = J.neighbours(p.where("line <> 0"), ref, "x", "y", "ref_id", 60.0, 1, left_id="id", carry=["ref_v"], keep=["line", "v"])
+    r = near.withColumn("residual", F.col("v") - F.col("ref_v"))
     w = Window.partitionBy("line")
     r = r.withColumn("median", F.percentile("residual", F.lit(0.5)).over(w)).withColumn("res", F.col("residual") - F.col("median"))
     return r.groupBy("line").agg(F.count("*").alias("matched"), F.first("median").alias("median"), (F.percentile(F.abs("res"), F.lit(0.5)) * 1.4826).alias("mad_sigma"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms_after"))

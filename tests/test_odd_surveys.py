@@ -88,3 +88,12 @@ def test_searches_of_a_crowd(spark, tmp_path, name):
     else:
         assert len(got) == got["id"].nunique() == 50000
         assert (got["n_near"] == 6).all() if name == "grid_idw" else (got["distance"] == 0).all()
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_of_rows_listed_twice(spark, tmp_path, name):
+    """An id that occurs twice has the answers its SQL gives it."""
+    _crowded_part(tmp_path, 150, 3)
+    p = pd.read_parquet(tmp_path / "part.parquet")
+    pd.concat([p, p[p["p_partkey"] % 3 == 0], p[p["p_partkey"] % 7 == 1]]).to_parquet(tmp_path / "part.parquet")
+    _same_as_sql(spark, tmp_path, name, "part")
