@@ -23,15 +23,17 @@ def along(keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> WindowSpec
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def add_segments(df: DataFrame, keys: Sequence[str], value: str, axis: str | None = None, max_gap: float | None = None, row_id: str = "row_id", into: str = "segment", increasing: bool = True) -> DataFrame:
+def add_segments(df: DataFrame, keys: Sequence[str], value: str, axis: str | None = None, max_gap: float | None = None, row_id: str = "row_id", into: str = "segment", increasing: bool = True, finite_only: bool = True) -> DataFrame:
     """Runs of a line: rows next to each other in acquisition order, of one line, with
     finite values (and axis) and no axis step over ``max_gap``. A line that comes back
     starts a new run. Because row ids are dense, a row of another line shows as a gap in
     this line's ids, so the window needs no global order. Rows outside runs get null.
-    ``increasing``: an axis that stands still or goes back within a run is an error; else it stays in its run."""
+    ``increasing``: an axis that stands still or goes back within a run is an error; else it stays in its run.
+    ``finite_only``: else any value that is not null counts, and a row without an axis stays in its run.
+    Rows of one id are numbered alike."""
     w = along(keys, [row_id])
-    good = is_finite(F.col(value))
-    if axis is not None:
+    good = is_finite(F.col(value)) if finite_only else F.col(value).isNotNull()
+    if axis is not None and finite_only:
         good = good & is_finite(F.col(axis))
     out = df.withColumn("__good", good)
     starts = (F.col(row_id) - F.lag(row_id).over(w) != 1) | ~F.lag("__good").over(w) | F.lag(row_id).over(w).isNull()
@@ -41,9 +43,9 @@ def add_segments(df: DataFrame, keys: Sequence[str], value: str, axis: str | Non
             wrong = F.col("__good") & F.lag("__good").over(w) & (F.col(row_id) - F.lag(row_id).over(w) == 1) & (step <= 0)
             starts = starts | F.when(wrong, F.raise_error(F.lit("the axis of a run does not increase")).cast("boolean")).otherwise(False)
         if max_gap is not None:
-            starts = starts | (step > max_gap)
+            starts = starts | F.coalesce(step > max_gap, F.lit(False))
     out = out.withColumn("__start", (F.col("__good") & starts).cast("int"))
-    number = F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.sum("__start").over(w)
     return out.withColumn(into, F.when(F.col("__good"), number)).drop("__good", "__start")
 
 

@@ -12,7 +12,7 @@ _SEG = """segs AS (SELECT *, CASE WHEN v IS NOT NULL THEN sum(CASE WHEN v IS NOT
 
 
 def _segments(spark, sf, keys=("line", "sensor"), gap=600.0):
-    return L.add_segments(view(spark, sf, "survey"), list(keys), "v", "t", gap, increasing=False)
+    return L.add_segments(view(spark, sf, "survey"), list(keys), "v", "t", gap, increasing=False, finite_only=False)
 
 
 @query("segment_islands", f"WITH {_SEG} SELECT row_id, CAST(segment AS BIGINT) AS segment FROM segs")

@@ -38,6 +38,23 @@ def test_runs_of_a_clock_that_does_not_increase(spark, tmp_path, name):
     _same_as_sql(spark, tmp_path, name, "events")
 
 
+_ODD_EVENTS = {
+    "no time": lambda e: e.assign(ts=e["ts"].mask(e.index % 17 == 3)),
+    "infinite": lambda e: e.assign(value=e["value"].mask(e.index % 17 == 3, np.inf)),
+    "no id": lambda e: e.assign(event_id=e["event_id"].astype("Int64").mask(e.index % 170 == 3)),
+    "listed twice": lambda e: pd.concat([e, e[e.index % 7 == 2]]),
+}
+
+
+@pytest.mark.parametrize("change", _ODD_EVENTS)
+@pytest.mark.parametrize("name", ["segment_islands"])
+def test_runs_of_odd_rows(spark, tmp_path, name, change):
+    """Rows without a time or an id, infinite values and ids that occur twice are in the runs that the SQL gives them."""
+    _events(tmp_path)
+    _ODD_EVENTS[change](pd.read_parquet(tmp_path / "events.parquet")).to_parquet(tmp_path / "events.parquet")
+    _same_as_sql(spark, tmp_path, name, "events")
+
+
 def test_an_axis_must_increase_unless_told(spark):
     df = spark.createDataFrame([(0, 1.0, 5.0), (1, 1.0, 5.0), (2, 1.0, 3.0), (3, 1.0, 9.0)], "row_id long, v double, t double").selectExpr("*", "1 AS line")
     with pytest.raises(Exception, match="does not increase"):
