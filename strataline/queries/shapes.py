@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.numbers import is_finite
 from ..operators import grids as G, joins as J, kernels as K, lines as L, solve as S, spectra as X, stats
 from .registry import query, table, view
 
@@ -235,14 +236,15 @@ def _by_place(asked, kernel, names):
 
 
 def _from_neighbours(spark, sf, k, kernel, names):
-    """The kernel at every point whose id is divisible by four, from its k nearest others; once for the points of one place, which share them."""
+    """The kernel at every point whose id is divisible by four, from its k nearest others that have a value; once for the points of one
+    place, which share them. A point with too few near it has no estimate."""
     p = view(spark, sf, "points")
     asked = p.where("id % 4 = 0")
     places = asked.groupBy("x", "y").agg(F.min("id").alias("id"))
-    others = p.where("id % 4 <> 0").select(F.col("id").alias("other"), "x", "y", "v", F.col("x").alias("px"), F.col("y").alias("py"))
+    others = p.where("id % 4 <> 0").where(is_finite(F.col("v"))).select(F.col("id").alias("other"), "x", "y", "v", F.col("x").alias("px"), F.col("y").alias("py"))
     near = J.neighbours(places, others, "x", "y", "other", 60.0, k, left_id="id", carry=["v", "px", "py"])
     solved = _by_place(near.join(places.select("id", F.col("x").alias("qx"), F.col("y").alias("qy")), "id"), kernel, names)
-    return asked.select("id", "x", "y").join(places.withColumnRenamed("id", "place"), ["x", "y"]).join(solved.withColumnRenamed("id", "place"), "place").select("id", *names)
+    return asked.select("id", "x", "y").join(places.withColumnRenamed("id", "place"), ["x", "y"]).join(solved.withColumnRenamed("id", "place"), "place", "left").select("id", *names)
 
 
 @query("ordinary_kriging")

@@ -105,3 +105,30 @@ def test_estimates_of_shared_places(spark, tmp_path, monkeypatch, name, k):
             want = K.ordinary_kriging(xy, z, at, 3000.0, 80.0)[0] if k == 8 else K.thin_plate(xy, z, at[None])[0]
             assert got.loc[r.id, "estimate"] == pytest.approx(want, rel=1e-6)
     assert n == len(got) == 600
+
+
+@pytest.mark.parametrize(("name", "k"), [("ordinary_kriging", 8), ("local_thin_plate", 12)])
+def test_estimates_beside_points_without_a_value(spark, tmp_path, name, k):
+    """Points that have no value are no neighbours: those that have one are taken instead."""
+    i = np.arange(1200)
+    v = np.where(i % 5 == 2, np.nan, np.where(i % 11 == 3, np.inf, 900 + np.sin(i / 7.0) * 50))
+    pd.DataFrame({"p_partkey": i, "p_retailprice": v, "p_size": (i % 50).astype("int32")}).to_parquet(tmp_path / "part.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas().set_index("id")["estimate"]
+    p = pd.DataFrame({"id": i, "x": i % 211 * 3.0, "y": i % 157 * 4.0, "v": v})
+    left, right = p[p["id"] % 4 == 0], p[(p["id"] % 4 != 0) & np.isfinite(p["v"])]
+    solved = 0
+    for r in left.itertuples():
+        near = right.assign(d=np.hypot(right["x"] - r.x, right["y"] - r.y)).query("d <= 60").sort_values(["d", "id"])[:k]
+        if len(near) >= 3:
+            solved += 1
+            xy, z, at = near[["x", "y"]].to_numpy(), near["v"].to_numpy(), np.array([r.x, r.y])
+            want = K.ordinary_kriging(xy, z, at, 3000.0, 80.0)[0] if k == 8 else K.thin_plate(xy, z, at[None])[0]
+            assert got[r.id] == pytest.approx(want, rel=1e-6)
+    assert solved > 250
+
+
+@pytest.mark.parametrize("name", ["ordinary_kriging", "local_thin_plate"])
+def test_a_point_without_neighbours_has_its_row(spark, tmp_path, name):
+    pd.DataFrame({"p_partkey": [0, 1, 2, 3, 400], "p_retailprice": [1.0, 2.0, 3.0, 5.0, 4.0], "p_size": np.int32(1)}).to_parquet(tmp_path / "part.parquet")
+    got = {r["id"]: r["estimate"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got.keys() == {0, 400} and got[0] is not None and got[400] is None
