@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbers import is_finite
 from .stats import components, robust_keep
 
 MAX_UNKNOWNS = 5000
@@ -114,8 +115,9 @@ def _network(edges: DataFrame, anchors: dict[str, float]) -> DataFrame:
 
 def line_corrections(crossings: DataFrame, traverse: str, tie: str, residual: str, sigmas: float = 4.5) -> DataFrame:
     """(line, correction): constants that take the accepted residuals down in the least squares, with mean 0
-    over the lines of each network. Lines are taken out of the equations by sums, those of the side that has more."""
-    kept = robust_keep(crossings.where(F.col(residual).isNotNull()), residual, sigmas).where("accepted")
+    over the lines of each network, from crossings with a finite residual. Lines are taken out of the equations by sums, those of the side
+    that has more."""
+    kept = robust_keep(crossings.where(is_finite(F.col(residual))), residual, sigmas).where("accepted")
     edges = kept.select(F.col(traverse).cast("string").alias("i"), F.col(tie).cast("string").alias("j"), F.lit(1.0).alias("w"), (-F.col(residual)).alias("d"))
     return _network(edges, {}).select(F.col("node").alias("line"), F.col("value").alias("correction"))
 

@@ -58,3 +58,14 @@ def test_levelling_of_many_lines(spark):
     assert len(got) == 6008 > solve.MAX_UNKNOWNS
     assert abs(sum(got.values())) < 1e-6
     assert max(abs((k // 8) % 5 - k % 8 + got[f"L{k // 8}"] - got[f"T{k % 8}"]) for k in range(48000)) < 1e-8
+
+
+@pytest.mark.parametrize("odd", [np.inf, -np.inf, np.nan, None])
+@pytest.mark.parametrize("every", [19, 2])
+def test_levelling_beside_crossings_without_a_finite_residual(spark, odd, every):
+    """They don't count, be they few among equal residuals or half of all."""
+    rows = [(f"L{k // 6}", f"T{k % 6}", 3.0) for k in range(60)]
+    plain = solve.line_corrections(spark.createDataFrame(rows, "a string, b string, r double"), "a", "b", "r").collect()
+    mixed = rows + [(f"L{k // 6}", f"T{k % 6}", odd) for k in range(60) if k % every == 0]
+    got = solve.line_corrections(spark.createDataFrame(mixed, "a string, b string, r double"), "a", "b", "r").collect()
+    assert {r["line"]: r["correction"] for r in got} == pytest.approx({r["line"]: r["correction"] for r in plain}, abs=1e-9)
