@@ -49,7 +49,7 @@ def _close_places(left: DataFrame, right: DataFrame, reach: float, k: int) -> Da
     points = right.select("__rx", "__ry", "__first", "__n", cell("__rx").alias("__cx"), cell("__ry").alias("__cy"))
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     probes = left.select("__x", "__y", shifts.alias("__s")).select("__x", "__y", (cell("__x") + F.col("__s.i")).alias("__cx"), (cell("__y") + F.col("__s.j")).alias("__cy"))
-    met = probes.join(points, ["__cx", "__cy"]).withColumn("distance", F.hypot(F.col("__x") - F.col("__rx"), F.col("__y") - F.col("__ry"))).where(F.col("distance") <= reach)
+    met = probes.join(points.hint("merge"), ["__cx", "__cy"]).withColumn("distance", F.hypot(F.col("__x") - F.col("__rx"), F.col("__y") - F.col("__ry"))).where(F.col("distance") <= reach)
     rank = F.row_number().over(Window.partitionBy("__x", "__y").orderBy("distance", "__first"))
     close = met.withColumn("__rank", rank).where(F.col("__rank") <= k)
     return close.groupBy("__x", "__y").agg(F.collect_list(F.struct("distance", "__rx", "__ry")).alias("close"), F.sum("__n").alias("found"))
@@ -61,7 +61,8 @@ def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str,
 
     Places meet, not rows: rows of one place have the same neighbours, and of a place's right rows only the k
     least ids can be among the k nearest, so no more than k places count (by distance and least id). Left places
-    look within a quarter of the radius first; only those that find fewer than k rows there look further."""
+    look within a quarter of the radius first; only those that find fewer than k rows there look further. No side is
+    broadcast: a small file may have more rows than the driver can hold."""
     rx, ry = right_x or x, right_y or y
     rows = _places(right, rx, ry).select(F.col(right_id).alias("__rid"), F.col(rx).alias("__rx"), F.col(ry).alias("__ry"), *carry)
     least = F.row_number().over(Window.partitionBy("__rx", "__ry").orderBy("__rid"))
@@ -70,12 +71,12 @@ def neighbours(left: DataFrame, right: DataFrame, x: str, y: str, right_id: str,
     asked = _places(left, x, y).select(F.col(left_id), F.col(x).alias("__x"), F.col(y).alias("__y"), *keep)
     probes = asked.select("__x", "__y").distinct()
     enough = _close_places(probes, places, radius / 4, k).where(F.col("found") >= k)
-    close = enough.unionByName(_close_places(probes.join(enough, ["__x", "__y"], "left_anti"), places, radius, k))
-    met = close.select("__x", "__y", F.inline("close")).join(rows, ["__rx", "__ry"])
+    close = enough.unionByName(_close_places(probes.join(enough.hint("merge"), ["__x", "__y"], "left_anti"), places, radius, k))
+    met = close.select("__x", "__y", F.inline("close")).join(rows.hint("merge"), ["__rx", "__ry"])
     nearest = F.row_number().over(Window.partitionBy("__x", "__y").orderBy("distance", "__rid"))
     met = met.withColumn("rank", nearest).where(F.col("rank") <= k).drop("rank", "__rx", "__ry")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy("distance", "__rid"))
-    out = asked.join(met, ["__x", "__y"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    out = asked.join(met.hint("merge"), ["__x", "__y"]).withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(left_id, F.col("__rid").alias(right_id), "distance", "rank", *carry, *keep)
 
 

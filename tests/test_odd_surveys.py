@@ -114,3 +114,11 @@ def test_searches_of_rows_listed_twice(spark, tmp_path, name):
     p = pd.read_parquet(tmp_path / "part.parquet")
     pd.concat([p, p[p["p_partkey"] % 3 == 0], p[p["p_partkey"] % 7 == 1]]).to_parquet(tmp_path / "part.parquet")
     _same_as_sql(spark, tmp_path, name, "part")
+
+
+@pytest.mark.parametrize("name", ["paired_flight_difference"])
+def test_searches_broadcast_nothing(spark, tmp_path, name):
+    """A file's size, by which Spark chooses, tells little of its rows."""
+    _crowded_part(tmp_path, 150, 3)
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
