@@ -116,7 +116,7 @@ def test_searches_of_rows_listed_twice(spark, tmp_path, name):
     _same_as_sql(spark, tmp_path, name, "part")
 
 
-@pytest.mark.parametrize("name", ["paired_flight_difference", "nearest_pair"])
+@pytest.mark.parametrize("name", ["paired_flight_difference", "nearest_pair", "grid_idw"])
 def test_searches_broadcast_nothing(spark, tmp_path, name):
     """A file's size, by which Spark chooses, tells little of its rows."""
     _crowded_part(tmp_path, 150, 3)
