@@ -122,3 +122,21 @@ def test_searches_broadcast_nothing(spark, tmp_path, name):
     _crowded_part(tmp_path, 150, 3)
     plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def _most_rows(spark, df):
+    """Runs it. The most rows that any step of the plan put out."""
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    nodes, seen = store.planGraph(run).allNodes(), store.executionMetrics(run)
+    ids = [m.accumulatorId() for k in range(nodes.size()) for n in [nodes.apply(k).metrics()] for m in map(n.apply, range(n.size())) if m.name() == "number of output rows"]
+    return max(int(seen.apply(i).replace(",", "")) for i in ids if seen.contains(i))
+
+
+@pytest.mark.parametrize("name", ["nearest_pair"])
+def test_searches_meet_places_not_rows(spark, tmp_path, name):
+    """A thousand rows at each of two places: a million pairs, which no step has."""
+    _crowded_part(tmp_path, 2, 1000)
+    assert 1000 <= _most_rows(spark, QUERIES[name](spark, str(tmp_path))) <= 20000
