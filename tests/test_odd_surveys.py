@@ -135,7 +135,7 @@ def _most_rows(spark, df):
     return max(int(seen.apply(i).replace(",", "")) for i in ids if seen.contains(i))
 
 
-@pytest.mark.parametrize("name", ["nearest_pair"])
+@pytest.mark.parametrize("name", ["nearest_pair", "grid_idw"])
 def test_searches_meet_places_not_rows(spark, tmp_path, name):
     """A thousand rows at each of two places: a million pairs, which no step has."""
     _crowded_part(tmp_path, 2, 1000)
