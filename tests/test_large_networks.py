@@ -1,9 +1,11 @@
 """Networks with more nodes than the driver solves at once."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from strataline.operators import solve
+from strataline.queries import QUERIES
 
 
 def _plain(rows, anchors):
@@ -69,3 +71,15 @@ def test_levelling_beside_crossings_without_a_finite_residual(spark, odd, every)
     mixed = rows + [(f"L{k // 6}", f"T{k % 6}", odd) for k in range(60) if k % every == 0]
     got = solve.line_corrections(spark.createDataFrame(mixed, "a string, b string, r double"), "a", "b", "r").collect()
     assert {r["line"]: r["correction"] for r in got} == pytest.approx({r["line"]: r["correction"] for r in plain}, abs=1e-9)
+
+
+def test_levelling_query_of_many_lines(spark, tmp_path):
+    """6,000 suppliers against seven ties, with a few wild crossings that don't count."""
+    k = np.arange(48000)
+    line, tie, wild = k // 8, k % 8 % 7, k % 1009 == 5
+    residual = np.where(wild, 1e4, line % 5 - tie)
+    pd.DataFrame({"l_orderkey": k, "l_suppkey": line, "l_partkey": k % 8, "l_quantity": residual + 25.0}).to_parquet(tmp_path / "lineitem.parquet")
+    got = {r["line"]: r["correction"] for r in QUERIES["line_leveling_solution"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6007 > solve.MAX_UNKNOWNS
+    assert abs(np.mean(list(got.values()))) < 1e-6
+    assert max(abs(residual[i] + got[str(line[i])] - got[f"t{tie[i]}"]) for i in k[~wild]) < 2e-6
