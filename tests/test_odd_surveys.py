@@ -140,3 +140,13 @@ def test_searches_meet_places_not_rows(spark, tmp_path, name):
     """A thousand rows at each of two places: a million pairs, which no step has."""
     _crowded_part(tmp_path, 2, 1000)
     assert 1000 <= _most_rows(spark, QUERIES[name](spark, str(tmp_path))) <= 20000
+
+
+@pytest.mark.parametrize("name", ["run_lengths"])
+def test_runs_of_copies_with_consecutive_ids(spark, tmp_path, name):
+    """Each event six times in a row, under ids of its own, at one time."""
+    _events(tmp_path)
+    e = pd.read_parquet(tmp_path / "events.parquet")
+    e = e.loc[e.index.repeat(6)].reset_index(drop=True)
+    e.assign(event_id=e.index).to_parquet(tmp_path / "events.parquet")
+    _same_as_sql(spark, tmp_path, name, "events")
